@@ -611,7 +611,7 @@ def lang_route(spark, sf):
 # --------------------------------------------------------- streaming -------
 @query("stream_redact")
 def stream_redact(spark, sf):
-    source = redact_stream.document_stream(spark, f"{sf}/documents.parquet")
+    source = redact_stream.document_stream(spark, sf, "documents.parquet")
     out = shared_dir(spark, "stream-out")
     run = redact_stream.start_redaction(
         source, RedactOptions(categories=("credit_card", "phone", "email"), mask=MASK), out, shared_dir(spark, "stream-state")

@@ -15,12 +15,13 @@ from inkveil.plans.options import RedactOptions
 from inkveil.plans.pipelines import redact_texts
 
 
-def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """Parquet files of ``documents`` as a stream of ``(doc_id, text)``."""
-    schema = spark.read.parquet(path).schema
+def document_stream(spark: SparkSession, folder: str, files: str = "*.parquet", files_per_trigger: int = 64) -> DataFrame:
+    """Parquet files of ``documents`` in ``folder`` as a stream of ``(doc_id, text)``."""
     return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-        .select("doc_id", "text")
+        spark.readStream.schema("doc_id bigint, text string")
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .option("pathGlobFilter", files)
+        .parquet(folder)
     )
 
 
