@@ -103,11 +103,11 @@ def is_heading(text: Column, lang: Column | str = "en", preserve: bool = True) -
 
 def heading_languages(text: Column) -> Column:
     """Rule languages in which ``text`` is a heading (empty array: in none)."""
-    checks = [
-        F.when(is_common_heading(text) | is_language_heading(text, c), F.lit(c)) for c in RULE_LANGUAGES
-    ]
-    return F.when(has_sensitive_prefix(text), F.array().cast("array<string>")).otherwise(
-        F.array_compact(F.array(*checks))
+    by_lang = F.array_compact(F.array(*[F.when(is_language_heading(text, c), F.lit(c)) for c in RULE_LANGUAGES]))
+    return (
+        F.when(has_sensitive_prefix(text), F.array().cast("array<string>"))
+        .when(is_common_heading(text), F.array(*[F.lit(c) for c in RULE_LANGUAGES]))
+        .otherwise(by_lang)
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.patterns import CATEGORY_LABEL, REPEATED_CATEGORIES
+from inkveil.sources.session import materialise
 
 ORDER = ["cat_no", "ordinal", "page", "match_no"]
 PAGE_RANGE = 1024
@@ -27,10 +28,14 @@ def first_seen(findings: DataFrame) -> DataFrame:
 
 def report_items(findings: DataFrame) -> DataFrame:
     """Items as reported: one per value, or one per occurrence for e-mail and masks."""
-    repeated = F.col("category").isin(REPEATED_CATEGORIES)
-    unique = first_seen(findings.filter(~repeated)).drop("n")
-    every = findings.filter(repeated).select("doc_id", "category", "value", *ORDER)
-    return unique.unionByName(every)
+    position = F.struct(*ORDER)
+    occurrence = F.when(F.col("category").isin(REPEATED_CATEGORIES), position)
+    return (
+        findings.withColumn("_occurrence", occurrence)
+        .groupBy("doc_id", "category", "value", "_occurrence")
+        .agg(F.min(position).alias("first"))
+        .select("doc_id", "category", "value", "first.*")
+    )
 
 
 def category_counts(findings: DataFrame) -> DataFrame:
@@ -53,7 +58,9 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> Da
 
     ``order`` contains ``page``.  Rows are numbered inside ranges of pages, and a
     running sum over the row counts of the ranges gives each range its offset.
+    ``rows`` is read twice and therefore stored.
     """
+    rows = materialise(rows, "ranked")
     lead = order[: order.index("page")]
     ranges = rows.withColumn("_range", F.floor(F.col("page") / PAGE_RANGE))
     keys = [*group, *lead, "_range"]
@@ -72,11 +79,6 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> Da
     )
 
 
-def category_dimension(spark) -> DataFrame:
-    rows = [(i, key, label) for i, (key, label) in enumerate(CATEGORY_LABEL.items(), 1)]
-    return spark.createDataFrame(rows, "category_no int, category string, label string")
-
-
 def zero_filled(documents: DataFrame, counts: DataFrame) -> DataFrame:
     """Every document with all ten categories, zero where nothing was found."""
     labels = F.array(*[
@@ -93,8 +95,7 @@ def found_phrase(counts: DataFrame) -> DataFrame:
 
     A document has at most ten categories, so the collected list is bounded.
     """
-    label = F.element_at(F.create_map(*[x for k, v in CATEGORY_LABEL.items() for x in (F.lit(k), F.lit(v))]), F.col("category"))
-    text = F.concat(F.col("n_items").cast("string"), F.lit(" "), F.lower(label))
+    text = F.concat(F.col("n_items").cast("string"), F.lit(" "), F.lower(label_of(F.col("category"))))
     return (
         counts.filter("n_items > 0")
         .groupBy("doc_id")

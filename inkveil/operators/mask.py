@@ -15,6 +15,7 @@ from inkveil.functions.headings import RULE_LANGUAGES, heading_languages, label_
 from inkveil.functions.patterns import TEXT_ORDER, TEXT_TOKEN, category_patterns
 from inkveil.operators.collate import ORDER
 from inkveil.operators.detect import all_matches
+from inkveil.sources.session import materialise
 
 BLOCK_CHAR = "█"
 BLUR_CHAR = "*"
@@ -77,25 +78,30 @@ def _with_hits(pages: DataFrame, wanted: DataFrame, list_limit: int) -> DataFram
     Documents with few targets take them as one bounded array in an equi join on
     ``doc_id``.  For a document with more, a page only meets the targets that
     share a character gram with it: see :func:`_page_hits`.  Both ways mask the
-    same text.
+    same text.  The targets are stored first: they are read several times, and
+    with the sizes of a stored table Spark can broadcast them while they are
+    small.
     """
     if "lang" not in pages.columns:
         pages = pages.withColumn("lang", F.lit("en"))
     # A target that is a heading in every language is never hidden.
-    wanted = wanted.filter(F.size("kept_in") < len(RULE_LANGUAGES))
+    wanted = materialise(wanted.filter(F.size("kept_in") < len(RULE_LANGUAGES)), "targets")
     item = F.struct(*[F.col(c) for c in ORDER], "hide", "kept_in")
     sizes = wanted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_targets"))
     heavy = sizes.filter(F.col("n_targets") > list_limit).select("doc_id")
-    lists = (
-        wanted.join(heavy, "doc_id", "left_anti")
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("hits"))
-    )
-    light_pages = pages.join(heavy, "doc_id", "left_anti").join(lists, "doc_id", "left")
-    heavy_pages = pages.join(heavy, "doc_id", "left_semi")
-    heavy_hits = _page_hits(heavy_pages, wanted.join(heavy, "doc_id", "left_semi"), item)
-    out = light_pages.unionByName(heavy_pages.join(heavy_hits, ["doc_id", "page"], "left"))
+    any_heavy = not heavy.isEmpty()
+    light = wanted.join(heavy, "doc_id", "left_anti") if any_heavy else wanted
+    lists = light.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("hits"))
     none = F.array().cast(lists.schema["hits"].dataType)
+    if any_heavy:
+        heavy_pages = pages.join(heavy, "doc_id", "left_semi")
+        heavy_hits = _page_hits(heavy_pages, wanted.join(heavy, "doc_id", "left_semi"), item)
+        out = (
+            pages.join(heavy, "doc_id", "left_anti").join(lists, "doc_id", "left")
+            .unionByName(heavy_pages.join(heavy_hits, ["doc_id", "page"], "left"))
+        )
+    else:
+        out = pages.join(lists, "doc_id", "left")
     return out.select(
         "doc_id", "page", "text", "lang", F.coalesce("hits", none).alias("hits"), rule_language(F.col("lang")).alias("_rule")
     )

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.operators.collate import ORDER, category_counts, label_of, report_items
+from inkveil.operators.collate import ORDER, label_of, report_items
+from inkveil.sources.session import materialise
 
 PART_SIZE = 10_000
 
 
 def _parts(items: DataFrame, part_size: int) -> DataFrame:
     """Add the document's total and a part number (0 unless the document is large)."""
+    items = materialise(items, "report-items")
     sizes = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
     parts = F.ceil(F.col("total") / part_size).cast("int")
     spread = F.pmod(F.xxhash64("category", "page", "value", "match_no"), parts).cast("int")
@@ -94,10 +96,6 @@ def recommendation(counts: DataFrame) -> DataFrame:
     )
 
 
-def report_counts(findings: DataFrame) -> DataFrame:
-    return category_counts(findings)
-
-
 def redacted_name(path: Column) -> Column:
     """``<stem>_redacted<suffix>`` in the same folder."""
     with_suffix = F.regexp_replace(path, r"(\.[^./]+)$", "_redacted$1")

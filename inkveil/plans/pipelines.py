@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.patterns import profile_patterns
-from inkveil.operators import collate, detect, language, mask, report, verify
+from inkveil.operators import detect, language, mask, report, verify
 from inkveil.plans.options import RedactOptions
 from inkveil.sources import sinks
 
@@ -88,6 +88,3 @@ def run_page_job(pages: DataFrame, options: RedactOptions, out_dir: str, profile
         sinks.write_table(summary, f"{out_dir}/verification")
     return RedactionRun(found, masked, rows, issues, summary)
 
-
-def document_counts(found: DataFrame) -> DataFrame:
-    return collate.category_counts(found)
