@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.binding import bind
+
 # --------------------------------------------------------------------------
 # Label prefixes, heading forms and heading words.
 # --------------------------------------------------------------------------
@@ -68,47 +70,56 @@ def strip_text(text: Column) -> Column:
 
 def has_sensitive_prefix(text: Column) -> Column:
     """Trimmed, lower-cased text starts with a label of sensitive data."""
-    alternatives = "|".join(r"\Q" + p + r"\E" for p in SENSITIVE_PREFIXES)
-    return F.lower(strip_text(text)).rlike(f"^(?:{alternatives})")
+    return _sensitive(strip_text(text))
 
 
-def is_common_heading(text: Column) -> Column:
-    return strip_text(text).rlike(_FLAGS + "|".join(COMMON_HEADINGS))
+def _sensitive(stripped: Column) -> Column:
+    alternatives = "|".join(r"\Q" + p + r"\E" for p in SENSITIVE_PREFIXES)
+    return F.lower(stripped).rlike(f"^(?:{alternatives})")
 
 
-def first_word(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), r"(?U)\S+", 0)
+def _common(stripped: Column) -> Column:
+    return stripped.rlike(_FLAGS + "|".join(COMMON_HEADINGS))
 
 
-def is_language_heading(text: Column, lang: str) -> Column:
+def _by_language(stripped: Column, lang: str) -> Column:
     """Label forms and heading words of one rule language."""
     label = LABEL_HEADINGS.get(lang, LABEL_HEADINGS["en"])
     words = HEADING_WORDS.get(lang, HEADING_WORDS["en"])
-    return strip_text(text).rlike(_FLAGS + label) | first_word(text).isin(words)
+    first_word = F.regexp_extract(F.lower(stripped), r"(?U)^\S+", 0)
+    return stripped.rlike(_FLAGS + label) | first_word.isin(words)
 
 
 def is_heading(text: Column, lang: Column | str = "en", preserve: bool = True) -> Column:
     """Heading predicate; ``lang`` is a language code or a column of codes."""
     if not preserve:
         return F.lit(False)
-    if isinstance(lang, str):
-        by_lang = is_language_heading(text, lang)
-    else:
-        by_lang = F.when(lang.isNull(), is_language_heading(text, "en"))
-        for code in RULE_LANGUAGES[1:]:
-            by_lang = by_lang.when(lang == code, is_language_heading(text, code))
-        by_lang = by_lang.otherwise(is_language_heading(text, "en"))
-    return ~has_sensitive_prefix(text) & (is_common_heading(text) | by_lang)
+
+    def decide(stripped: Column) -> Column:
+        if isinstance(lang, str):
+            by_lang = _by_language(stripped, lang)
+        else:
+            by_lang = F.when(lang.isNull(), _by_language(stripped, "en"))
+            for code in RULE_LANGUAGES[1:]:
+                by_lang = by_lang.when(lang == code, _by_language(stripped, code))
+            by_lang = by_lang.otherwise(_by_language(stripped, "en"))
+        return ~_sensitive(stripped) & (_common(stripped) | by_lang)
+
+    return bind(strip_text(text), decide)
 
 
 def heading_languages(text: Column) -> Column:
     """Rule languages in which ``text`` is a heading (empty array: in none)."""
-    by_lang = F.array_compact(F.array(*[F.when(is_language_heading(text, c), F.lit(c)) for c in RULE_LANGUAGES]))
-    return (
-        F.when(has_sensitive_prefix(text), F.array().cast("array<string>"))
-        .when(is_common_heading(text), F.array(*[F.lit(c) for c in RULE_LANGUAGES]))
-        .otherwise(by_lang)
-    )
+
+    def decide(stripped: Column) -> Column:
+        by_lang = F.array_compact(F.array(*[F.when(_by_language(stripped, c), F.lit(c)) for c in RULE_LANGUAGES]))
+        return (
+            F.when(_sensitive(stripped), F.array().cast("array<string>"))
+            .when(_common(stripped), F.array(*[F.lit(c) for c in RULE_LANGUAGES]))
+            .otherwise(by_lang)
+        )
+
+    return bind(strip_text(text), decide)
 
 
 def rule_language(lang: Column) -> Column:

@@ -24,6 +24,9 @@ _GUARDS = {
     "slash": lambda t: t.contains("/"),
     "card_label": lambda t: t.rlike(r"(?iU)c[vsi]|security|card") & t.rlike(r"(?U)\d\d\d"),
     "digits3": lambda t: t.rlike(r"(?U)\d\d\d"),
+    # Seven digits with nothing but phone separators between them.
+    "digits7": lambda t: t.rlike(r"(?U)\d\d\d") & t.rlike(r"(?U)(?:\d[-.()\s]*+){7}"),
+    "digits12": lambda t: t.rlike(r"(?U)\d\d\d\d") & t.rlike(r"(?U)(?:\d[-\s]?){12}"),
     "at_sign": lambda t: t.contains("@"),
     "at_any": lambda t: t.contains("@") | t.contains("[at]"),
     "bracket": lambda t: t.rlike(r"(?i)\[at\]"),
@@ -46,7 +49,11 @@ def _guard(p: Pattern) -> str | None:
         return "plus"
     if p.category == "phone" and p.regex.startswith(r"\+?\d{1,3}[-.\s]?\(?\d{1,4}"):
         return "digit"
-    if p.category in ("phone", "credit_card", "iban", "aadhaar", "pan"):
+    if p.category == "phone":
+        return "digits7"
+    if p.category in ("credit_card", "aadhaar"):
+        return "digits12"
+    if p.category in ("iban", "pan"):
         return "digits3"
     return None
 
@@ -55,15 +62,21 @@ def all_matches(text: Column, java: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java), F.lit(0))
 
 
+def guarded(texts: DataFrame, patterns: list[Pattern]) -> tuple[DataFrame, list[Column | None]]:
+    """``texts`` with guard columns, and the guard of each pattern (or ``None``)."""
+    names = [_guard(p) for p in patterns]
+    used = sorted({n for n in names if n})
+    flagged = texts.select("*", *[_GUARDS[n](F.col("text")).alias(f"_{n}") for n in used])
+    return flagged, [F.col(f"_{n}") if n else None for n in names]
+
+
 def _guarded(pages: DataFrame, patterns: list[Pattern]) -> tuple[DataFrame, list[Column]]:
     """Pages with guard columns, and the match array of each pattern."""
-    guards = sorted({g for g in map(_guard, patterns) if g})
-    text = F.col("text")
-    flagged = pages.select("*", *[_GUARDS[g](text).alias(f"_{g}") for g in guards])
+    flagged, checks = guarded(pages, patterns)
     arrays = []
-    for p in patterns:
-        found = all_matches(text, p.java)
-        arrays.append(F.when(F.col(f"_{_guard(p)}"), found) if _guard(p) else found)
+    for p, check in zip(patterns, checks):
+        found = all_matches(F.col("text"), p.java)
+        arrays.append(found if check is None else F.when(check, found))
     return flagged, arrays
 
 

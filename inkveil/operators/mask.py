@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.binding import bind
 from inkveil.functions.headings import RULE_LANGUAGES, heading_languages, label_content, rule_language
-from inkveil.functions.patterns import TEXT_ORDER, TEXT_TOKEN, category_patterns
+from inkveil.functions.patterns import TEXT_ORDER, TEXT_TOKEN, Pattern, category_patterns, profile_patterns
+from inkveil.functions.validators import VALIDATORS
 from inkveil.operators.collate import ORDER
-from inkveil.operators.detect import all_matches
+from inkveil.operators.detect import all_matches, guarded
 from inkveil.sources.session import materialise
 
 BLOCK_CHAR = "█"
@@ -147,6 +148,53 @@ def _grams(text: Column, k: Column) -> Column:
     return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), k.cast("string"), F.lit("}))")), F.lit(1))
 
 
+# ------------------------------------------------- documents in one row ----
+
+def mask_documents(
+    documents: DataFrame,
+    categories=None,
+    mask: str | None = None,
+    preserve_headings: bool = True,
+    blur: bool = False,
+    separator: str = "\n",
+) -> DataFrame:
+    """The page job on ``documents(doc_id, text[, lang])``, without any shuffle.
+
+    All pages of a document lie in its row, so its targets are gathered and
+    hidden inside the row.  A target never spans pages and no value contains the
+    page separator, so hiding it in the whole text is hiding it on every page.
+    """
+    patterns = profile_patterns("redact", categories, mask)
+    text = F.col("text")
+    lang = rule_language(F.col("lang")) if "lang" in documents.columns else F.lit("en")
+    flagged, checks = guarded(documents, patterns)
+    pages = F.split(text, separator, -1)
+
+    def matches(all_pages: Column, p: Pattern, check: Column | None) -> Column:
+        found = F.flatten(F.transform(all_pages, lambda page: all_matches(page, p.java)))
+        if p.validator:
+            found = F.filter(found, VALIDATORS[p.validator])
+        return found if check is None else F.when(check, found).otherwise(_no_values())
+
+    def values(all_pages: Column) -> Column:
+        lists = [matches(all_pages, p, check) for p, check in zip(patterns, checks)]
+        return F.array_distinct(F.flatten(F.array(*lists)))
+
+    char = BLUR_CHAR if blur else BLOCK_CHAR
+
+    def hide_all(found: Column) -> Column:
+        if preserve_headings:
+            found = F.transform(
+                F.filter(found, lambda v: ~F.array_contains(heading_languages(v), lang)), label_content
+            )
+        return F.aggregate(
+            found, text, lambda acc, h: F.replace(acc, h, F.repeat(F.lit(char), F.length(h)))
+        )
+
+    masked = bind(bind(pages, values), hide_all)
+    return flagged.select(*[masked.alias("text") if c == "text" else c for c in documents.columns])
+
+
 # ------------------------------------------------------------- text job ----
 
 def consume(text: Column, found: Column, token: str, repeats: bool = False) -> Column:

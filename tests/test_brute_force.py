@@ -140,6 +140,18 @@ def test_page_job_equals_python_for_small_and_large_documents(spark, limit):
     assert got[500, 2].startswith("id99************88")
 
 
+@pytest.mark.parametrize("preserve", [True, False])
+def test_documents_in_one_row_give_the_same_text(spark, preserve):
+    docs = corpus.corpus_documents(spark, SMALL).select("doc_id", "text", "lang")
+    pages = corpus.split_pages(docs)
+    wanted = mask.targets(detect.findings(pages, "redact", mask="the"), preserve)
+    by_page = mask.mask_pages(pages, wanted).select("doc_id", "page", "text")
+    in_row = corpus.split_pages(mask.mask_documents(docs, mask="the", preserve_headings=preserve)).select("doc_id", "page", "text")
+    assert by_page.exceptAll(in_row).isEmpty() and by_page.count() == in_row.count()
+    stored = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert "Exchange" not in mask.mask_documents(stored)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_document_is_ranked_and_counted(spark):
     rows = [(1, i, f"a{i % 40}@b.cc 555-000-{i % 300:04d}", "en") for i in range(1, 2500)] + [(2, 1, "x@y.zz", "en")]
     found = detect.findings(spark.createDataFrame(rows, PAGES), "redact", ["phone", "email"])
