@@ -14,6 +14,7 @@ from inkveil.sources.session import materialise
 
 PROFILE_SIZE = 300
 MAX_BROADCAST_LANGUAGES = 200
+SALTS = 16
 
 
 def _trigrams(text: Column) -> Column:
@@ -73,16 +74,17 @@ def detect_language(pages: DataFrame, profile: DataFrame) -> DataFrame:
 def detect_distinct(pages: DataFrame, profile: DataFrame) -> DataFrame:
     """As :func:`detect_language`, computing each distinct text once.
 
-    Worth its shuffle of the texts only where copies are frequent.
+    Worth its shuffle of the texts only where copies are frequent.  Texts are
+    told apart by SHA-256; the results are repeated per salt, so a text that
+    fills a third of all pages is joined in ``SALTS`` tasks.
     """
-    keyed = pages.select("doc_id", "page", "text", F.xxhash64("text").alias("h"))
-    texts = keyed.select("h", "text").distinct()
-    # A distinct text is a "document" with the hash as id; texts that share a
-    # hash are told apart by the text itself in the join below.
-    numbered = texts.select(F.col("h").alias("doc_id"), F.col("text").alias("page"), "text")
-    found = best_language(scores(numbered, profile)).select(
-        F.col("doc_id").alias("h"), F.col("page").alias("text"), "lang"
+    keyed = pages.select("doc_id", "page", "text", F.sha2("text", 256).alias("key"))
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    found = best_language(scores(texts.select(F.col("key").alias("doc_id"), F.lit(1).alias("page"), "text"), profile))
+    salted = found.select(
+        F.col("doc_id").alias("key"), "lang", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
-    return keyed.join(found, ["h", "text"], "left").select(
+    salt = F.pmod(F.hash("doc_id", "page"), F.lit(SALTS))
+    return keyed.select("doc_id", "page", "key", salt.alias("salt")).join(salted, ["key", "salt"], "left").select(
         "doc_id", "page", F.coalesce("lang", F.lit("en")).alias("lang")
     )

@@ -23,6 +23,7 @@ BLUR_CHAR = "*"
 # Documents with up to this many targets carry them as one array per document.
 LIST_LIMIT = 1000
 GRAM = 8
+SALTS = 16
 
 
 def targets(findings: DataFrame, preserve_headings: bool = True) -> DataFrame:
@@ -127,19 +128,23 @@ def _page_hits(pages: DataFrame, wanted: DataFrame, item: Column) -> DataFrame:
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     )
     lengths = anchors.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+    # Targets are few beside pages: they are repeated per salt, so a gram that is
+    # on every page of a large document is spread over SALTS tasks.
+    salted = (
+        anchors.select("doc_id", "hide", "gram")
+        .join(wanted, ["doc_id", "hide"])
+        .select("doc_id", "gram", item.alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    )
     page_grams = (
         pages.join(lengths, "doc_id")
         .select("doc_id", "page", "text", F.explode("ks").alias("k"))
         .select("doc_id", "page", F.explode(F.array_distinct(_grams(F.col("text"), F.col("k")))).alias("gram"))
+        .withColumn("salt", F.pmod(F.hash("page"), F.lit(SALTS)))
     )
-    found = page_grams.join(anchors.select("doc_id", "hide", "gram"), ["doc_id", "gram"]).select("doc_id", "page", "hide")
-    # A value found under several spellings of a label hides the same content.
     return (
-        found.join(wanted.withColumnRenamed("page", "first_page"), ["doc_id", "hide"])
-        .select("doc_id", F.col("page").alias("_page"), F.col("first_page").alias("page"), "cat_no", "ordinal", "match_no", "hide", "kept_in")
-        .groupBy("doc_id", "_page")
-        .agg(F.array_sort(F.collect_list(item)).alias("hits"))
-        .withColumnRenamed("_page", "page")
+        page_grams.join(salted, ["doc_id", "gram", "salt"])
+        .groupBy("doc_id", "page")
+        .agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     )
 
 
@@ -161,7 +166,8 @@ def mask_documents(
     """The page job on ``documents(doc_id, text[, lang])``, without any shuffle.
 
     All pages of a document lie in its row, so its targets are gathered and
-    hidden inside the row.  A target never spans pages and no value contains the
+    hidden inside the row.  The work per row is targets times length: documents
+    of millions of pages belong in a page table.  A target never spans pages and no value contains the
     page separator, so hiding it in the whole text is hiding it on every page.
     """
     patterns = profile_patterns("redact", categories, mask)

@@ -1,7 +1,8 @@
 """Reports: items and totals per document, JSON files, summaries.
 
-A report lists every item of a document.  Documents with more than ``PART_SIZE``
-items get several parts, so no row and no task holds an unbounded list.
+A report lists every item of a document.  It is cut into parts of ``PART_PAGES``
+pages, so no row and no task holds an unbounded list; a document with no more
+pages has one part.
 """
 
 from __future__ import annotations
@@ -12,46 +13,43 @@ from pyspark.sql import functions as F
 from inkveil.operators.collate import ORDER, label_of, report_items
 from inkveil.sources.session import materialise
 
-PART_SIZE = 10_000
+PART_PAGES = 1000
 
 
-def _parts(items: DataFrame, part_size: int) -> DataFrame:
-    """Add the document's total and a part number (0 unless the document is large)."""
-    items = materialise(items, "report-items")
-    sizes = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    parts = F.ceil(F.col("total") / part_size).cast("int")
-    spread = F.pmod(F.xxhash64("category", "page", "value", "match_no"), parts).cast("int")
-    return items.join(sizes, "doc_id").withColumn("part", F.when(parts > 1, spread).otherwise(0))
+def _listed(items: DataFrame, part_pages: int) -> DataFrame:
+    """``(doc_id, part, category, n, rows, total)``; ``total`` counts the whole document.
+
+    Totals are repeated per part, so the join is on ``(doc_id, part)`` and a large
+    document stays spread.
+    """
+    part = F.floor((F.col("page") - 1) / part_pages).cast("int")
+    items = materialise(items.withColumn("part", part), "report-items")
+    lists = items.groupBy("doc_id", "part", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*ORDER, "value"))).alias("rows")
+    )
+    per_document = (
+        items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.max("part").alias("last"))
+        .select("doc_id", "total", F.explode(F.sequence(F.lit(0), "last")).alias("part"))
+    )
+    return lists.join(per_document, ["doc_id", "part"])
 
 
-def redaction_report(findings: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+def redaction_report(findings: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """``(doc_id, part, category, n_items, total_items_redacted, items)``; items in found order."""
-    item = F.struct(*ORDER, "value")
-    return (
-        _parts(report_items(findings), part_size)
-        .groupBy("doc_id", "part", "category", "total")
-        .agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(item)).alias("rows"))
-        .select(
-            "doc_id", "part", "category", "n_items",
-            F.col("total").alias("total_items_redacted"), F.col("rows.value").alias("items"),
-        )
+    return _listed(report_items(findings), part_pages).select(
+        "doc_id", "part", "category", F.col("n").alias("n_items"),
+        F.col("total").alias("total_items_redacted"), F.col("rows.value").alias("items"),
     )
 
 
-def sensitivity_report(findings: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
+def sensitivity_report(findings: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """``(doc_id, part, category, n_findings, total_findings, findings)`` without dedupe.
 
     ``findings`` is a list of ``(value, page)`` in pattern and page order.
     """
-    item = F.struct(*ORDER, "value")
-    return (
-        _parts(findings.select("doc_id", "category", "value", *ORDER), part_size)
-        .groupBy("doc_id", "part", "category", "total")
-        .agg(F.count(F.lit(1)).alias("n_findings"), F.array_sort(F.collect_list(item)).alias("rows"))
-        .select(
-            "doc_id", "part", "category", "n_findings", F.col("total").alias("total_findings"),
-            F.transform("rows", lambda r: F.struct(r["value"].alias("value"), r["page"].alias("page"))).alias("findings"),
-        )
+    return _listed(findings.select("doc_id", "category", "value", *ORDER), part_pages).select(
+        "doc_id", "part", "category", F.col("n").alias("n_findings"), F.col("total").alias("total_findings"),
+        F.transform("rows", lambda r: F.struct(r["value"].alias("value"), r["page"].alias("page"))).alias("findings"),
     )
 
 

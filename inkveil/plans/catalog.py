@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import headings, validators
 from inkveil.functions.patterns import (
-    CATEGORY_ORDER, LANG, SECONDARY_FLAG, SECONDARY_GROUPS, SECONDARY_MINIMAL, TEXT_TOKEN, category_patterns,
-    profile_patterns,
+    SECONDARY_FLAG, SECONDARY_GROUPS, SECONDARY_MINIMAL, category_patterns, profile_patterns,
 )
 from inkveil.operators import collate, detect, international, language, lookup, mask, report, verify
 from inkveil.plans.options import RedactOptions, accepted_language
-from inkveil.plans.pipelines import find_pages, redact_pages, with_language
+from inkveil.plans.pipelines import find_pages, redact_documents, redact_pages
 from inkveil.sources import corpus
-from inkveil.sources.session import materialise, shared_dir
+from inkveil.sources.session import shared_dir
 from inkveil.streaming import redact_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,11 +385,10 @@ def redact_text_pipeline(spark, sf):
 
 @query("redact_document_pipeline")
 def redact_document_pipeline(spark, sf):
-    """Find, store, mask; the language of a page is the one of its document."""
+    """Find and mask documents stored one per row, then split them into pages."""
     options = RedactOptions(all_categories=True, mask=MASK)
-    pages = with_language(corpus.corpus_pages(spark, sf), options)
-    found = materialise(find_pages(pages, options), "findings")
-    return redact_pages(pages, options, found).select("doc_id", "page", "text")
+    docs = corpus.corpus_documents(spark, sf).select("doc_id", "text", "lang")
+    return corpus.split_pages(redact_documents(docs, options)).select("doc_id", "page", "text")
 
 
 @query("drop_sensitive_text")
@@ -401,13 +399,10 @@ def drop_sensitive_text(spark, sf):
 
 
 # ----------------------------------------------------------- joins ---------
-def _pattern_rows():
-    return [(i, p.java, p.ignore_case, p.regex) for i, p in enumerate(profile_patterns("text", ["phone", "credit_card"]), 1)]
-
-
 @query("pages_x_patterns")
 def pages_x_patterns(spark, sf):
-    rows = [(i, regex, ignore) for i, _, ignore, regex in _pattern_rows()]
+    patterns = profile_patterns("text", ["phone", "credit_card"])
+    rows = [(i, p.regex, p.ignore_case) for i, p in enumerate(patterns, 1)]
     table = spark.createDataFrame(rows, "pattern_id int, regex string, ignore_case boolean")
     return detect.match_pattern_table(corpus.corpus_pages(spark, sf), table)
 

@@ -47,6 +47,17 @@ def redact_texts(documents: DataFrame, options: RedactOptions, items: bool = Fal
     return mask.mask_text(documents, options.enabled(), options.mask, items)
 
 
+def redact_documents(documents: DataFrame, options: RedactOptions) -> DataFrame:
+    """The page job on documents stored one per row: no shuffle.
+
+    ``documents(doc_id, text[, lang])``; pages are the lines of ``text``.
+    """
+    documents = with_language(documents, options)
+    return mask.mask_documents(
+        documents, options.enabled(), options.mask, options.preserve_headings, options.blur
+    )
+
+
 @dataclass(frozen=True)
 class RedactionRun:
     findings: DataFrame

@@ -124,7 +124,7 @@ def test_report_only_writes_no_masked_text(pages, tmp_path):
 def test_report_parts_hold_everything(pages):
     found = detect.findings(pages, "redact")
     one = report.redaction_report(found).collect()
-    many = report.redaction_report(found, part_size=5).collect()
+    many = report.redaction_report(found, part_pages=5).collect()
     flat = lambda rows: sorted((r["category"], v) for r in rows for v in r["items"])
     assert flat(one) == flat(many) and len({r["part"] for r in many}) > 1
 
