@@ -62,6 +62,13 @@ def all_matches(text: Column, java: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java), F.lit(0))
 
 
+def guarded_matches(text: Column, p: Pattern) -> Column:
+    """Matches of one pattern, or null when its guard already excludes any."""
+    name = _guard(p)
+    found = all_matches(text, p.java)
+    return F.when(_GUARDS[name](text), found) if name else found
+
+
 def guarded(texts: DataFrame, patterns: list[Pattern]) -> tuple[DataFrame, list[Column | None]]:
     """``texts`` with guard columns, and the guard of each pattern (or ``None``)."""
     names = [_guard(p) for p in patterns]

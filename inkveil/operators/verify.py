@@ -10,8 +10,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.patterns import TEXT_ORDER, Pattern, category_patterns, java_regex
-from inkveil.operators.detect import KEYS, all_matches, find
+from inkveil.functions.patterns import TEXT_ORDER, Pattern, category_patterns
+from inkveil.operators.detect import KEYS, find, guarded_matches
 
 CONTEXT = 20
 
@@ -92,7 +92,7 @@ def text_leftovers(masked: DataFrame, categories=None, mask: str | None = None)
             continue
         last_first = []
         for p in reversed(patterns):
-            found = all_matches(F.col("text"), java_regex(p.regex))
+            found = guarded_matches(F.col("text"), p)
             last_first.append(F.when(F.size(found) > 0, F.struct(F.lit(p.ordinal).alias("ordinal"), found.alias("values"))))
         entries.append(F.struct(F.lit(category).alias("category"), F.coalesce(*last_first).alias("last")))
     return (

@@ -6,11 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from inkveil.functions import headings
 from inkveil.functions import patterns as P
 from inkveil.functions import validators as V
 from inkveil.functions.spans import BLOCK
 from inkveil.operators import collate, detect, language, mask, verify
 from inkveil.plans.options import RedactOptions
+from inkveil.plans.pipelines import with_language
 from inkveil.sources import corpus
 from inkveil.streaming import redact_stream
 from tests.conftest import SMALL
@@ -236,3 +238,26 @@ def test_stream_equals_batch(spark, tmp_path):
     redact_stream.start_counts(pages, options, str(tmp_path / "n"), str(tmp_path / "cp2")).awaitTermination()
     want = collate.category_counts(detect.findings(corpus.split_pages(docs), "redact", options.enabled(), "the"))
     assert spark.read.parquet(str(tmp_path / "n")).drop("batch").exceptAll(want).isEmpty()
+
+
+def test_heading_forms_with_a_label_table(spark):
+    lines = ["Phone: 1", "Phone 1", "Foo: x", "IV. Scope", "ALL CAPS", "see Section 4", "1. Intro", "Page 3", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, text string")
+    words = spark.createDataFrame([("Phone",), ("Page",)], "word string")
+
+    def forms(**kw):
+        return [r["form"] for r in headings.classify_headings(df, **kw).orderBy("i").collect()]
+
+    rest = ["roman", "all_caps", "section", "numbered"]
+    assert forms() == ["label", "word_number", "label", *rest, "word_number", None]
+    assert forms(label_words=words) == ["label", "label", None, *rest, "label", None]
+
+
+def test_language_of_pages_is_detected_for_auto(spark):
+    docs = corpus.whole_documents(spark, SMALL)
+    profile = language.trained(docs.select("text", "lang"))
+    pages = docs.select("doc_id", "page", "text")
+    auto = with_language(pages, RedactOptions(mask="x"), profile)
+    assert auto.select("lang").distinct().count() == 4
+    fixed = with_language(pages, RedactOptions(mask="x", language="hi"), profile)
+    assert [r[0] for r in fixed.select("lang").distinct().collect()] == ["hi"]
