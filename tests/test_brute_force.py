@@ -250,7 +250,7 @@ def test_heading_forms_with_a_label_table(spark):
 
     rest = ["roman", "all_caps", "section", "numbered"]
     assert forms() == ["label", "word_number", "label", *rest, "word_number", None]
-    assert forms(label_words=words) == ["label", "label", None, *rest, "label", None]
+    assert forms(label_words=words) == ["label", "label", "single_word", *rest, "label", None]
 
 
 def test_language_of_pages_is_detected_for_auto(spark):
