@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+WORK_FOLDERS: list[str] = []
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -21,22 +24,49 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def is_single_machine(spark: SparkSession) -> bool:
+    """True for ``local`` and ``local[n]`` masters, where all tasks share one disk."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """Fresh path below the cluster's shared folder (``spark.checkpoint.dir``)."""
+    """Fresh path below the cluster's shared folder (``spark.checkpoint.dir``).
+
+    Without that setting a single machine uses a temporary folder; a cluster
+    stops here, as a folder on one machine's disk would lose rows silently.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        # Only single-machine runs and tests have no shared folder.
+        if not is_single_machine(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="inkveil-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    WORK_FOLDERS.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read and not a new pass over
-    the texts, and several consumers share one computation.
+    the texts, and several consumers share one computation.  The rows read back
+    are counted (from the file footers) against the rows written.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    expected, found = written.get["rows"], stored.count()
+    if found != expected:
+        raise RuntimeError(f"{path}: {expected} rows were written, {found} can be read; is the folder shared by all executors?")
+    return stored
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the work tables made so far; call it when no result is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while WORK_FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(WORK_FOLDERS.pop())
+        path.getFileSystem(conf).delete(path, True)
