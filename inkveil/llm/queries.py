@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, secrets, urls
+from inkveil.llm import decontam, langid, secrets, simhash, urls
 from inkveil.llm.common import table
 
 URL_RULES = [
@@ -21,6 +21,16 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return rows.select("doc_id", langid.held_out().alias("held_out"), "_language.lang_pred", "_language.score")
+
+
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -39,6 +49,8 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": secret_scan,
+    "op5_language_id": language_id,
+    "op6_simhash_groups": simhash_groups,
     "op9_decontamination": decontamination,
     "op10_url_filter": url_filter,
 }
