@@ -15,34 +15,37 @@ under the id ``null``; repeated documents are judged each; empty tables give emp
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import ASCII_LOWER, slices, text_batches
+from inkveil.llm.common import slices, python_tasks
 from inkveil.sources.session import materialise
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes of UTF-8: a-z, digits and all of non-ASCII stay, A-Z become a-z, the rest separates words.
+WORD_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
+)
 WINDOW = 10
 SHINGLE = 3
 #: Characters of benchmark text in one block.
 BLOCK_CHARS = 8_000_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(ASCII_LOWER))
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
 @dataclass
 class Block:
     """Windows of some benchmark items, as word numbers (from 1; 0 is any other word)."""
 
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     windows: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (windows x length, item numbers)
     items: list[str]
 
@@ -52,7 +55,7 @@ class Block:
 
 
 def build_block(items: list[tuple], window: int = WINDOW) -> Block:
-    vocabulary: dict[str, int] = {}
+    vocabulary: dict[bytes, int] = {}
     found: dict[int, set] = {}
     names = []
     for number, (item_id, text) in enumerate(items):
@@ -93,15 +96,15 @@ def shingles_of(block: Block) -> dict[int, np.ndarray]:
     return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
 
 
-def read_batch(texts: pd.Series, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_batch(texts: pd.Series, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of a batch, a zero after each text, and where each text begins and ends."""
-    get, flat, begins, ends = vocabulary.get, [], [], []
+    get, parts, sizes, gap = vocabulary.get, [], [], np.zeros(1, np.int64)
     for text in texts:
-        begins.append(len(flat))
-        flat += [get(w, 0) for w in words_of(text)]
-        ends.append(len(flat))
-        flat.append(0)
-    return np.array(flat, np.int64), np.array(begins, np.int64), np.array(ends, np.int64)
+        words = words_of(text)
+        parts += [np.fromiter(map(get, words, repeat(0)), np.int64, len(words)), gap]
+        sizes.append(len(words))
+    ends = np.cumsum(np.array(sizes, np.int64) + 1) - 1
+    return np.concatenate(parts) if parts else gap, ends - sizes, ends
 
 
 def corpus_counts(docs: DataFrame, block, listed: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
@@ -150,12 +153,13 @@ def find_hits(ids, begins, ends, base, index) -> tuple[np.ndarray, np.ndarray, n
     by_size: dict[int, np.ndarray] = {}
     for size, (k, keys, first, number, rows, items, offsets) in index.items():
         code = by_size.setdefault(k, codes(ids, base, k)) if k not in by_size else by_size[k]
-        at = np.searchsorted(keys, code)
-        at[at == len(keys)] = 0
-        where = np.flatnonzero((keys[at] == code) & (code >= 0)) if len(code) else np.empty(0, np.int64)
+        where = np.flatnonzero(code >= 0)
+        key = np.searchsorted(keys, code[where])
+        key[key == len(keys)] = 0
+        met = keys[key] == code[where]
+        where, key = where[met], key[met]
         if not len(where):
             continue
-        key = at[where]
         times = number[key]
         place = np.repeat(where, times)
         window = np.repeat(first[key], times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
@@ -207,7 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs`` needs a text, ``benchmark`` an item_id and a text; other columns of ``docs`` pass.
     """
     spark = docs.sparkSession
-    text_batches(spark)
+    python_tasks(spark)
     listed = ((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
     base, out = docs.drop("_found"), None
     for items in slices(listed, lambda r: len(r[1] or ""), BLOCK_CHARS):

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import text_batches
+from inkveil.llm.common import python_tasks
 from inkveil.sources.session import materialise
 
 UND = "und"
@@ -67,7 +67,7 @@ def choose(labelled: DataFrame, sample: int) -> DataFrame:
 
 def train(labelled: DataFrame, sample: int = 1200, landmarks: int = 240, alphabet: int = 160, ridge: float = 1e-3) -> Model:
     """Fit on ``labelled(doc_id, text, lang)``."""
-    text_batches(labelled.sparkSession)
+    python_tasks(labelled.sparkSession)
     rows = choose(labelled, sample)
 
     def characters(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +140,7 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``_language``: lang_pred and score, from the text alone."""
     spark = docs.sparkSession
-    text_batches(spark)
+    python_tasks(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

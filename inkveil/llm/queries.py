@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, langid, secrets, simhash, urls
+from inkveil.llm import decontam, langid, secrets, sharding, simhash, tokens, urls
 from inkveil.llm.common import table
 
 URL_RULES = [
@@ -31,6 +31,17 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def sharding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -51,6 +62,8 @@ QUERIES = {
     "op1_secret_scan": secret_scan,
     "op5_language_id": language_id,
     "op6_simhash_groups": simhash_groups,
+    "op7_token_output": token_output,
+    "op8_sharding": sharding_plan,
     "op9_decontamination": decontamination,
     "op10_url_filter": url_filter,
 }
@@ -75,6 +88,20 @@ a as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
        sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
 from t left join a using (r)""",
+    # CRC-32 by table over the bytes of the text; shards by exact sums in the order of the key.
+    "op8_sharding": r"""
+with crc as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[],
+               lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+t as (select r, doc_id, strlen(text)::bigint + 1 as size, substr(sha256(text), 1, 16) as k,
+             list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::ubigint) as b from d),
+c as (select t.*, xor(list_reduce(list_prepend(4294967295::ubigint, b), lambda c, x: xor(c >> 8, crc.t[1 + (xor(c, x) & 255)::bigint])), 4294967295)::bigint as text_crc32
+      from t, crc),
+p as (select *, sum(size) over (order by k, doc_id nulls first, r) - size as before, sum(size) over () as total from c),
+s as (select *, (((2 * before + size) * 16) // (2 * total))::int as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard,
+       row_number() over (partition by shard order by k, doc_id nulls first, r) - 1 as slot, null::int as grown_shard
+from s""",
     "op9_decontamination": r"""
 with d as (select row_number() over () as r, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

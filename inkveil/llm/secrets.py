@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import salted_left_join, text_batches
+from inkveil.llm.common import salted_left_join, python_tasks
 from inkveil.sources.session import materialise, shared_dir
 
 FOUND = "array<struct<kind:string,version:int,spans:array<struct<begin:int,end:int>>>>"
@@ -103,7 +103,7 @@ def unseen_pairs(paths: DataFrame, seen: DataFrame | None, rules: tuple[Rule, ..
 def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger lacks, append it, and return all paths (doc_id, blob) of ``docs``."""
     spark = docs.sparkSession
-    text_batches(spark)
+    python_tasks(spark)
     paths = materialise(docs.select("doc_id", blob_of("text").alias("blob")), "paths")
     todo = unseen_pairs(paths, read_ledger(spark, ledger), rules).withColumnRenamed("doc_id", "_doc_id")
     texts = docs.select("doc_id", "text")

@@ -13,8 +13,8 @@ a null component and no links.  Repeated rows are equal texts.  An empty table g
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -22,22 +22,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import ASCII_LOWER, salted_left_join, text_batches
+from inkveil.llm.common import LOWER, UPPER, salted_left_join, python_tasks
 from inkveil.llm.components import components
 from inkveil.sources.session import materialise
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 ALL = (1 << 64) - 1
 FANOUT = 16
 #: Fingerprints that one file of the index holds at most, unless all their bits are fixed.
 LIMIT = 8192
 
 
-def shingles(text: str | None, size: int) -> list[str]:
-    words = WORD.findall((text or "").translate(ASCII_LOWER))
+def shingles(text: str | None, size: int) -> list[bytes]:
+    """Words between spaces and 09-0D, A-Z lower-cased, in runs of ``size`` (or all of fewer words), in UTF-8."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
     if len(words) <= size:
-        return [" ".join(words)] if words else []
-    return [" ".join(x) for x in zip(*(words[i:] for i in range(size)))]
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -46,7 +47,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(parts), 4096):
         some = parts[at : at + 4096]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in some), np.uint64, len(some))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(42)), np.uint64, len(some))
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(2 * counts > len(parts), bitorder="little")
     return int(bits.view(np.uint64)[0])
@@ -54,7 +55,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with ``_fp``, the fingerprint as a signed long."""
-    text_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     @F.pandas_udf("long")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import ASCII_LOWER, slices
+from inkveil.llm.common import ASCII_LOWER, python_tasks, slices
 from inkveil.sources.session import materialise
 
 #: Characters of rule text that one broadcast trie may hold.
@@ -92,6 +92,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     characters, and a later slice replaces a match only by a longer one.
     """
     spark = pages.sparkSession
+    python_tasks(spark)
     keep = pages.drop("host", "path", "rule", "verdict")
     listed = rules.select("rule", "verdict").toLocalIterator()
     judged, first = keep.withColumn("_hit", F.lit(None).cast(_struct())), True
