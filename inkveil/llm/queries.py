@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, langid, secrets, sharding, simhash, tokens, urls
+from inkveil.llm import decontam, langid, licenses, packing, secrets, sharding, simhash, spotsigs, tokens, urls
 from inkveil.llm.common import table
 
 URL_RULES = [
@@ -21,6 +21,24 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    one = lambda x: F.concat_ws(":", x["license"], x["begin"].cast("string"), x["end"].cast("string"))
+    return rows.select(
+        "doc_id", F.col("_found.n_words").alias("n_words"), F.size("_found.licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("_found.licenses", one), ",").alias("licenses"),
+        F.coalesce(F.array_max("_found.licenses.coverage"), F.lit(0.0)).alias("coverage"),
+    )
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return rows.select("doc_id", langid.held_out().alias("held_out"), "_language.lang_pred", "_language.score")
@@ -60,6 +78,9 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": secret_scan,
+    "op2_license_scan": license_scan,
+    "op3_document_fingerprints": document_fingerprints,
+    "op4_best_fit_packing": best_fit_packing,
     "op5_language_id": language_id,
     "op6_simhash_groups": simhash_groups,
     "op7_token_output": token_output,
