@@ -48,6 +48,8 @@ ASSIGN = (
 )
 RULES = (Rule("assign", ASSIGN, 12, 1), Rule("access", r"AKIA[A-Z0-9]+", 18), Rule("hex", r"[0-9a-f]{16,}", 16))
 PLACEHOLDER = "[REDACTED]"
+#: Rows of found secrets (some hundred bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def blob_of(text: Column | str) -> Column:
@@ -145,7 +147,9 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str |
     Masks are applied where the text is: the findings, not the texts, are joined by document.
     """
     found = scan_documents(docs, ledger, rules).where("spans is not null").select("doc_id", F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    found = found.dropDuplicates(["doc_id", "_blob"]).withColumnRenamed("doc_id", "_doc_id")
+    found = materialise(found.dropDuplicates(["doc_id", "_blob"]).withColumnRenamed("doc_id", "_doc_id"), "found")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_doc_id"]) & (blob_of(docs["text"]) == found["_blob"]), "left")
     last = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 

@@ -41,13 +41,16 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
+def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit fingerprint of a whole text."""
-    parts = shingles(text, size)
+    return fingerprint_of(shingles(text, size), seed)
+
+
+def fingerprint_of(parts: list[bytes], seed: int) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(parts), 4096):
         some = parts[at : at + 4096]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(42)), np.uint64, len(some))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(seed)), np.uint64, len(some))
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(2 * counts > len(parts), bitorder="little")
     return int(bits.view(np.uint64)[0])
@@ -126,12 +129,16 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def forest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Root number of each fingerprint of a file under links within ``radius``."""
+def forest(fps: np.ndarray, radius: int, second: np.ndarray | None = None, total: int | None = None) -> np.ndarray:
+    """Root number of each fingerprint of a file under links within ``radius`` (and ``total`` with the second)."""
     order = np.argsort(gray_rank(fps), kind="stable")
     index, root = GrayIndex(fps[order]), np.arange(len(fps))
     for at in range(0, len(fps), 128):
         q, hit = index.near(fps[order][at : at + 128], radius)
+        if second is not None:
+            a, b = order[q + at], order[hit]
+            near = np.bitwise_count(fps[a] ^ fps[b]) + np.bitwise_count(second[a] ^ second[b]) <= total
+            q, hit = q[near], hit[near]
         unite(root, q + at, hit)
     out = np.empty(len(fps), np.int64)
     out[order] = order[root]
@@ -153,15 +160,10 @@ def signed(x: int) -> int:
 
 
 def files(nodes: DataFrame, radius: int) -> DataFrame:
-    """(mask, key, fp, id): each fingerprint under parts of its bits, no file larger than ``LIMIT``."""
-
-    def under(masks: list[int]) -> Column:
-        return F.array(*[F.lit(signed(m)).cast("long") for m in masks])
+    """``nodes`` with mask and key: each fingerprint under parts of its bits, no file larger than ``LIMIT``."""
 
     masks = parts_of(0, radius)
-    rows = nodes.withColumn("mask", F.explode(under(masks)))
-    rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    done = None
+    rows, done = filed_under(nodes, masks), None
     while True:
         large = materialise(rows.groupBy("mask", "key").count().where(F.col("count") > LIMIT), "large-files")
         finer = {m: parts_of(m, radius) for m in masks}
@@ -169,14 +171,27 @@ def files(nodes: DataFrame, radius: int) -> DataFrame:
             return rows if done is None else done.unionByName(rows)
         fits = rows.join(large, ["mask", "key"], "left_anti")
         done = fits if done is None else done.unionByName(fits)
-        deeper = F.create_map(*[x for m, sub in finer.items() for x in (F.lit(signed(m)).cast("long"), under(sub or [m]))])
+        deeper = F.create_map(*[x for m, sub in finer.items() for x in (F.lit(signed(m)).cast("long"), longs(sub or [m]))])
         rows = rows.join(large, ["mask", "key"], "left_semi").withColumn("mask", F.explode(deeper[F.col("mask")]))
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).select(*done.columns)
         masks = sorted({s for sub in finer.values() for s in sub})
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """``nodes(fp, id)``, one row a fingerprint -> edges (u, v) of ids that span all links within ``radius`` bits."""
+def longs(masks: list[int]) -> Column:
+    return F.array(*[F.lit(signed(m)).cast("long") for m in masks])
+
+
+def filed_under(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """``nodes`` once under each mask, the key being the fingerprint's masked bits."""
+    rows = nodes.withColumn("mask", F.explode(longs(masks)))
+    return rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def links(filed: DataFrame, radius: int, total: int | None = None) -> DataFrame:
+    """``filed(mask, key, fp, id)`` -> edges (u, v) of ids that span all links within ``radius`` bits in each file.
+
+    With a second fingerprint column ``fp2``, both together may differ in ``total`` bits.
+    """
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -185,33 +200,43 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
             same = (held["mask"].values == held["mask"].values[-1]) & (held["key"].values == held["key"].values[-1])
             whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if whole:
-                yield edges_of(held.iloc[:whole], radius)
+                yield edges_of(held.iloc[:whole], radius, total)
                 held = held.iloc[whole:].reset_index(drop=True)
         if held is not None and len(held):
-            yield edges_of(held, radius)
+            yield edges_of(held, radius, total)
 
-    filed = files(nodes, radius)
-    n = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_files = filed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp").select("mask", "key", "fp", "id")
-    return sorted_files.mapInPandas(search, "u long, v long")
+    spark = filed.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # a few numbers a row
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = [c for c in ("mask", "key", "fp", "fp2", "id") if c in filed.columns]
+    rows = filed.select(columns).repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
+    return rows.mapInPandas(search, "u long, v long")
 
 
-def edges_of(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Edges of whole files, rows sorted by file."""
+def edges_of(rows: pd.DataFrame, radius: int, total: int | None = None) -> pd.DataFrame:
+    """Edges of whole files, rows sorted by file.  Files of one leaf are compared directly, larger ones by index."""
     mask, key, ids = rows["mask"].values, rows["key"].values, rows["id"].values
     fps = rows["fp"].values.view(np.uint64)
+    second = rows["fp2"].values.view(np.uint64) if total is not None else None
     new = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))))
     size = np.diff(np.append(new, len(rows)))
-    us, vs = [], []
-    for at, n in zip(new[size > 2], size[size > 2]):
-        root = forest(fps[at : at + n], radius)
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at, n in zip(new[size > FANOUT].tolist(), size[size > FANOUT].tolist()):
+        root = forest(fps[at : at + n], radius, None if second is None else second[at : at + n], total)
         child = np.flatnonzero(root != np.arange(n))
         us.append(ids[at + child])
         vs.append(ids[at + root[child]])
-    pair = new[size == 2]  # a file of two is one comparison
-    near = np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= radius
-    us.append(ids[pair[near]])
-    vs.append(ids[pair[near] + 1])
+    left = np.repeat(np.where(size <= FANOUT, new + size, 0), size) - np.arange(len(rows))  # rows of the file from here on
+    for step in range(1, FANOUT):
+        i = np.flatnonzero(left > step)
+        if not len(i):
+            break
+        differ = np.bitwise_count(fps[i] ^ fps[i + step])
+        near = differ <= radius
+        if second is not None:
+            near &= differ + np.bitwise_count(second[i] ^ second[i + step]) <= total
+        us.append(ids[i[near]])
+        vs.append(ids[i[near] + step])
     return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
 
@@ -220,7 +245,7 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     prints = materialise(fingerprints(docs.select("doc_id", "text"), size).select("doc_id", F.col("_fp").alias("fp")), "fingerprints")
     nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     nodes = materialise(nodes, "nodes")
-    roots = components(links(nodes.select("fp", "id"), radius))
+    roots = components(links(files(nodes.select("fp", "id"), radius), radius))
     grouped = (
         nodes.join(roots, nodes["id"] == roots["node"], "left")
         .where("n > 1 or root is not null")
