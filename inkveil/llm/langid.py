@@ -75,7 +75,8 @@ def train(labelled: DataFrame, sample: int = 1200, landmarks: int = 240, alphabe
         for part in parts:
             for text in part["text"]:
                 total.update((text or "").lower())
-        yield pd.DataFrame({"c": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"c": pd.Series(list(total), dtype=object), "n": list(total.values())})
 
     counted = rows.select("text").mapInPandas(characters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
     letters = [r.c for r in counted.orderBy(F.desc("n"), "c").limit(alphabet).collect()]
@@ -148,7 +149,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         held = shared.value
         for texts in parts:
             names, scores = score(list(texts), held)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
 
     return docs.drop("_language").withColumn("_language", label("text"))
 

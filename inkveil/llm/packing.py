@@ -95,7 +95,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = Non
         part = part.assign(n=number)
         return pd.DataFrame({
             "doc_id": part["doc_id"], "piece": part["piece"], "first_word": part["first_word"], "size": part["size"],
-            "bin": part["g"].astype(str) + "-" + number.astype(str),
+            "bin": pd.Series([f"{g}-{n}" for g, n in zip(part["g"], number)], index=part.index, dtype=object),
             "offset": part.groupby("n")["size"].cumsum() - part["size"], "bin_used": part.groupby("n")["size"].transform("sum"),
         })
 

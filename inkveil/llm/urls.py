@@ -125,7 +125,7 @@ def _matcher(trie):
                 if rule is not None and (hit[0] is None or len(hit[0]) <= len(rule)):
                     hit = _better((rule, verdict), hit)
                 out.append((host, path, *hit))
-            yield pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
+            yield pd.DataFrame(out, columns=["host", "path", "rule", "verdict"], dtype=object)
 
     return match
 
