@@ -36,17 +36,20 @@ def _words(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct signature hashes (array<long>) of a text."""
-    words = _words(F.coalesce(text, F.lit("")))
+def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the sorted distinct signature hashes (array<long>) of a text column.
+
+    Each step is a column of its own, so that none is computed twice.
+    """
     anchors = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
-    marked = F.regexp_replace(words, f" (?:{anchors})(?= )", f" {MARK}")
+    marked = F.regexp_replace("_words", f" (?:{anchors})(?= )", f" {MARK}")
     joined = F.regexp_replace(marked, f"{MARK}[{MARK} ]*", MARK)  # the mark sticks to the next content word
     word = f"[^ {MARK}]+"
     chains = F.regexp_extract_all(joined, F.lit(f"{MARK}(?=({word}(?: {MARK}?{word}){{{CHAIN - 1}}}))"), 1)
     found = F.array_distinct(F.transform(chains, lambda c: F.xxhash64(F.translate(c, MARK, ""))))
-    whole = F.when(F.length(words) > 1, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
-    return F.array_sort(F.when(F.size(found) > 0, found).otherwise(whole))
+    whole = F.when(F.length("_words") > 1, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("_words", _words(F.coalesce(text, F.lit("")))).withColumn("_found", found)
+    return rows.withColumn(name, F.array_sort(F.when(F.size("_found") > 0, F.col("_found")).otherwise(whole))).drop("_words", "_found")
 
 
 def printed(sig: Column) -> Column:
@@ -79,16 +82,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     follow = follow.select("r", F.col("n.k").alias("k"))
     heads_only = rows.select("k", "text").join(F.broadcast(follow.select("k").distinct()), "k")
     head_text = heads_only.groupBy("k").agg(F.min("text").alias("head_text"))
-    following = follow.join(head_text, "k").select(F.col("r").alias("_r"), "head_text")
+    following = with_signatures(follow.join(head_text, "k").select(F.col("r").alias("_r"), "head_text"), "head_text", "head_sig")
     inside = Window.partitionBy("r").orderBy("k", "text")
-    signed = rows.withColumn("sig", signatures(F.col("text")))
-    led = signed.withColumn("n", F.lead(F.struct("text", "sig")).over(inside))
-    both = led.join(following, (F.col("r") == F.col("_r")) & F.col("n").isNull(), "left")
-    last = F.col("n").isNull()
+    signed = with_signatures(rows, "text", "sig")  # before the shuffle; hashes are a fraction of the text
+    led = signed.select("*", F.lead("text").over(inside).alias("next_text"), F.lead("sig").over(inside).alias("next_sig"))
+    both = led.join(following, (F.col("r") == F.col("_r")) & F.col("next_text").isNull(), "left")
     return both.select(
         "doc_id", "text", "sig",
-        F.when(last, F.col("head_text")).otherwise(F.col("n.text")).alias("next_text"),
-        F.when(last, signatures(F.col("head_text"))).otherwise(F.col("n.sig")).alias("next_sig"),
+        F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_sig", "head_sig").alias("next_sig"),
     )
 
 
@@ -101,9 +102,8 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and both likenesses."""
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sig", "next_sig",
-        signatures(F.col("edited")).alias("edited_sig"),
+    rows = with_signatures(rows, "edited", "edited_sig").select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sig", "next_sig", "edited_sig",
     )
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", printed(F.col("sig")).alias("fingerprint"), printed(F.col("edited_sig")).alias("edited_fingerprint"),
@@ -119,7 +119,7 @@ def partners(queries: DataFrame, docs: DataFrame, threshold: float = 0.8) -> Dat
     partners; equal sets are expanded on the side of the documents only.
     """
     def sets(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(F.col("doc_id").alias(name), signatures(F.col("text")).alias("sig")).where(F.size("sig") > 0)
+        return with_signatures(rows, "text", "sig").select(F.col("doc_id").alias(name), "sig").where(F.size("sig") > 0)
 
     ours, theirs = sets(queries, "doc_id"), sets(docs, "partner_id")
     held = theirs.groupBy("sig").agg(F.count("*").alias("copies"))
