@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import decontam, langid, nearcopies, packing, secrets
-from inkveil.llm.common import table
+from inkveil.llm.common import table, wrapped
 from inkveil.sources.session import shared_dir
 
 #: Texts that look like none of the learned languages score below this (a one-versus-rest output, 1 for a sure case).
@@ -15,9 +15,9 @@ LEAST_LANGUAGE_SCORE = 0.1
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; no text, no letter or no likeness to any of them: out."""
-    rows = langid.predict(docs, langid.train(docs.select("doc_id", "text", "lang")))
+    rows = langid.predict(wrapped(docs, "text"), langid.train(docs.select("doc_id", "text", "lang")))
     known = (F.col("_language.lang_pred") != langid.UND) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)
-    return rows.where(known).select(*docs.columns)
+    return rows.where(known).select("_row.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

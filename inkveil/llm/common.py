@@ -34,6 +34,11 @@ def python_tasks(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def wrapped(docs: DataFrame, *needed: str) -> DataFrame:
+    """The whole row as ``_row`` beside the needed columns, so that no other column can clash; ``_row.*`` unwraps."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[docs[c] for c in needed])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

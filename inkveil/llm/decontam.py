@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import slices, python_tasks
+from inkveil.llm.common import python_tasks, slices, wrapped
 from inkveil.sources.session import materialise
 
 #: Bytes of UTF-8: a-z, digits and all of non-ASCII stay, A-Z become a-z, the rest separates words.
@@ -252,4 +252,4 @@ def n_hit(found: str = "_found"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window stands, with their columns."""
-    return contamination(docs, benchmark).where(F.size("_found.hits") == 0).select(*docs.columns)
+    return contamination(wrapped(docs, "text"), benchmark).where(F.size("_found.hits") == 0).select("_row.*")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import salted_left_join, python_tasks
+from inkveil.llm.common import python_tasks, salted_left_join, wrapped
 from inkveil.sources.session import materialise, shared_dir
 
 FOUND = "array<struct<kind:string,version:int,spans:array<struct<begin:int,end:int>>>>"
@@ -150,7 +150,8 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str |
     found = materialise(found.dropDuplicates(["doc_id", "_blob"]).withColumnRenamed("doc_id", "_doc_id"), "found")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_doc_id"]) & (blob_of(docs["text"]) == found["_blob"]), "left")
+    rows = wrapped(docs, "doc_id", "text")
+    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_doc_id"]) & (blob_of(rows["text"]) == found["_blob"]), "left")
     last = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 
     def step(done, s):
@@ -160,9 +161,8 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str |
         return F.struct(F.concat(done["text"], gap, mark).alias("text"), F.greatest(done["at"], s["end"]).alias("at"))
 
     masked = F.aggregate("_spans", last, step, lambda d: F.concat(d["text"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)
-    out = rows.withColumn("text", text)
+    out = rows.withColumn("_masked", masked)
+    row = F.col("_row").withField("text", F.col("_masked"))
     if "n_chars" in docs.columns:
-        changed = F.col("_spans").isNotNull()
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length("_masked").cast(docs.schema["n_chars"].dataType))
+    return out.select(F.when(F.col("_spans").isNull(), F.col("_row")).otherwise(row).alias("_row")).select("_row.*")

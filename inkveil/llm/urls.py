@@ -134,7 +134,12 @@ def _better(old: tuple, new: tuple) -> tuple:
     """Of two matches, ``old`` at least as long: the longer rule, then the longer host, then block."""
     if new[0] is None or len(old[0]) > len(new[0]):
         return old
-    a, b = old[0].partition("/")[0].count("."), new[0].partition("/")[0].count(".")
+    a, b = _labels(old[0]), _labels(new[0])
     if a != b:
         return old if a > b else new
     return new if new[1] == "block" else old
+
+
+def _labels(rule: str) -> int:
+    host = rule.partition("/")[0]
+    return host.count(".") + 1 if host else 0
