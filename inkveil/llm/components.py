@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps, each a map-side combined minimum and a join."""
+"""Connected components by alternating small-star and large-star steps, each a map-side combined minimum and a join."""
 
 from __future__ import annotations
 
@@ -22,11 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, mark = materialise(now, "edges"), None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        small = _with_min(large)
+        # First each node to its smallest smaller neighbour: edges from forests collapse before both directions are needed.
+        small = _with_min(now)
         small = small.select(F.col("v").alias("a"), "low").unionByName(small.select(F.col("u").alias("a"), "low"))
-        now = materialise(small.where("a <> low").select(F.col("a").alias("u"), F.col("low").alias("v")).distinct(), "edges")
+        small = small.where("a <> low").select(F.col("a").alias("u"), F.col("low").alias("v")).distinct()
+        small = materialise(small, "edges")
+        both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        now = materialise(large, "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,11 +1,12 @@
 """Near-duplicate texts by SimHash candidates and an exact check: Jaccard of five-word shingles of 0.8 or more.
 
 Equal texts are one node.  Copies at that similarity differ in some 15 % of SimHash bits, too many for filing by parts,
-so each text's 64-bit fingerprint is filed under ``MASKS`` sampled masks of ``BITS`` bits; in a file the Gray-order index
-finds those within ``RADIUS`` bits, and a second fingerprint must agree as well.  Texts so linked are candidates; within
+so two independent 64-bit fingerprints of each text are filed under ``MASKS`` sampled masks of ``BITS`` bits, half each;
+in a file the Gray-order index finds those within ``RADIUS`` bits, and the other fingerprint must agree as well
+(``TOTAL``).  Texts so linked are candidates; within
 a component of candidates all pairs are compared exactly, a large one as pairs of blocks of ``BLOCK`` texts in tasks of
-their own, and each task gives a spanning forest of the links it confirms.  Only the sampled masks can miss a pair: of
-similarity 0.8 about one in ten, of 0.85 one in fifty, of 0.9 fewer than one in a thousand (README has measured recall).
+their own, and each task gives a spanning forest of the links it confirms.  Only the sampled masks can miss a pair (README has
+measured recall).
 
 Nulls and odd input: a null text is empty, and texts without words are alike; documents with a null doc_id are kept as
 they are; rows repeated with the same id and text are one document; an empty table gives an empty result; other columns
@@ -24,16 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import python_tasks
+from inkveil.llm.common import python_tasks, wrapped
 from inkveil.llm.components import components
 from inkveil.llm.secrets import blob_of
 from inkveil.llm.simhash import filed_under, fingerprint_of, links, shingles, unite
 from inkveil.sources.session import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
-MASKS, BITS = 48, 16
-#: Bits in which the first fingerprints, and both together, may differ (means at 0.8: 9.7 and 19.4).
-RADIUS, TOTAL = 16, 27
+MASKS, BITS = 64, 16
+#: Bits in which the filed fingerprints, and both together, may differ (means at 0.8: 9.7 and 19.4).
+RADIUS, TOTAL = 20, 32
 BLOCK = 512
 
 
@@ -103,12 +104,16 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = known.select("doc_id", blob_of("text").alias("blob"), F.pandas_udf(_two_fingerprints, "fp long, fp2 long")("text").alias("f"))
     prints = materialise(prints.select("doc_id", "blob", "f.fp", "f.fp2"), "prints")
     nodes = materialise(prints.groupBy("blob").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "nodes")
-    found = components(links(filed_under(nodes.select("fp", "fp2", "id"), sampled_masks()), RADIUS, TOTAL))
+    masks = sampled_masks()
+    other = nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id")
+    filed = filed_under(nodes.select("fp", "fp2", "id"), masks[::2]).unionByName(filed_under(other, masks[1::2]))
+    found = components(links(filed, RADIUS, TOTAL))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = materialise(members.join(sizes, "root").join(nodes.select(F.col("id").alias("node"), "blob"), "node"), "members")
     python_tasks(spark)
-    texts = known.withColumnRenamed("doc_id", "node").join(members, "node").where(blob_of("text") == F.col("blob"))
+    # Texts are dealt by doc_id at every size; the other side is a fraction of the ids.
+    texts = known.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node").where(blob_of("text") == F.col("blob"))
     sets = texts.select("root", "blocks", F.col("node").alias("id"), F.pandas_udf(_shingle_set, "array<long>")("text").alias("shingles"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -124,10 +129,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     kept = nodes.join(roots, nodes["doc_id"] == roots["node"], "left_anti")
     dropped = prints.select("doc_id", "blob").distinct().join(kept, ["doc_id", "blob"], "left_anti")
     dropped = materialise(dropped.select(F.col("doc_id").alias("_doc_id"), F.col("blob").alias("_blob")), "dropped")
-    out = docs.join(dropped, (docs["doc_id"] == dropped["_doc_id"]) & (blob_of(docs["text"]) == dropped["_blob"]), "left_anti")
+    rows = wrapped(docs, "doc_id", "text")
+    out = rows.join(dropped.hint("shuffle_hash"), (rows["doc_id"] == dropped["_doc_id"]) & (blob_of(rows["text"]) == dropped["_blob"]), "left_anti")
     twice = materialise(prints.groupBy("doc_id", "blob").count().where("count > 1").select(F.col("doc_id").alias("_doc_id")).distinct(), "twice")
     if twice.isEmpty():
-        return out
+        return out.select("_row.*")
     same = F.col("doc_id") == F.col("_doc_id")
-    once = out.join(twice, same, "left_semi").withColumn("_blob", blob_of("text")).dropDuplicates(["doc_id", "_blob"]).drop("_blob")
-    return out.join(twice, same, "left_anti").unionByName(once)
+    once = out.join(twice, same, "left_semi").withColumn("_blob", blob_of("text")).dropDuplicates(["doc_id", "_blob"])
+    return out.join(twice, same, "left_anti").select("_row.*").unionByName(once.select("_row.*"))

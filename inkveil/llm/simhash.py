@@ -214,19 +214,17 @@ def links(filed: DataFrame, radius: int, total: int | None = None) -> DataFrame:
 
 
 def edges_of(rows: pd.DataFrame, radius: int, total: int | None = None) -> pd.DataFrame:
-    """Edges of whole files, rows sorted by file.  Files of one leaf are compared directly, larger ones by index."""
+    """Edges of whole files, rows sorted by file: at most one a row, to the smallest id that its links reach.
+
+    Files of one leaf are compared directly, larger ones by index.
+    """
     mask, key, ids = rows["mask"].values, rows["key"].values, rows["id"].values
     fps = rows["fp"].values.view(np.uint64)
     second = rows["fp2"].values.view(np.uint64) if total is not None else None
     new = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))))
     size = np.diff(np.append(new, len(rows)))
-    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at, n in zip(new[size > FANOUT].tolist(), size[size > FANOUT].tolist()):
-        root = forest(fps[at : at + n], radius, None if second is None else second[at : at + n], total)
-        child = np.flatnonzero(root != np.arange(n))
-        us.append(ids[at + child])
-        vs.append(ids[at + root[child]])
-    left = np.repeat(np.where(size <= FANOUT, new + size, 0), size) - np.arange(len(rows))  # rows of the file from here on
+    root = np.arange(len(rows))
+    left = np.repeat(np.where(size <= FANOUT, new + size, 0), size) - root  # rows of the file from here on
     for step in range(1, FANOUT):
         i = np.flatnonzero(left > step)
         if not len(i):
@@ -235,9 +233,14 @@ def edges_of(rows: pd.DataFrame, radius: int, total: int | None = None) -> pd.Da
         near = differ <= radius
         if second is not None:
             near &= differ + np.bitwise_count(second[i] ^ second[i + step]) <= total
-        us.append(ids[i[near]])
-        vs.append(ids[i[near] + step])
-    return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+        unite(root, i[near], i[near] + step)
+    for at, n in zip(new[size > FANOUT].tolist(), size[size > FANOUT].tolist()):
+        root[at : at + n] = at + forest(fps[at : at + n], radius, None if second is None else second[at : at + n], total)
+    linked = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+    linked = linked[np.lexsort((ids[linked], root[linked]))]
+    first = np.concatenate(([True], np.diff(root[linked]) != 0)) if len(linked) else np.empty(0, bool)
+    low = ids[linked][np.flatnonzero(first)][np.cumsum(first) - 1] if len(linked) else ids[:0]
+    return pd.DataFrame({"u": ids[linked][~first], "v": low[~first]})
 
 
 def near_groups(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
