@@ -297,12 +297,8 @@ def build() -> dict[str, str]:
         "LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.category = dim.category"
     )
     # ---- aggregates, distinct, windows
-    per_page = []
-    for p in profile_patterns("scan", ["phone", "email", "credit_card", "bic"]):
-        per_page.append(
-            f"SELECT doc_id, page, '{p.category}' AS category, CAST({p.ordinal} AS INTEGER) AS ordinal, CAST(len({S.extract(p)}) AS INTEGER) AS n FROM src"
-        )
-    o["count_per_page"] = f"WITH src AS (SELECT *, {S.NORM} AS norm FROM ({S.DOC_PAGES})) {' UNION ALL '.join(per_page)}"
+    per_page = ", ".join(f"len({S.extract(p)})" for p in profile_patterns("scan"))
+    o["count_per_page"] = f"WITH src AS (SELECT *, {S.NORM} AS norm FROM ({S.CORPUS})) SELECT doc_id, page, concat_ws(',', {per_page}) AS counts FROM src"
     counts = phrase_counts(corpus(REDACT))
     o["count_per_category"] = counts + " SELECT doc_id, category, n_items FROM counts"
     o["total_items"] = counts + (
@@ -383,4 +379,20 @@ def build() -> dict[str, str]:
     )
     head, last = text_job(S.DOCS, text_steps())
     o["stream_redact"] = f"{head} SELECT doc_id, text FROM {last}"
+    labelled = r"\bIBAN\s*:?\s*[A-Z]{2}[0-9]{2}[0-9A-Z]{10,30}\b"
+    o["iban_labelled"] = (
+        f"WITH t AS (SELECT o_orderkey AS doc_id, {C.LABELLED_IBAN} AS text FROM orders) "
+        f"SELECT doc_id, 'found' AS kind, CAST(2 AS INTEGER) AS ordinal, unnest(regexp_extract_all(text, {q('(?i)' + labelled)})) AS value FROM t UNION ALL "
+        f"SELECT doc_id, 'left', CAST(2 AS INTEGER), unnest(regexp_extract_all(text, {q(labelled)})) FROM t"
+    )
+    o["stream_counts"] = o["count_per_category"]
+    o["page_job"] = (
+        f"SELECT d.doc_id, coalesce(n_findings, 0) AS n_findings, coalesce(n_items, 0) AS n_items, coalesce(n_hidden, 0) AS n_hidden, "
+        f"coalesce(a, 0) + coalesce(b, 0) AS n_issues, coalesce(a, 0) + coalesce(b, 0) = 0 AS success FROM ({S.CORPUS_DOCS}) d "
+        f"LEFT JOIN (SELECT doc_id, count(*) AS n_findings FROM ({o['findings_redact']}) GROUP BY doc_id) f USING (doc_id) "
+        f"LEFT JOIN (SELECT doc_id, CAST(sum(n_items) AS BIGINT) AS n_items FROM ({o['count_per_category']}) GROUP BY doc_id) c USING (doc_id) "
+        f"LEFT JOIN (SELECT doc_id, CAST(sum(len(text) - len(replace(text, '█', ''))) AS BIGINT) AS n_hidden FROM ({o['redact_block']}) GROUP BY doc_id) m USING (doc_id) "
+        f"LEFT JOIN (SELECT doc_id, count(*) AS a FROM ({o['verify_text']}) GROUP BY doc_id) t USING (doc_id) "
+        f"LEFT JOIN (SELECT doc_id, count(*) AS b FROM ({o['verify_words']}) GROUP BY doc_id) w USING (doc_id)"
+    )
     return o

@@ -59,6 +59,13 @@ LABEL_SEPARATORS = r"\s:\-–—(\[{<>|/\\+=*&^%$#@!?;,.'\"`~"
 # End of fixed values.
 # --------------------------------------------------------------------------
 
+# The same two forms with possessive quantifiers: nothing matched is ever given back, so Java needs no stack for it
+# and long runs of capitalised words are no danger.  Each repeated part ends where the next begins, so no match is lost.
+_STACK_SAFE = {
+    COMMON_HEADINGS[0]: r"^(?:[A-Z][a-z]*+\s*+)++:",
+    COMMON_HEADINGS[7]: r"^[A-Z][a-z]++(?:\s++[A-Z][a-z]++)*+\s*+[:-]",
+}
+
 # Languages with rules of their own; every other language follows English.
 RULE_LANGUAGES = ["en", "de", "fr", "es", "hi"]
 _FLAGS = "(?dU)"
@@ -79,7 +86,7 @@ def _sensitive(stripped: Column) -> Column:
 
 
 def _common(stripped: Column) -> Column:
-    return stripped.rlike(_FLAGS + "|".join(COMMON_HEADINGS))
+    return stripped.rlike(_FLAGS + "|".join(_STACK_SAFE.get(form, form) for form in COMMON_HEADINGS))
 
 
 def _by_language(stripped: Column, lang: str) -> Column:

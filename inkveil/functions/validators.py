@@ -6,6 +6,9 @@ whole texts.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +27,16 @@ VERHOEFF_PERM = (
 PAN_HOLDER = "ABCFGHLJPT"
 
 
+#: Every decimal digit of Unicode, and its value.
+_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+_DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
+def ascii_digits(value: Column) -> Column:
+    """Decimal digits of all scripts as 0-9."""
+    return F.translate(value, _DIGITS, _DIGIT_VALUES)
+
+
 def strip_separators(value: Column) -> Column:
     """Remove hyphens and blanks."""
     return F.regexp_replace(value, r"(?U)[-\s]", "")
@@ -48,7 +61,7 @@ def luhn_valid(value: Column) -> Column:
 
 def verhoeff_valid(value: Column) -> Column:
     """Twelve digits whose Verhoeff check digit is right."""
-    digits = F.translate(strip_separators(value), "०१२३४५६७८९", "0123456789")
+    digits = ascii_digits(strip_separators(value))
     backwards = F.reverse(digits)
     permuted = lambda i: F.substring(
         F.lit(VERHOEFF_PERM), (i % 8) * 10 + F.substring(backwards, i + 1, F.lit(1)).cast("int") + 1, F.lit(1)
@@ -64,14 +77,15 @@ def verhoeff_valid(value: Column) -> Column:
 def iban_valid(value: Column) -> Column:
     """Format, then modulo 97 with a rolling remainder (no big integers)."""
     code = F.upper(strip_blanks(value))
-    rotated = F.concat(F.substring(code, F.lit(5), F.length(code)), F.substring(code, 1, 4))
+    plain = ascii_digits(code)
+    rotated = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
 
     def step(acc, i):
         point = F.ascii(F.substring(rotated, i, F.lit(1)))
         return F.when(point < 58, (acc * 10 + point - 48) % 97).otherwise((acc * 100 + point - 55) % 97)
 
     rest = F.aggregate(F.sequence(F.lit(1), F.length(rotated)), F.lit(0), step)
-    return F.coalesce(F.when(code.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{4,}$"), rest == 1), F.lit(False))
+    return F.coalesce(F.when(code.rlike(r"(?U)^[A-Z]{2}\d{2}[A-Z0-9]{4,}$"), rest == 1), F.lit(False))
 
 
 def bic_valid(value: Column) -> Column:
@@ -79,7 +93,7 @@ def bic_valid(value: Column) -> Column:
 
 
 def pan_valid(value: Column) -> Column:
-    return F.upper(strip_separators(value)).rlike(f"^[A-Z]{{3}}[{PAN_HOLDER}][A-Z][0-9]{{4}}[A-Z]$")
+    return F.upper(strip_separators(value)).rlike(rf"(?U)^[A-Z]{{3}}[{PAN_HOLDER}][A-Z]\d{{4}}[A-Z]$")
 
 
 def calling_code_valid(value: Column) -> Column:

@@ -44,6 +44,13 @@ def category_counts(findings: DataFrame) -> DataFrame:
     return first_seen(findings).groupBy("doc_id", "category").agg(F.sum(weight).alias("n_items"))
 
 
+def merged_counts(values: DataFrame) -> DataFrame:
+    """:func:`category_counts` from values ``(doc_id, category, value, n)`` that were first seen in several parts."""
+    weight = F.when(F.col("category").isin(REPEATED_CATEGORIES), F.col("n")).otherwise(F.lit(1))
+    once = values.groupBy("doc_id", "category", "value").agg(F.sum("n").alias("n"))
+    return once.groupBy("doc_id", "category").agg(F.sum(weight).alias("n_items"))
+
+
 def totals(counts: DataFrame) -> DataFrame:
     """Totals per document, per category and overall in one pass."""
     return (

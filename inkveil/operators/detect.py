@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,55 +38,35 @@ _GUARDS = {
 }
 
 
-def _guard(p: Pattern) -> str | None:
-    if p.category == "email":
-        if r"\s+dot" in p.regex:
-            return "dot_word"
-        if r"(?:@|\[at\])" in p.regex:
-            return "at_any"
-        return "at_sign" if "@" in p.regex else "bracket"
-    if p.category == "expiry":
-        return "slash" if r"\d{1,2}/" in p.regex else "digits2"
-    if p.category == "cvv":
-        return "card_label"
-    if p.category == "phone" and p.ordinal == 0:
-        return "plus"
-    if p.category == "phone" and p.regex.startswith(r"\+?\d{1,3}[-.\s]?\(?\d{1,4}"):
-        return "digit"
-    if p.category == "phone":
-        return "digits7"
-    if p.category in ("credit_card", "aadhaar"):
-        return "digits12"
-    if p.category in ("iban", "pan"):
-        return "digits3"
-    return None
-
-
 def all_matches(text: Column, java: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java), F.lit(0))
 
 
 def guarded_matches(text: Column, p: Pattern) -> Column:
     """Matches of one pattern, or null when its guard already excludes any."""
-    name = _guard(p)
+    name = p.guard
     found = all_matches(text, p.java)
     return F.when(_GUARDS[name](text), found) if name else found
 
 
 def guarded(texts: DataFrame, patterns: list[Pattern]) -> tuple[DataFrame, list[Column | None]]:
     """``texts`` with guard columns, and the guard of each pattern (or ``None``)."""
-    names = [_guard(p) for p in patterns]
+    names = [p.guard for p in patterns]
     used = sorted({n for n in names if n})
     flagged = texts.select("*", *[_GUARDS[n](F.col("text")).alias(f"_{n}") for n in used])
     return flagged, [F.col(f"_{n}") if n else None for n in names]
 
 
-def _guarded(pages: DataFrame, patterns: list[Pattern]) -> tuple[DataFrame, list[Column]]:
+def _guarded(
+    pages: DataFrame, patterns: list[Pattern], conditions: list[Column] | None = None
+) -> tuple[DataFrame, list[Column]]:
     """Pages with guard columns, and the match array of each pattern."""
     flagged, checks = guarded(pages, patterns)
     arrays = []
-    for p, check in zip(patterns, checks):
+    for i, (p, check) in enumerate(zip(patterns, checks)):
         found = all_matches(F.col("text"), p.java)
+        if conditions is not None:
+            check = conditions[i] if check is None else conditions[i] & check
         arrays.append(found if check is None else F.when(check, found))
     return flagged, arrays
 
@@ -98,9 +82,12 @@ def find(
     context: int | None = None,
     keep: tuple = (),
     validate: bool = True,
+    conditions: list[Column] | None = None,
 ) -> DataFrame:
     """Findings of ``patterns`` in ``pages(doc_id, page, text)``.
 
+    ``conditions``, one per pattern, say on which pages a pattern applies.
+
     The match lists of all patterns form one array; lists without a match are
     dropped before the array is expanded, so only real matches become rows and
     the text itself leaves the plan.  (Expanding first makes Spark compile all
@@ -108,7 +95,7 @@ def find(
     ``context`` adds the text around each match.
     """
     keys = [*KEYS, *keep]
-    flagged, arrays = _guarded(pages, patterns)
+    flagged, arrays = _guarded(pages, patterns, conditions)
     lists = F.array(*[F.struct(F.lit(i).alias("pat"), a.alias("ms")) for i, a in enumerate(arrays)])
     hits = flagged.select(*keys, "text", F.inline(F.filter(lists, lambda s: F.size(s["ms"]) > 0)))
     pat = F.col("pat")
@@ -177,20 +164,20 @@ def findings(
 
 
 def _lang_findings(pages: DataFrame, categories, spans: bool, keep: tuple) -> DataFrame:
-    """Known language: its own set; unknown language: English."""
-    by_set = [
-        (F.col("lang") == "hi", "hi"),
-        (F.coalesce(F.col("lang") != "hi", F.lit(True)), "en"),
-    ]
-    parts = []
-    for condition, lang in by_set:
-        patterns = profile_patterns("lang", categories, lang=lang)
-        if patterns:
-            parts.append(find(pages.filter(condition), patterns, spans=spans, keep=keep))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Known language: its own set; unknown language: English.  One scan, each pattern on the pages of its set."""
+    hindi = F.coalesce(F.col("lang") == "hi", F.lit(False))
+    patterns, conditions = [], []
+    for lang, condition in (("hi", hindi), ("en", ~hindi)):
+        own = profile_patterns("lang", categories, lang=lang)
+        patterns += own
+        conditions += [condition] * len(own)
+    return find(pages, patterns, spans=spans, keep=keep, conditions=conditions)
+
+
+def page_counts(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """``(doc_id, page, counts)``: matches of each pattern, in order, zeros included; one row per page."""
+    flagged, arrays = _guarded(pages, patterns)
+    return flagged.select(*KEYS, F.array(*[F.greatest(F.coalesce(F.size(a), F.lit(0)), F.lit(0)) for a in arrays]).alias("counts"))
 
 
 def count_per_page(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
@@ -214,18 +201,28 @@ def match_pattern(pages: DataFrame, regex: str, ignore_case: bool = True) -> Dat
     return pages.select(*KEYS, values.alias("values")).select(*KEYS, F.size("values").alias("n"), "values")
 
 
-def match_pattern_table(pages: DataFrame, table: DataFrame, limit: int = 1000) -> DataFrame:
-    """Every page against a user's table ``(pattern_id INT, regex STRING, ignore_case BOOLEAN)``.
+def match_pattern_table(pages: DataFrame, table: DataFrame, at_once: int = 200) -> DataFrame:
+    """Every page against a user's table ``(pattern_id INT, regex STRING, ignore_case BOOLEAN)`` of any length.
 
-    Such a table is configuration, so its rows (at most ``limit``; more is an
-    error) become literals of one scan.  Compared with a join against the table
-    each regex is compiled once per task and no page is repeated per pattern.
+    The rows become literals of a scan, ``at_once`` of them in each; the scans of a longer table are united.
+    Compared with a join against the table each regex is compiled once per task and no page is repeated per pattern.
     """
-    rows = table.orderBy("pattern_id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} patterns: run the pattern table in parts")
-    patterns = [Pattern("table", 0, r["pattern_id"], r["regex"], r["ignore_case"]) for r in rows]
-    return find(pages, patterns).select(*KEYS, F.col("ordinal").alias("pattern_id"), "match_no", "value")
+    scans, held = [], []
+
+    def scan() -> None:
+        scans.append(find(pages, list(held)).select(*KEYS, F.col("ordinal").alias("pattern_id"), "match_no", "value"))
+        held.clear()
+
+    for r in table.orderBy("pattern_id").toLocalIterator():
+        held.append(Pattern("table", 0, r["pattern_id"], r["regex"], r["ignore_case"]))
+        if len(held) == at_once:
+            scan()
+    if held or not scans:
+        scan()
+    out = scans[0]
+    for part in scans[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def regex_mask(
@@ -237,14 +234,16 @@ def regex_mask(
 ) -> DataFrame:
     """Findings of a user regex, ignoring case: one record per occurrence.
 
-    An invalid regex yields no findings.  Matches that look like headings are
+    An invalid regex yields a warning and no findings.  Matches that look like headings are
     dropped while headings are preserved; ``lang=None`` takes the language of
     each page from its ``lang`` column.
     """
     spark = pages.sparkSession
+    regex = java_groups(regex)
     java = java_regex(regex, True)
     schema = "doc_id bigint, page int, type string, match string, start int, end int, mask string"
     if not is_valid_regex(spark, java):
+        warnings.warn(f"not a valid regular expression, nothing is searched for it: {regex}", stacklevel=2)
         return spark.createDataFrame([], schema)
     patterns = [Pattern("custom", 0, 1, regex, True)]
     keep = () if lang else ("lang",)
@@ -260,12 +259,19 @@ def regex_mask(
     )
 
 
+def java_groups(regex: str) -> str:
+    """Python's named groups ``(?P<n>`` and ``(?P=n)`` in Java's form, whose names hold letters and digits only."""
+    name = lambda n: "g" + n.replace("_", "0x5f")
+    regex = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{name(m[1])}>", regex)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{name(m[1])}>", regex)
+
+
 def is_valid_regex(spark, java: str) -> bool:
-    """Compile ``java`` once on a one-row frame."""
+    """Whether ``java`` compiles; any other failure is raised."""
     try:
-        spark.range(1).select(F.lit("").rlike(java)).collect()
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
         return True
-    except Exception:
+    except IllegalArgumentException:  # PatternSyntaxException is one
         return False
 
 

@@ -65,10 +65,10 @@ def best_language(scored: DataFrame) -> DataFrame:
 
 def detect_language(pages: DataFrame, profile: DataFrame) -> DataFrame:
     """``(doc_id, page, lang)`` for every page; ``en`` when nothing can be told."""
-    found = best_language(scores(pages.select("doc_id", "page", "text"), profile))
-    return pages.select("doc_id", "page").join(found, ["doc_id", "page"], "left").select(
-        "doc_id", "page", F.coalesce("lang", F.lit("en")).alias("lang")
-    )
+    grams = pages.select("doc_id", "page", F.explode_outer(_trigrams(F.col("text"))).alias("gram"))
+    scored = grams.join(profile, "gram", "left").groupBy("doc_id", "page", "lang").agg(F.sum("weight").alias("score"))
+    order = F.when(F.col("lang").isNotNull(), F.struct((-F.col("score")).alias("s"), F.col("lang").alias("l")))
+    return scored.groupBy("doc_id", "page").agg(F.coalesce(F.min(order)["l"], F.lit("en")).alias("lang"))
 
 
 def detect_distinct(pages: DataFrame, profile: DataFrame) -> DataFrame:

@@ -44,7 +44,8 @@ def targets(findings: DataFrame, preserve_headings: bool = True) -> DataFrame:
 
 
 def _apply(text: Column, hits: Column, lang: Column, char: str) -> Column:
-    visible = F.filter(hits, lambda t: ~F.array_contains(t["kept_in"], lang))
+    """Hide, one after the other, the hits that stand on the original ``text``."""
+    visible = F.filter(hits, lambda t: ~F.array_contains(t["kept_in"], lang) & text.contains(t["hide"]))
     return F.aggregate(
         visible, text, lambda acc, t: F.replace(acc, t["hide"], F.repeat(F.lit(char), F.length(t["hide"])))
     )
@@ -79,8 +80,8 @@ def _with_hits(pages: DataFrame, wanted: DataFrame, list_limit: int) -> DataFram
 
     Documents with few targets take them as one bounded array in an equi join on
     ``doc_id``.  For a document with more, a page only meets the targets that
-    share a character gram with it: see :func:`_page_hits`.  Both ways mask the
-    same text.  The targets are stored first: they are read several times, and
+    share a character gram with it: see :func:`_page_hits`.  Both ways hide the
+    targets that stand on the original page, so they mask the same text.  The targets are stored first: they are read several times, and
     with the sizes of a stored table Spark can broadcast them while they are
     small.
     """
@@ -167,14 +168,14 @@ def mask_documents(
 
     All pages of a document lie in its row, so its targets are gathered and
     hidden inside the row.  The work per row is targets times length: documents
-    of millions of pages belong in a page table.  A target never spans pages and no value contains the
-    page separator, so hiding it in the whole text is hiding it on every page.
+    of millions of pages belong in a page table.  As in the page job, a page hides the targets that stand on it
+    before anything is hidden.  ``separator`` is plain text.
     """
     patterns = profile_patterns("redact", categories, mask)
     text = F.col("text")
     lang = rule_language(F.col("lang")) if "lang" in documents.columns else F.lit("en")
     flagged, checks = guarded(documents, patterns)
-    pages = F.split(text, separator, -1)
+    pages = F.split(text, "\\Q" + separator + "\\E", -1)
 
     def matches(all_pages: Column, p: Pattern, check: Column | None) -> Column:
         found = F.flatten(F.transform(all_pages, lambda page: all_matches(page, p.java)))
@@ -193,9 +194,13 @@ def mask_documents(
             found = F.transform(
                 F.filter(found, lambda v: ~F.array_contains(heading_languages(v), lang)), label_content
             )
-        return F.aggregate(
-            found, text, lambda acc, h: F.replace(acc, h, F.repeat(F.lit(char), F.length(h)))
-        )
+
+
+        def on_page(page: Column) -> Column:
+            here = F.filter(found, lambda h: page.contains(h))
+            return F.aggregate(here, page, lambda acc, h: F.replace(acc, h, F.repeat(F.lit(char), F.length(h))))
+
+        return F.array_join(F.transform(pages, on_page), separator)
 
     masked = bind(bind(pages, values), hide_all)
     return flagged.select(*[masked.alias("text") if c == "text" else c for c in documents.columns])

@@ -1,8 +1,9 @@
 """Reports: items and totals per document, JSON files, summaries.
 
-A report lists every item of a document.  It is cut into parts of ``PART_PAGES``
-pages, so no row and no task holds an unbounded list; a document with no more
-pages has one part.
+A report lists every item of a document in one row per category.  With
+``part_pages`` it is cut into parts of that many pages, for documents whose items
+do not fit one row; the cut is off unless asked for, so the report of a document
+does not change with its size.
 """
 
 from __future__ import annotations
@@ -13,16 +14,14 @@ from pyspark.sql import functions as F
 from inkveil.operators.collate import ORDER, label_of, report_items
 from inkveil.sources.session import materialise
 
-PART_PAGES = 1000
 
-
-def _listed(items: DataFrame, part_pages: int) -> DataFrame:
+def _listed(items: DataFrame, part_pages: int | None) -> DataFrame:
     """``(doc_id, part, category, n, rows, total)``; ``total`` counts the whole document.
 
     Totals are repeated per part, so the join is on ``(doc_id, part)`` and a large
     document stays spread.
     """
-    part = F.floor((F.col("page") - 1) / part_pages).cast("int")
+    part = F.floor((F.col("page") - 1) / part_pages).cast("int") if part_pages else F.lit(0)
     items = materialise(items.withColumn("part", part), "report-items")
     lists = items.groupBy("doc_id", "part", "category").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*ORDER, "value"))).alias("rows")
@@ -34,7 +33,7 @@ def _listed(items: DataFrame, part_pages: int) -> DataFrame:
     return lists.join(per_document, ["doc_id", "part"])
 
 
-def redaction_report(findings: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
+def redaction_report(findings: DataFrame, part_pages: int | None = None) -> DataFrame:
     """``(doc_id, part, category, n_items, total_items_redacted, items)``; items in found order."""
     return _listed(report_items(findings), part_pages).select(
         "doc_id", "part", "category", F.col("n").alias("n_items"),
@@ -42,7 +41,7 @@ def redaction_report(findings: DataFrame, part_pages: int = PART_PAGES) -> DataF
     )
 
 
-def sensitivity_report(findings: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
+def sensitivity_report(findings: DataFrame, part_pages: int | None = None) -> DataFrame:
     """``(doc_id, part, category, n_findings, total_findings, findings)`` without dedupe.
 
     ``findings`` is a list of ``(value, page)`` in pattern and page order.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.patterns import TEXT_ORDER, Pattern, category_patterns
-from inkveil.operators.detect import KEYS, find, guarded_matches
+from inkveil.operators.detect import KEYS, find, guarded, guarded_matches
 
 CONTEXT = 20
 
@@ -38,14 +38,18 @@ def leftover_words(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
     One generator row per word, then one per pattern that matches it.
     """
     checks = strict_again(patterns)
-    words = pages.select(*KEYS, F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).alias("word_no", "word"))
+    flagged, holds = guarded(pages, checks)  # a word meets no condition that its page fails
+    flags = [c for c in flagged.columns if c not in pages.columns]
+    words = flagged.select(
+        *KEYS, *flags, F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).alias("word_no", "word")
+    )
     hits = F.array_compact(
         F.array(*[
             F.when(
-                F.col("word").rlike(p.java),
+                F.col("word").rlike(p.java) if hold is None else hold & F.col("word").rlike(p.java),
                 F.struct(F.lit(p.category).alias("category"), F.lit(p.ordinal).alias("ordinal")),
             )
-            for p in checks
+            for p, hold in zip(checks, holds)
         ])
     )
     return words.select(*KEYS, "word_no", "word", F.inline(hits)).select(

@@ -13,7 +13,7 @@ from inkveil.functions.patterns import (
 )
 from inkveil.operators import collate, detect, international, language, lookup, mask, report, verify
 from inkveil.plans.options import RedactOptions, accepted_language
-from inkveil.plans.pipelines import find_pages, redact_documents, redact_pages
+from inkveil.plans.pipelines import redact_documents, redact_pages, run_page_job
 from inkveil.sources import corpus
 from inkveil.sources.session import shared_dir
 from inkveil.streaming import redact_stream
@@ -125,12 +125,14 @@ SELECTIONS = {
 
 @query("category_select")
 def category_select(spark, sf):
-    pages = corpus.corpus_pages(spark, sf)
-    parts = []
-    for name, options in SELECTIONS.items():
-        counts = find_pages(pages, options).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(counts.select(F.lit(name).alias("selection"), "category", "n"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """One scan with all patterns; each selection then takes its categories."""
+    found = detect.find(corpus.corpus_pages(spark, sf), profile_patterns("redact", mask=MASK))
+    counts = found.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    chosen = F.array_compact(F.array(*[
+        F.when(F.col("category").isin([p.category for p in profile_patterns("redact", o.enabled(), o.mask)]), F.lit(name))
+        for name, o in SELECTIONS.items()
+    ]))
+    return counts.select(F.explode(chosen).alias("selection"), "category", "n")
 
 
 @query("language_option")
@@ -294,6 +296,22 @@ def findings_text(spark, sf):
     return out.select("doc_id", F.inline(lists)).select("doc_id", "category", F.posexplode("values").alias("item_no", "value"))
 
 
+LABELLED_IBAN = (
+    "concat('Account IBAN: GB', lpad(cast(o_orderkey % 97 as string), 2, '0'), "
+    "translate(lpad(cast(o_orderkey * 104729 as string), 14, '0'), '0123456789', 'ABCDEFGHIJ'), ' of customer ', cast(o_custkey as string))"
+)
+
+
+@query("iban_labelled")
+def iban_labelled(spark, sf):
+    """Numbers with letters behind their check digits: found, and seen by the verifier where they stand unmasked."""
+    rows = corpus.table(spark, sf, "orders").selectExpr("o_orderkey as doc_id", "1 as page", f"{LABELLED_IBAN} as text")
+    patterns = category_patterns("redact", "iban")
+    found = detect.find(rows, patterns).select("doc_id", F.lit("found").alias("kind"), "ordinal", "value")
+    left = verify.leftover_matches(rows, patterns)
+    return found.unionByName(left.select("doc_id", F.lit("left").alias("kind"), "ordinal", F.col("text").alias("value")))
+
+
 # --------------------------------------------------- scalar functions ------
 def _values(spark, sf, category):
     """Distinct unvalidated matches of one category."""
@@ -449,7 +467,8 @@ def category_dim_left_join(spark, sf):
 # ------------------------------------- aggregates, distinct, windows -------
 @query("count_per_page")
 def count_per_page(spark, sf):
-    return detect.count_per_page(corpus.document_pages(spark, sf), profile_patterns("scan", ["phone", "email", "credit_card", "bic"]))
+    rows = detect.page_counts(corpus.corpus_pages(spark, sf), profile_patterns("scan"))
+    return rows.select("doc_id", "page", F.array_join("counts", ",").alias("counts"))
 
 
 @query("count_per_category")
@@ -540,6 +559,21 @@ def page_order(spark, sf):
     return detect.match_pattern(pages, r"\b[a-z]+ing\b").select("doc_id", "page", "n").orderBy("doc_id", "page")
 
 
+@query("page_job")
+def page_job(spark, sf):
+    """Find, mask, write, report and verify: what each step stored, per document."""
+    docs = corpus.corpus_documents(spark, sf).select("doc_id")
+    options = RedactOptions(all_categories=True, verify=True)
+    run = run_page_job(corpus.corpus_pages(spark, sf), options, shared_dir(spark, "page-job"))
+    one = lambda rows, n: rows.groupBy("doc_id").agg(n)
+    found = one(run.findings, F.count(F.lit(1)).alias("n_findings"))
+    listed = one(run.report, F.sum("n_items").cast("long").alias("n_items"))
+    hidden = one(run.masked, F.sum(F.length("text") - F.length(F.replace("text", F.lit(mask.BLOCK_CHAR), F.lit("")))).alias("n_hidden"))
+    rest = run.summary.select("doc_id", "n_issues", "success")
+    rows = docs.join(found, "doc_id", "left").join(listed, "doc_id", "left").join(hidden, "doc_id", "left").join(rest, "doc_id", "left")
+    return rows.na.fill(0, ["n_findings", "n_items", "n_hidden", "n_issues"])
+
+
 # ------------------------------------------------------ verification -------
 def _masked(spark, sf):
     return redact_pages(corpus.corpus_pages(spark, sf), ALL)
@@ -613,3 +647,16 @@ def stream_redact(spark, sf):
     )
     run.awaitTermination()
     return spark.read.schema("doc_id bigint, text string").parquet(out)
+
+
+@query("stream_counts")
+def stream_counts(spark, sf):
+    """Item counts of a stream whose micro-batches split the documents between their pages."""
+    parts = shared_dir(spark, "stream-pages")
+    pages = corpus.corpus_pages(spark, sf).select("doc_id", "page", "text")
+    pages.repartition(4, F.col("page") % 4).write.parquet(parts)
+    source = spark.readStream.schema("doc_id bigint, page int, text string").option("maxFilesPerTrigger", 2).parquet(parts)
+    out = shared_dir(spark, "stream-counts")
+    run = redact_stream.start_counts(source, RedactOptions(all_categories=True), out, shared_dir(spark, "stream-state"))
+    run.awaitTermination()
+    return redact_stream.read_counts(spark, out)

@@ -11,6 +11,7 @@ from inkveil.functions.patterns import profile_patterns
 from inkveil.operators import detect, language, mask, report, verify
 from inkveil.plans.options import RedactOptions
 from inkveil.sources import sinks
+from inkveil.sources.session import materialise
 
 
 def with_language(pages: DataFrame, options: RedactOptions, profile: DataFrame | None = None) -> DataFrame:
@@ -25,7 +26,7 @@ def with_language(pages: DataFrame, options: RedactOptions, profile: DataFrame |
         return pages.withColumn("lang", options.page_language(F.col("lang")))
     if profile is None:
         return pages.withColumn("lang", F.lit("en"))
-    found = language.detect_language(pages, profile)
+    found = materialise(language.detect_language(pages, profile), "languages")
     return pages.join(found, ["doc_id", "page"])
 
 
@@ -70,18 +71,18 @@ class RedactionRun:
 def run_page_job(pages: DataFrame, options: RedactOptions, out_dir: str, profile: DataFrame | None = None) -> RedactionRun:
     """Find, mask, write, report and verify; every step is a stored table.
 
-    The texts are scanned once for findings, read once for masking and once
-    (masked) for verification.  Each step reads the stored result of the former
+    The texts are scanned once for findings, read once for masking and twice
+    (masked) for the two kinds of verification; a language that must be detected
+    is stored once and joined for masking only.  Each step reads the stored result of the former
     one, so an executor that is lost repeats single tasks and not the scan.
     """
-    pages = with_language(pages, options, profile)
     kind = "scan" if options.report_only else "redact"
     found = sinks.write_table(find_pages(pages, options, kind), f"{out_dir}/findings")
     if options.report_only:
         rows = report.sensitivity_report(found)
         sinks.write_sensitivity_report(rows, f"{out_dir}/sensitivity_report")
         return RedactionRun(found, None, rows, None, None)
-    masked = sinks.write_table(redact_pages(pages, options, found), f"{out_dir}/masked")
+    masked = sinks.write_table(redact_pages(with_language(pages, options, profile), options, found), f"{out_dir}/masked")
     rows = report.redaction_report(found)
     sinks.write_redaction_report(rows, f"{out_dir}/redaction_report")
     issues = summary = None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORK_FOLDERS: list[str] = []
+_OWN: list[str] = []
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -40,8 +41,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not is_single_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="inkveil-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="inkveil-"))
+        base = _OWN[0]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     WORK_FOLDERS.append(path)
     return path

@@ -9,19 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from inkveil.operators.collate import category_counts
+from inkveil.operators.collate import first_seen, merged_counts
 from inkveil.operators.detect import findings
 from inkveil.plans.options import RedactOptions
 from inkveil.plans.pipelines import redact_texts
 
 
 def document_stream(spark: SparkSession, folder: str, files: str = "*.parquet", files_per_trigger: int = 64) -> DataFrame:
-    """Parquet files of ``documents`` in ``folder`` as a stream of ``(doc_id, text)``."""
+    """Parquet of ``documents`` as a stream of ``(doc_id, text)``.
+
+    ``files`` is a glob of files in ``folder``, or of folders with part files.
+    """
+    glob = files if any(c in files for c in "*?[{") else f"[{files[0]}]{files[1:]}"
     return (
         spark.readStream.schema("doc_id bigint, text string")
         .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", files)
-        .parquet(folder)
+        .parquet(f"{folder.rstrip('/')}/{glob}")
     )
 
 
@@ -39,15 +42,15 @@ def start_redaction(documents: DataFrame, options: RedactOptions, out: str, chec
 
 
 def start_counts(pages: DataFrame, options: RedactOptions, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Per-document item counts, one folder per micro-batch.
+    """Values per document, one folder per micro-batch; :func:`read_counts` gives the item counts.
 
-    A batch overwrites its own folder, so a batch repeated after a failure does
-    not count twice.
+    A batch overwrites its own folder, so a batch repeated after a failure does not count twice.  The values are kept,
+    not their number, because pages of a document may arrive in different batches and hold the same value.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         found = findings(batch, "redact", options.enabled(), options.mask)
-        category_counts(found).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        first_seen(found).select("doc_id", "category", "value", "n").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -55,3 +58,9 @@ def start_counts(pages: DataFrame, options: RedactOptions, out: str, checkpoint:
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def read_counts(spark: SparkSession, out: str) -> DataFrame:
+    """``(doc_id, category, n_items)`` of all batches so far, as the batch job counts them."""
+    stored = spark.read.schema("doc_id bigint, category string, value string, n bigint, batch bigint").parquet(out)
+    return merged_counts(stored)
