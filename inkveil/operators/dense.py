@@ -1,0 +1,116 @@
+"""Masking of texts with very many values, in time that grows with the text and not with text times values.
+
+The native expressions of :mod:`inkveil.operators.mask` go over a text once per distinct value.  Only texts that are long
+and full of values come here, as Arrow batches; for all others the column is null and nothing is sent.  The results are
+the same: values are replaced one after the other, each wherever the former ones left it.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from inkveil.functions.patterns import TEXT_TOKEN, Pattern
+
+#: A text of more characters and more marks of values than these is dense.
+DENSE_LENGTH, DENSE_MARKS = 20_000, 200
+
+
+def is_dense(text: Column) -> Column:
+    marks = F.when(F.length(text) > DENSE_LENGTH, F.regexp_count(text, F.lit(r"(?U)\d{3}|@|dot")))
+    return F.coalesce(marks > DENSE_MARKS, F.lit(False))
+
+
+def replace_in_order(text: str, values: list[str], token: Callable[[str], str], marks: str) -> str:
+    """``text`` after every occurrence of each value, value by value, became ``token(value)``.
+
+    One search finds the occurrences of all values; an occurrence counts unless an earlier one, by value and then by
+    place, took some of its characters.  Values that hold one of the characters ``marks``, with which tokens begin or
+    end, could meet a token: then the values are replaced one by one.
+    """
+    if any(c in v for v in values for c in marks) or any(not v or v in token(v) for v in values):
+        for v in values:
+            text = text.replace(v, token(v)) if v else text
+        return text
+    words = ahocorasick.Automaton()
+    for i, v in enumerate(values):
+        words.add_word(v, i)
+    if not values:
+        return text
+    words.make_automaton()
+    found = sorted((i, end + 1 - len(values[i])) for end, i in words.iter(text))
+    taken, kept = bytearray(len(text)), []
+    for i, start in found:
+        n = len(values[i])
+        if taken.find(1, start, start + n) < 0:
+            taken[start : start + n] = b"\1" * n
+            kept.append((start, i))
+    out, at = [], 0
+    for start, i in sorted(kept):
+        out += (text[at:start], token(values[i]))
+        at = start + len(values[i])
+    return "".join(out) + text[at:]
+
+
+def python_regex(p: Pattern, mask: str | None) -> re.Pattern:
+    regex = rf"\b{re.escape(mask)}\b" if p.category == "mask" else p.regex
+    return re.compile(regex, re.IGNORECASE if p.ignore_case else 0)
+
+
+def text_job(patterns: list[Pattern], wanted: list[str], mask: str | None) -> Callable[[Column], Column]:
+    """The plain-text job on a column of dense texts: struct of the masked text and the values of each category."""
+    schema = ", ".join(["text string", *[f"{c} array<string>" for c in wanted]])
+
+    def job(text: str | None) -> tuple:
+        if text is None:
+            return (None,) * (1 + len(wanted))
+        items: dict[str, list[str]] = {c: [] for c in wanted}
+        for p in patterns:
+            token = TEXT_TOKEN[p.category]
+            found = [m[0] for m in python_regex(p, mask).finditer(text)]
+            items[p.category] += found
+            if p.category == "mask" and mask in token:
+                for v in found:
+                    text = text.replace(v, token)
+            else:
+                text = replace_in_order(text, list(dict.fromkeys(found)), lambda v: token, "[]")
+        return (text, *[items[c] for c in wanted])
+
+    def batches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            yield pd.DataFrame([job(t) for t in texts], columns=["text", *wanted], dtype=object)
+
+    return F.pandas_udf(batches, schema)
+
+
+def hide(char: str) -> Callable[[Column, Column], Column]:
+    """Pages (array<string>) with the values that stand on each hidden by ``char``, lengths kept."""
+
+    def batches(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pages, values in parts:
+            yield pd.Series([
+                None if page_list is None or wanted is None else hidden(list(page_list), list(wanted), char)
+                for page_list, wanted in zip(pages, values)
+            ], dtype=object)
+
+    return F.pandas_udf(batches, "array<string>")
+
+
+def hidden(pages: list[str], values: list[str], char: str) -> list[str]:
+    words = ahocorasick.Automaton()
+    order = {v: i for i, v in reversed(list(enumerate(values))) if v}
+    for v, i in order.items():
+        words.add_word(v, (i, v))
+    if not order:
+        return pages
+    words.make_automaton()
+    out = []
+    for page in pages:
+        here = sorted({hit for _, hit in words.iter(page)})
+        out.append(replace_in_order(page, [v for _, v in here], lambda v: char * len(v), char) if here else page)
+    return out

@@ -14,14 +14,17 @@ from inkveil.functions.binding import bind
 from inkveil.functions.headings import RULE_LANGUAGES, heading_languages, label_content, rule_language
 from inkveil.functions.patterns import TEXT_ORDER, TEXT_TOKEN, Pattern, category_patterns, profile_patterns
 from inkveil.functions.validators import VALIDATORS
+from inkveil.operators import dense
 from inkveil.operators.collate import ORDER
 from inkveil.operators.detect import all_matches, guarded
-from inkveil.sources.session import materialise
+from inkveil.sources.session import materialise, workers_find_package
 
 BLOCK_CHAR = "█"
 BLUR_CHAR = "*"
 # Documents with up to this many targets carry them as one array per document.
 LIST_LIMIT = 1000
+# Long documents in one row with more targets than this are masked by :mod:`.dense`, to the same text.
+DENSE_TARGETS = 200
 GRAM = 8
 SALTS = 16
 
@@ -171,6 +174,7 @@ def mask_documents(
     of millions of pages belong in a page table.  As in the page job, a page hides the targets that stand on it
     before anything is hidden.  ``separator`` is plain text.
     """
+    workers_find_package(documents.sparkSession)
     patterns = profile_patterns("redact", categories, mask)
     text = F.col("text")
     lang = rule_language(F.col("lang")) if "lang" in documents.columns else F.lit("en")
@@ -184,26 +188,31 @@ def mask_documents(
         return found if check is None else F.when(check, found).otherwise(_no_values())
 
     def values(all_pages: Column) -> Column:
+        """Strings to hide, in the order in which they were found."""
         lists = [matches(all_pages, p, check) for p, check in zip(patterns, checks)]
-        return F.array_distinct(F.flatten(F.array(*lists)))
-
-    char = BLUR_CHAR if blur else BLOCK_CHAR
-
-    def hide_all(found: Column) -> Column:
+        found = F.array_distinct(F.flatten(F.array(*lists)))
         if preserve_headings:
             found = F.transform(
                 F.filter(found, lambda v: ~F.array_contains(heading_languages(v), lang)), label_content
             )
+        return found
+
+    char = BLUR_CHAR if blur else BLOCK_CHAR
 
+    def hide_all(found: Column) -> Column:
 
         def on_page(page: Column) -> Column:
             here = F.filter(found, lambda h: page.contains(h))
             return F.aggregate(here, page, lambda acc, h: F.replace(acc, h, F.repeat(F.lit(char), F.length(h))))
 
-        return F.array_join(F.transform(pages, on_page), separator)
+        return F.transform(pages, on_page)
 
-    masked = bind(bind(pages, values), hide_all)
-    return flagged.select(*[masked.alias("text") if c == "text" else c for c in documents.columns])
+    listed = flagged.select(*documents.columns, bind(pages, values).alias("_hide"))
+    many = (F.size("_hide") > DENSE_TARGETS) & (F.length("text") > dense.DENSE_LENGTH)
+    sent = dense.hide(char)(F.when(many, pages), F.when(many, F.col("_hide")))
+    done = listed.withColumn("_pages", sent)
+    masked = F.array_join(F.when(F.col("_pages").isNotNull(), F.col("_pages")).otherwise(bind(F.col("_hide"), hide_all)), separator)
+    return done.select(*[masked.alias("text") if c == "text" else c for c in documents.columns])
 
 
 # ------------------------------------------------------------- text job ----
@@ -219,19 +228,26 @@ def consume(text: Column, found: Column, token: str, repeats: bool = False) -> C
 
 
 def mask_text(documents: DataFrame, categories=None, mask: str | None = None, items: bool = False) -> DataFrame:
-    """Plain-text masking of ``text``: one row-wise expression, no shuffle.
+    """Plain-text masking of ``text``: one row-wise expression, no shuffle; dense texts take :mod:`.dense`.
 
     Categories run in the order card, phone, e-mail, mask; each pattern sees the
     text its predecessors left.  With ``items`` the found values come along as
     ``items_<category>`` arrays in order.
     """
+    workers_find_package(documents.sparkSession)
     wanted = [c for c in TEXT_ORDER if categories is None or c in categories]
     patterns = [p for c in wanted for p in category_patterns("text", c, mask)]
-    state = F.struct(F.col("text").alias("text"), *[_no_values().alias(c) for c in wanted])
-    job = bind(F.struct(*[check(F.col("text")).alias(name) for name, check in _TEXT_GUARDS.items()]),
-               lambda guards: _text_steps(state, guards, patterns, wanted, mask))
     others = [c for c in documents.columns if c != "text"]
-    out = documents.select(*others, job.alias("_job"))
+    many = dense.is_dense(F.col("text"))
+    parted = documents.select(
+        *others, F.when(~many, F.col("text")).alias("_light"), F.when(many, F.col("text")).alias("_dense")
+    )
+    light = F.col("_light")
+    state = F.struct(light.alias("text"), *[_no_values().alias(c) for c in wanted])
+    job = bind(F.struct(*[check(light).alias(name) for name, check in _TEXT_GUARDS.items()]),
+               lambda guards: _text_steps(state, guards, patterns, wanted, mask))
+    done = parted.withColumn("_many", dense.text_job(patterns, wanted, mask)("_dense"))
+    out = done.select(*others, F.when(F.col("_dense").isNotNull(), F.col("_many")).otherwise(job).alias("_job"))
     lists = [F.col(f"_job.{c}").alias(f"items_{c}") for c in wanted] if items else []
     return out.select(*[F.col("_job.text").alias("text") if c == "text" else c for c in documents.columns], *lists)
 

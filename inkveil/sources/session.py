@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package; elsewhere it is installed or sent with ``--py-files``."""
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def is_single_machine(spark: SparkSession) -> bool:
     """True for ``local`` and ``local[n]`` masters, where all tasks share one disk."""
     master = spark.sparkContext.master

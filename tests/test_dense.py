@@ -1,0 +1,68 @@
+"""Texts full of values: the fast ways give the text that replacing value by value gives, and stay about linear."""
+
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkveil.operators import dense, mask
+
+SCHEMA = "doc_id long, text string"
+
+
+def in_order(text, values, token):
+    for v in values:
+        text = text.replace(v, token(v))
+    return text
+
+
+@pytest.mark.parametrize("marks,alphabet", [("[]", "ab12"), ("[]", "a1[]"), ("*", "ab*")])
+def test_replacing_at_once_is_replacing_in_order(marks, alphabet):
+    rng = random.Random(1)
+    token = (lambda v: "[TOKEN]") if marks == "[]" else lambda v: "*" * len(v)
+    for _ in range(500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+        values = list(dict.fromkeys("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 8))))
+        assert dense.replace_in_order(text, values, token, marks) == in_order(text, values, token)
+
+
+def dense_text(rng, n):
+    parts = [lambda: f"555-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: f"a{rng.randint(0, 99)}@b.co", lambda: f"{rng.randint(10**15, 10**16 - 1)}",
+             lambda: f"x{rng.randint(0, 9)} [at] y", lambda: "the end", lambda: f"1{rng.randint(100, 999)} {rng.randint(10, 99)}", lambda: "me[at]b[dot]co"]
+    return rng.choice(["\n", " "]).join(rng.choice(parts)() for _ in range(n))
+
+
+def test_both_ways_of_the_text_job(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, dense_text(rng, 60)) for i in range(40)] + [(99, None), (98, "")], SCHEMA)
+    plain = {r.doc_id: r for r in mask.mask_text(docs, mask="the", items=True).collect()}
+    monkeypatch.setattr(dense, "DENSE_LENGTH", 0)
+    monkeypatch.setattr(dense, "DENSE_MARKS", 0)
+    fast = {r.doc_id: r for r in mask.mask_text(docs, mask="the", items=True).collect()}
+    assert fast == plain
+
+
+@pytest.mark.parametrize("blur", [True, False])
+def test_both_ways_of_documents_in_a_row(spark, monkeypatch, blur):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, dense_text(rng, 40) + "\nCVV: 123\nExpiry: 05/26 * █") for i in range(30)] + [(99, None), (98, "")], SCHEMA)
+    plain = {r.doc_id: r.text for r in mask.mask_documents(docs, mask="the", blur=blur).collect()}
+    monkeypatch.setattr(dense, "DENSE_LENGTH", 0)
+    monkeypatch.setattr(mask, "DENSE_TARGETS", 0)
+    fast = {r.doc_id: r.text for r in mask.mask_documents(docs, mask="the", blur=blur).collect()}
+    assert fast == plain
+
+
+@pytest.mark.parametrize("way", ["text", "document"])
+def test_dense_documents_take_about_linear_time(spark, way):
+    took = []
+    for n in (10_000, 10_000, 40_000):
+        text = "\n".join(f"Phone: 555-{i // 10000:03d}-{i % 10000:04d}" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], SCHEMA)
+        started = time.time()
+        out = (mask.mask_text if way == "text" else mask.mask_documents)(docs).select("text").first()[0]
+        took.append(time.time() - started)
+        assert not re.search(r"\d{3}", out)
+    assert took[2] < 8 * took[1] + 5, took
