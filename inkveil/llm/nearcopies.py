@@ -32,7 +32,7 @@ from inkveil.llm.simhash import filed_under, fingerprint_of, links, shingles, un
 from inkveil.sources.session import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
-MASKS, BITS = 64, 16
+MASKS, BITS = 96, 16
 #: Bits in which the filed fingerprints, and both together, may differ (means at 0.8: 9.7 and 19.4).
 RADIUS, TOTAL = 20, 32
 BLOCK = 512
