@@ -29,6 +29,8 @@ from inkveil.sources.session import materialise
 
 UND = "und"
 BLOCK = 64  # texts in one matrix product
+#: Languages whose row counts may be broadcast; more are joined by a shuffle.
+LANGUAGES = 10_000
 
 
 @dataclass
@@ -55,11 +57,19 @@ def grams(text: str, symbols: np.ndarray, size: int) -> np.ndarray:
 
 
 def choose(labelled: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` rows (text, lang, place), evenly over the languages, by a hash of doc_id."""
+    """At most ``sample`` rows (text, lang, place), evenly over the languages, by a hash of doc_id.
+
+    Of each language a hash share is taken first, some four times the rows wanted, so that ranking them is a small task
+    however many rows and tasks there are.
+    """
     ids = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    n = max(1, ids.select("lang").distinct().count())
+    rows = materialise(ids.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    n = max(1, rows.count())
+    each = max(1, sample // n)
+    share = F.xxhash64("doc_id").bitwiseAND(F.lit(2**52 - 1)) / float(2**52)
+    some = ids.join(F.broadcast(rows) if n <= LANGUAGES else rows, "lang").where(share < F.lit(4.0 * each + 20) / F.col("_n"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, sample // n)).limit(sample)
+    picked = some.drop("_n").withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).limit(sample)
     # A known, small number of ids: their texts are fetched without moving any other.
     texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
     return materialise(texts, "language-sample")
