@@ -104,7 +104,8 @@ class Encoder:
     """Ids of whole texts; the ids of pieces seen before are remembered.
 
     White space never reaches a token, so the pieces between spaces and line ends are encoded one by one, A-Z
-    lower-cased as the tokenizer does (unless a text may hold a special token, whose letters count).  A piece of Latin
+    lower-cased as the tokenizer does (unless a text may hold a special token, whose letters count, or a combining
+    mark, which the tokenizer composes before it lower-cases).  A piece of Latin
     letters is one word to the tokenizer, so unknown words go to it in one line and are told apart by their word ends;
     any other piece goes to it alone.
     """
@@ -112,6 +113,8 @@ class Encoder:
     LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]?)")
     LOWER = bytes.maketrans(UPPER.encode() + b"\n", LOWER.encode() + b" ")
     SPACE = bytes.maketrans(b"\n", b" ")
+    #: Special tokens, and first bytes of the combining marks U+0300 to U+036F.
+    CASED = re.compile(rb"<\||[\xcc\xcd]")
     #: Pieces held before the memory starts anew; it changes speed only.
     HELD = 1_000_000
 
@@ -160,7 +163,7 @@ class Encoder:
         if len(self.pieces) > self.HELD:
             self.pieces = {b"": b""}
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        split = [t.translate(self.SPACE if b"<|" in t else self.LOWER).split(b" ") for t in raw]
+        split = [t.translate(self.SPACE if self.CASED.search(t) else self.LOWER).split(b" ") for t in raw]
         unknown = set().union(*split).difference(self.pieces)
         if unknown:
             self.learn(unknown)

@@ -268,6 +268,18 @@ def test_codes():
             codes[len(ids)]
 
 
+def test_marks_are_composed_before_lower_case():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(path), tokens.Encoder(path)
+    rng = random.Random(13)
+    parts = ["Y\u030a", "y\u030a", "H\u0331", "T\u0308", "J\u030c", "I\u0307", "\u0130", "a", "B", " ", "\n", ",", "\u00e9", "<|endoftext|>", "\u03a9", "\U0001f600"]
+    for text in parts + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(2000)]:
+        assert coder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
