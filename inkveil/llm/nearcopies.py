@@ -1,12 +1,17 @@
 """Near-duplicate texts by SimHash candidates and an exact check: Jaccard of five-word shingles of 0.8 or more.
 
 Equal texts are one node.  Copies at that similarity differ in some 15 % of SimHash bits, too many for filing by parts,
-so two independent 64-bit fingerprints of each text are filed under ``MASKS`` sampled masks of ``BITS`` bits, half each;
-in a file the Gray-order index finds those within ``RADIUS`` bits, and the other fingerprint must agree as well
-(``TOTAL``).  Texts so linked are candidates; within
-a component of candidates all pairs are compared exactly, a large one as pairs of blocks of ``BLOCK`` texts in tasks of
-their own, and each task gives a spanning forest of the links it confirms.  Only the sampled masks can miss a pair (README has
-measured recall).
+so each text has four 64-bit fingerprints, two of which are filed under ``MASKS`` sampled masks of ``BITS`` bits, half
+each; in a file the Gray-order index finds those within ``RADIUS`` bits, and all four together must agree as well
+(``TOTAL`` of 256 bits, which texts that are no copies reach by chance once in some 10^15 pairs).  Texts so linked are
+candidates, and within a component of candidates pairs are compared exactly.  Only the sampled masks can miss a pair
+(README has measured recall).
+
+Files and components have no bound, so a large one is cut into blocks, in two rounds.  First every block meets block 0,
+each pair of blocks in a task of its own, which gives a spanning forest of the links it finds.  What then hangs together
+as the main part of the group need not be compared again; the rest meets all blocks.  Every link is inside the main
+part or has an end in the rest, so the components are those of all pairs, and the work on a group of copies of one text
+grows with its size and not with the square.
 
 Nulls and odd input: a null text is empty, and texts without words are alike; documents with a null doc_id are kept as
 they are; rows repeated with the same id and text are one document; an empty table gives an empty result; other columns
@@ -22,20 +27,22 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import python_tasks, wrapped
 from inkveil.llm.components import components
 from inkveil.llm.secrets import blob_of
-from inkveil.llm.simhash import filed_under, fingerprint_of, links, shingles, unite
+from inkveil.llm.simhash import ALL, filed_under, links, shingles, unite
 from inkveil.sources.session import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
 MASKS, BITS = 96, 16
-#: Bits in which the filed fingerprints, and both together, may differ (means at 0.8: 9.7 and 19.4).
-RADIUS, TOTAL = 20, 32
-BLOCK = 512
+#: Bits in which the filed fingerprints, and all four together, may differ (means at 0.8: 9.7 and 38.8).
+RADIUS, TOTAL = 20, 64
+#: Texts, and fingerprints of a file, in a block.
+BLOCK, FILE = 512, 4096
+PRINTS = ("fp", "fp2", "fp3", "fp4")
 
 
 def sampled_masks() -> list[int]:
@@ -43,14 +50,32 @@ def sampled_masks() -> list[int]:
     return [sum(1 << i for i in draw.sample(range(64), BITS)) for _ in range(MASKS)]
 
 
-def _two_fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash made from a hash, another one for each ``k``; ``h`` itself for 0."""
+    if not k:
+        return h
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & ALL)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def prints_of(parts: list[bytes]) -> np.ndarray:
+    """Four fingerprints from one hash of each shingle."""
+    counts = np.zeros((len(PRINTS), 64), np.int64)
+    for at in range(0, len(parts), 4096):
+        some = parts[at : at + 4096]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(42)), np.uint64, len(some))
+        for k in range(len(PRINTS)):
+            bits = np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[k] += bits.sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(parts), axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in parts:
-        rows = []
-        for text in texts:
-            found = shingles(text, SHINGLE)
-            rows.append((fingerprint_of(found, 42), fingerprint_of(found, 43)))
-        both = np.array(rows, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pd.DataFrame({"fp": both[:, 0], "fp2": both[:, 1]})
+        rows = [prints_of(shingles(text, SHINGLE)) for text in texts]
+        yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, len(PRINTS)), columns=list(PRINTS))
 
 
 def _shingle_set(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -92,6 +117,68 @@ def _confirm(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": ids[child], "v": ids[root[child]]})
 
 
+def met(rows: DataFrame, first: Column, other: Column) -> DataFrame:
+    """``rows`` with ``pair``, a row for each pair of blocks that it is dealt to."""
+    return rows.withColumn("pair", F.explode(F.array_distinct(F.concat(first, other)))).drop("blocks", "rest_blocks", "in_rest")
+
+
+def block_of(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+
+def numbers(upto: Column) -> Column:
+    return F.sequence(F.lit(0), upto - 1)
+
+
+def pair_of(x: Column, y: Column) -> Column:
+    return x.cast("long") * (1 << 32) + y
+
+
+def to_block_0(rows: DataFrame) -> DataFrame:
+    """First round: ``rows(id, blocks, ...)`` to pairs of block 0 and any block."""
+    mine, zero = block_of("blocks"), F.lit(0)
+    every = F.when(mine == 0, F.transform(numbers(F.col("blocks")), lambda y: pair_of(zero, y)))
+    return met(rows, F.array(pair_of(zero, mine)), F.coalesce(every, F.array().cast("array<long>")))
+
+
+def to_the_rest(rows: DataFrame, roots: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Second round: the rows of each group outside its main part to all its blocks.  Only ids are grouped.
+
+    ``rows(*by, id, blocks, ...)`` has an id once in each group, ``roots(node, root)`` is what the first round found.
+    """
+    ids = rows.select(*by, "id").join(roots.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left")
+    ids = materialise(ids.withColumn("part", F.coalesce("part", "id")), "parts")
+    counts = ids.groupBy(*by, "part").agg(F.count("*").alias("n"))
+    group = counts.groupBy(*by).agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+    group = group.where("others > 0").select(*by, "main", F.ceil(F.col("others") / size).cast("int").alias("rest_blocks"))
+    dealt = ids.join(group, by).select(*by, "id", "rest_blocks", (F.col("part") != F.col("main")).alias("in_rest"))
+    rows = rows.join(dealt, [*by, "id"])
+    mine, x = block_of("blocks"), block_of("rest_blocks")
+    as_member = F.transform(numbers(F.col("rest_blocks")), lambda r: pair_of(r, mine))
+    as_rest = F.when(F.col("in_rest"), F.transform(numbers(F.col("blocks")), lambda y: pair_of(x, y)))
+    return met(rows, as_member, F.coalesce(as_rest, F.array().cast("array<long>")))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """``nodes(id, fp, fp2, fp3, fp4)`` -> (node, root) of texts that are linked by their fingerprints."""
+    masks = sampled_masks()
+    turned = nodes.select("id", F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "fp3", "fp4")
+    filed = filed_under(nodes.select("id", *PRINTS), masks[::2]).unionByName(filed_under(turned, masks[1::2]))
+    large = filed.groupBy("mask", "key").count().where(F.col("count") > FILE)
+    large = materialise(large.select("mask", "key", F.ceil(F.col("count") / FILE).cast("int").alias("blocks")), "large-files")
+    if large.isEmpty():
+        return components(links(filed, RADIUS, TOTAL))
+
+    def pairs_of_blocks(dealt: DataFrame) -> DataFrame:
+        return links(dealt.withColumn("mask", F.xxhash64("mask", "key")).withColumn("key", F.col("pair")), RADIUS, TOTAL)
+
+    edges = links(filed.join(large, ["mask", "key"], "left_anti"), RADIUS, TOTAL)
+    held = materialise(filed.join(large, ["mask", "key"]), "held")
+    roots = components(edges.unionByName(pairs_of_blocks(to_block_0(held))))
+    more = pairs_of_blocks(to_the_rest(held, roots, ["mask", "key"], FILE))
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prints, roots): prints(doc_id, blob) of all documents, and roots(node, root) of texts that are near copies.
 
@@ -101,25 +188,27 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     python_tasks(spark)
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    prints = known.select("doc_id", blob_of("text").alias("blob"), F.pandas_udf(_two_fingerprints, "fp long, fp2 long")("text").alias("f"))
-    prints = materialise(prints.select("doc_id", "blob", "f.fp", "f.fp2"), "prints")
-    nodes = materialise(prints.groupBy("blob").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "nodes")
-    masks = sampled_masks()
-    other = nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id")
-    filed = filed_under(nodes.select("fp", "fp2", "id"), masks[::2]).unionByName(filed_under(other, masks[1::2]))
-    found = components(links(filed, RADIUS, TOTAL))
+    made = F.pandas_udf(_fingerprints, ", ".join(f"{p} long" for p in PRINTS))
+    prints = known.select("doc_id", blob_of("text").alias("blob"), made("text").alias("f"))
+    prints = materialise(prints.select("doc_id", "blob", "f.*"), "prints")
+    nodes = prints.groupBy("blob").agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in PRINTS])
+    nodes = materialise(nodes, "nodes")
+    found = candidates(nodes)
     members = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = materialise(members.join(sizes, "root").join(nodes.select(F.col("id").alias("node"), "blob"), "node"), "members")
     python_tasks(spark)
     # Texts are dealt by doc_id at every size; the other side is a fraction of the ids.
     texts = known.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node").where(blob_of("text") == F.col("blob"))
+    texts = texts.dropDuplicates(["node"])
     sets = texts.select("root", "blocks", F.col("node").alias("id"), F.pandas_udf(_shingle_set, "array<long>")("text").alias("shingles"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.select("root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id", "shingles")
-    return prints, components(dealt.groupBy("root", "x", "y").applyInPandas(_confirm, "u long, v long"))
+    if members.where("blocks > 1").isEmpty():
+        return prints, components(sets.groupBy("root").applyInPandas(_confirm, "u long, v long"))
+    sets = materialise(sets, "sets")  # read once by each round
+    confirm = lambda rows: rows.groupBy("root", "pair").applyInPandas(_confirm, "u long, v long")
+    roots = components(confirm(to_block_0(sets)))
+    rest = confirm(to_the_rest(sets.where("blocks > 1"), roots, ["root"], BLOCK))
+    return prints, components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

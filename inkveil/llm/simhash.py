@@ -31,6 +31,7 @@ ALL = (1 << 64) - 1
 FANOUT = 16
 #: Fingerprints that one file of the index holds at most, unless all their bits are fixed.
 LIMIT = 8192
+MORE_PRINTS = ("fp2", "fp3", "fp4")
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -129,15 +130,23 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def forest(fps: np.ndarray, radius: int, second: np.ndarray | None = None, total: int | None = None) -> np.ndarray:
-    """Root number of each fingerprint of a file under links within ``radius`` (and ``total`` with the second)."""
+def within(differ: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, others: list[np.ndarray], total: int | None) -> np.ndarray:
+    """Which pairs (a, b), that differ in ``differ`` bits of the first fingerprint, are links."""
+    near = differ <= radius
+    if others:
+        near &= differ + sum(np.bitwise_count(o[a] ^ o[b]).astype(np.int64) for o in others) <= total
+    return near
+
+
+def forest(fps: np.ndarray, radius: int, others: list[np.ndarray] | tuple = (), total: int | None = None) -> np.ndarray:
+    """Root number of each fingerprint of a file under links within ``radius`` (and ``total`` with the others)."""
     order = np.argsort(gray_rank(fps), kind="stable")
     index, root = GrayIndex(fps[order]), np.arange(len(fps))
     for at in range(0, len(fps), 128):
         q, hit = index.near(fps[order][at : at + 128], radius)
-        if second is not None:
+        if others:
             a, b = order[q + at], order[hit]
-            near = np.bitwise_count(fps[a] ^ fps[b]) + np.bitwise_count(second[a] ^ second[b]) <= total
+            near = within(np.bitwise_count(fps[a] ^ fps[b]), a, b, radius, others, total)
             q, hit = q[near], hit[near]
         unite(root, q + at, hit)
     out = np.empty(len(fps), np.int64)
@@ -190,7 +199,7 @@ def filed_under(nodes: DataFrame, masks: list[int]) -> DataFrame:
 def links(filed: DataFrame, radius: int, total: int | None = None) -> DataFrame:
     """``filed(mask, key, fp, id)`` -> edges (u, v) of ids that span all links within ``radius`` bits in each file.
 
-    With a second fingerprint column ``fp2``, both together may differ in ``total`` bits.
+    With more fingerprint columns ``fp2``, ``fp3``, ..., all together may differ in ``total`` bits.
     """
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +217,7 @@ def links(filed: DataFrame, radius: int, total: int | None = None) -> DataFrame:
     spark = filed.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # a few numbers a row
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = [c for c in ("mask", "key", "fp", "fp2", "id") if c in filed.columns]
+    columns = ["mask", "key", "fp", *[c for c in filed.columns if c in MORE_PRINTS], "id"]
     rows = filed.select(columns).repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
     return rows.mapInPandas(search, "u long, v long")
 
@@ -220,7 +229,7 @@ def edges_of(rows: pd.DataFrame, radius: int, total: int | None = None) -> pd.Da
     """
     mask, key, ids = rows["mask"].values, rows["key"].values, rows["id"].values
     fps = rows["fp"].values.view(np.uint64)
-    second = rows["fp2"].values.view(np.uint64) if total is not None else None
+    others = [rows[c].values.view(np.uint64) for c in rows.columns if c in MORE_PRINTS]
     new = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))))
     size = np.diff(np.append(new, len(rows)))
     root = np.arange(len(rows))
@@ -229,13 +238,10 @@ def edges_of(rows: pd.DataFrame, radius: int, total: int | None = None) -> pd.Da
         i = np.flatnonzero(left > step)
         if not len(i):
             break
-        differ = np.bitwise_count(fps[i] ^ fps[i + step])
-        near = differ <= radius
-        if second is not None:
-            near &= differ + np.bitwise_count(second[i] ^ second[i + step]) <= total
+        near = within(np.bitwise_count(fps[i] ^ fps[i + step]), i, i + step, radius, others, total)
         unite(root, i[near], i[near] + step)
     for at, n in zip(new[size > FANOUT].tolist(), size[size > FANOUT].tolist()):
-        root[at : at + n] = at + forest(fps[at : at + n], radius, None if second is None else second[at : at + n], total)
+        root[at : at + n] = at + forest(fps[at : at + n], radius, [o[at : at + n] for o in others], total)
     linked = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
     linked = linked[np.lexsort((ids[linked], root[linked]))]
     first = np.concatenate(([True], np.diff(root[linked]) != 0)) if len(linked) else np.empty(0, bool)

@@ -402,9 +402,10 @@ def plain_near_copies(texts):
     return {k for k in sets if top[k] == k}
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_near_copies(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, file", [(512, 4096), (7, 5)])
+def test_near_copies(spark, monkeypatch, block, file):
     monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "FILE", file)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
     texts, n = {}, 0
