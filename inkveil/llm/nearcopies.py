@@ -1,11 +1,12 @@
 """Near-duplicate texts by SimHash candidates and an exact check: Jaccard of five-word shingles of 0.8 or more.
 
 Equal texts are one node.  Copies at that similarity differ in some 15 % of SimHash bits, too many for filing by parts,
-so each text has four 64-bit fingerprints, two of which are filed under ``MASKS`` sampled masks of ``BITS`` bits, half
+so each text has four 64-bit fingerprints of its set of shingles (one that repeats counts once, as in the exact check),
+two of which are filed under ``MASKS`` sampled masks of ``BITS`` bits, half
 each; in a file the Gray-order index finds those within ``RADIUS`` bits, and all four together must agree as well
 (``TOTAL`` of 256 bits, which texts that are no copies reach by chance once in some 10^15 pairs).  Texts so linked are
-candidates, and within a component of candidates pairs are compared exactly.  Only the sampled masks can miss a pair
-(README has measured recall).
+candidates, and within a component of candidates pairs are compared exactly.  Only the candidate search can miss a pair,
+by its sampled masks and by ``RADIUS`` and ``TOTAL`` (README has measured recall).
 
 Files and components have no bound, so a large one is cut into blocks, in two rounds.  First every block meets block 0,
 each pair of blocks in a task of its own, which gives a spanning forest of the links it finds.  What then hangs together
@@ -60,30 +61,32 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prints_of(parts: list[bytes]) -> np.ndarray:
-    """Four fingerprints from one hash of each shingle."""
+def hashes_of(text: str | None) -> np.ndarray:
+    """The set of a text's shingles as sorted hashes; a text without words has one."""
+    found = shingles(text, SHINGLE) or [b""]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), np.uint64, len(found)).view(np.int64))
+
+
+def prints_of(hashes: np.ndarray) -> np.ndarray:
+    """Four fingerprints from one hash of each distinct shingle."""
     counts = np.zeros((len(PRINTS), 64), np.int64)
-    for at in range(0, len(parts), 4096):
-        some = parts[at : at + 4096]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(42)), np.uint64, len(some))
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096].view(np.uint64)
         for k in range(len(PRINTS)):
             bits = np.unpackbits(mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[k] += bits.sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > len(parts), axis=1, bitorder="little").view(np.int64).ravel()
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in parts:
-        rows = [prints_of(shingles(text, SHINGLE)) for text in texts]
+        rows = [prints_of(hashes_of(text)) for text in texts]
         yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, len(PRINTS)), columns=list(PRINTS))
 
 
 def _shingle_set(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
-        yield pd.Series([
-            np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), np.uint64, len(found)).view(np.int64))
-            for found in (shingles(t, SHINGLE) or [b""] for t in texts)
-        ])
+        yield pd.Series([hashes_of(text) for text in texts])
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:

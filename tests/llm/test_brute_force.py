@@ -421,6 +421,18 @@ def test_near_copies(spark, monkeypatch, block, file):
     assert {r.doc_id for r in nearcopies.drop_copies(docs).collect()} == plain_near_copies(texts)
 
 
+def test_near_copies_with_a_repeated_line(spark):
+    """How often a line stands in a text is nothing to its set of shingles."""
+    rng, texts = random.Random(13), {}
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8)))
+    for n in range(0, 40, 2):
+        base, line = [word() for _ in range(300)], [word() for _ in range(6)]
+        texts[n] = " ".join(base + line * 2)
+        texts[n + 1] = " ".join(base + line * 30)
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA)
+    assert {r.doc_id for r in nearcopies.drop_copies(docs).collect()} == plain_near_copies(texts) == set(range(0, 40, 2))
+
+
 def test_pipeline(spark, corpus):
     """run() against the stages in plain Python; the trained model is held against the labels elsewhere."""
     rows = corpus_pipeline.run(spark, SMALL).collect()
