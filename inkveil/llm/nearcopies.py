@@ -2,11 +2,14 @@
 
 Equal texts are one node.  Copies at that similarity differ in some 15 % of SimHash bits, too many for filing by parts,
 so each text has four 64-bit fingerprints of its set of shingles (one that repeats counts once, as in the exact check),
-two of which are filed under ``MASKS`` sampled masks of ``BITS`` bits, half
-each; in a file the Gray-order index finds those within ``RADIUS`` bits, and all four together must agree as well
-(``TOTAL`` of 256 bits, which texts that are no copies reach by chance once in some 10^15 pairs).  Texts so linked are
-candidates, and within a component of candidates pairs are compared exactly.  Only the candidate search can miss a pair,
-by its sampled masks and by ``RADIUS`` and ``TOTAL`` (README has measured recall).
+each filed under a quarter of ``MASKS`` sampled masks of ``BITS`` bits; in a file the Gray-order index finds those within
+``RADIUS`` bits, and all four together must agree as well (``TOTAL`` of 256 bits, which texts that are no copies reach by
+chance once in some 10^15 pairs).  Texts so linked are candidates, and within a component of candidates pairs are compared
+exactly.  A pair at 0.8 is missed with a chance of 0.06 % (by ``missed_at``, bits taken as independent).
+
+That does not hold for few shingles, so pairs of which a text has up to ``SHORT`` are found exactly: texts of up to
+``SHORT / SIMILARITY`` are filed under their rarest shingles, as many as must hold one that copies share, and compared in
+each file; those of up to ``SHORT`` have no other file.
 
 Files and components have no bound, so a large one is cut into blocks, in two rounds.  First every block meets block 0,
 each pair of blocks in a task of its own, which gives a spanning forest of the links it finds.  What then hangs together
@@ -31,14 +34,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import python_tasks, wrapped
+from inkveil.llm.common import python_tasks, salted_left_join, wrapped
 from inkveil.llm.components import components
 from inkveil.llm.secrets import blob_of
 from inkveil.llm.simhash import ALL, filed_under, links, shingles, unite
 from inkveil.sources.session import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
-MASKS, BITS = 96, 16
+MASKS, BITS = 128, 14
+#: Distinct shingles up to which a text's copies are found by its shingles, and those that such a copy may have.
+SHORT = 64
+LONGEST = int(SHORT / SIMILARITY)
 #: Bits in which the filed fingerprints, and all four together, may differ (means at 0.8: 9.7 and 38.8).
 RADIUS, TOTAL = 20, 64
 #: Texts, and fingerprints of a file, in a block.
@@ -46,9 +52,30 @@ BLOCK, FILE = 512, 4096
 PRINTS = ("fp", "fp2", "fp3", "fp4")
 
 
-def sampled_masks() -> list[int]:
-    draw = random.Random(42)
-    return [sum(1 << i for i in draw.sample(range(64), BITS)) for _ in range(MASKS)]
+def sampled_masks() -> list[list[int]]:
+    """Masks for each fingerprint, cut from permutations of the bits."""
+    draw, each, whole = random.Random(42), MASKS // len(PRINTS), 64 // BITS
+
+    def four() -> list[int]:
+        bits = draw.sample(range(64), 64)
+        return [sum(1 << i for i in bits[k * BITS : (k + 1) * BITS]) for k in range(whole)]
+
+    return [[m for _ in range(-(-each // whole)) for m in four()][:each] for _ in PRINTS]
+
+
+def missed_at(similarity: float, trials: int = 100_000) -> float:
+    """Share of pairs of long texts of like size that the masks, ``RADIUS`` or ``TOTAL`` miss, by drawing differing bits."""
+    rng, differ = np.random.default_rng(7), np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    found, total = np.zeros(trials, bool), np.zeros(trials, int)
+    for masks in sampled_masks():
+        bits = np.packbits(rng.random((trials, 64)) < differ, axis=1, bitorder="little").view(np.uint64).ravel()
+        count = np.bitwise_count(bits)
+        total += count
+        met_in = np.zeros(trials, bool)
+        for m in masks:
+            met_in |= bits & np.uint64(m) == 0
+        found |= met_in & (count <= RADIUS)
+    return float(1 - (found & (total <= TOTAL)).mean())
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -80,8 +107,9 @@ def prints_of(hashes: np.ndarray) -> np.ndarray:
 
 def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in parts:
-        rows = [prints_of(hashes_of(text)) for text in texts]
-        yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, len(PRINTS)), columns=list(PRINTS))
+        sets = [hashes_of(text) for text in texts]
+        out = pd.DataFrame(np.array([prints_of(h) for h in sets], np.int64).reshape(-1, len(PRINTS)), columns=list(PRINTS))
+        yield out.assign(few=pd.Series([h if len(h) <= LONGEST else None for h in sets], dtype=object))
 
 
 def _shingle_set(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -112,6 +140,7 @@ def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.nda
 
 
 def _confirm(part: pd.DataFrame) -> pd.DataFrame:
+    """Edges (u, v) that span all links of ``part(id, shingles)``."""
     ids, sets = part["id"].values, list(part["shingles"])
     root = np.arange(len(ids))
     if len(ids) > 1:
@@ -162,22 +191,75 @@ def to_the_rest(rows: DataFrame, roots: DataFrame, by: list[str], size: int) ->
     return met(rows, as_member, F.coalesce(as_rest, F.array().cast("array<long>")))
 
 
+def exact_links(filed: DataFrame) -> DataFrame:
+    """``filed(key, pair, id, shingles)`` -> edges that span all links in each pair of blocks of each file."""
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in parts:
+            held = part if held is None else pd.concat((held, part), ignore_index=True)
+            new = np.flatnonzero(held[["key", "pair"]].ne(held[["key", "pair"]].shift()).any(axis=1))
+            for a, b in zip(new, new[1:]):
+                yield _confirm(held.iloc[a:b])
+            held = held.iloc[new[-1] :].reset_index(drop=True) if len(new) else held
+        if held is not None and len(held):
+            yield _confirm(held)
+
+    spark = filed.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # up to 80 numbers a row
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = filed.select("key", "pair", "id", "shingles").repartition(n, "key", "pair").sortWithinPartitions("key", "pair")
+    return rows.mapInPandas(search, "u long, v long")
+
+
+def short_links(nodes: DataFrame) -> DataFrame:
+    """``nodes(id, few)`` -> edges (u, v) that span all links of texts of up to ``LONGEST`` shingles.
+
+    In one order of all shingles, rarest first, the first ``n - ceil(SIMILARITY * n) + 1`` of one of two copies hold a
+    shingle that is among those of the other.
+    """
+    texts = materialise(nodes.where("few is not null").select("id", F.col("few").alias("shingles")), "short-texts")
+    each = texts.select("id", F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = salted_left_join(each, often, "key", "id").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key"))).alias("all")
+    )
+    size = F.size("all")
+    first = F.slice("all", F.lit(1), size - F.ceil(F.lit(SIMILARITY) * size - 1e-6).cast("int") + 1)
+    filed = ranked.select("id", F.explode(first).alias("s")).where("s.n > 1").select("id", F.col("s.key").alias("key"))
+    filed = materialise(filed, "short-files")
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    filed = salted_left_join(filed, sizes, "key", "id").where("blocks is not null").join(texts, "id")
+    filed = materialise(filed, "short-held")
+    edges = exact_links(to_block_0(filed))
+    large = filed.where("blocks > 1")
+    if large.isEmpty():
+        return edges
+    roots = components(edges)
+    more = exact_links(to_the_rest(large, roots, ["key"], BLOCK))
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """``nodes(id, fp, fp2, fp3, fp4)`` -> (node, root) of texts that are linked by their fingerprints."""
-    masks = sampled_masks()
-    turned = nodes.select("id", F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "fp3", "fp4")
-    filed = filed_under(nodes.select("id", *PRINTS), masks[::2]).unionByName(filed_under(turned, masks[1::2]))
+    """``nodes(id, fp, fp2, fp3, fp4, few)`` -> (node, root) of texts that are linked by shingles or fingerprints."""
+    short = materialise(short_links(nodes), "short-links")
+    long = nodes.where(F.col("few").isNull() | (F.size("few") > SHORT))
+    filed = None
+    for k, masks in enumerate(sampled_masks()):  # each fingerprint in turn is the one that is filed
+        turned = [PRINTS[k], *(p for p in PRINTS if p != PRINTS[k])]
+        rows = filed_under(long.select("id", *[F.col(p).alias(name) for p, name in zip(turned, PRINTS)]), masks)
+        filed = rows if filed is None else filed.unionByName(rows)
     large = filed.groupBy("mask", "key").count().where(F.col("count") > FILE)
     large = materialise(large.select("mask", "key", F.ceil(F.col("count") / FILE).cast("int").alias("blocks")), "large-files")
     if large.isEmpty():
-        return components(links(filed, RADIUS, TOTAL))
+        return components(links(filed, RADIUS, TOTAL).unionByName(short))
 
     def pairs_of_blocks(dealt: DataFrame) -> DataFrame:
         return links(dealt.withColumn("mask", F.xxhash64("mask", "key")).withColumn("key", F.col("pair")), RADIUS, TOTAL)
 
     edges = links(filed.join(large, ["mask", "key"], "left_anti"), RADIUS, TOTAL)
     held = materialise(filed.join(large, ["mask", "key"]), "held")
-    roots = components(edges.unionByName(pairs_of_blocks(to_block_0(held))))
+    roots = components(edges.unionByName(short).unionByName(pairs_of_blocks(to_block_0(held))))
     more = pairs_of_blocks(to_the_rest(held, roots, ["mask", "key"], FILE))
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
@@ -191,10 +273,10 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     python_tasks(spark)
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    made = F.pandas_udf(_fingerprints, ", ".join(f"{p} long" for p in PRINTS))
+    made = F.pandas_udf(_fingerprints, ", ".join(f"{p} long" for p in PRINTS) + ", few array<long>")
     prints = known.select("doc_id", blob_of("text").alias("blob"), made("text").alias("f"))
     prints = materialise(prints.select("doc_id", "blob", "f.*"), "prints")
-    nodes = prints.groupBy("blob").agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in PRINTS])
+    nodes = prints.groupBy("blob").agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in (*PRINTS, "few")])
     nodes = materialise(nodes, "nodes")
     found = candidates(nodes)
     members = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()

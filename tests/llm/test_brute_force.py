@@ -433,6 +433,28 @@ def test_near_copies_with_a_repeated_line(spark):
     assert {r.doc_id for r in nearcopies.drop_copies(docs).collect()} == plain_near_copies(texts) == set(range(0, 40, 2))
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_copies_of_short_texts(spark, monkeypatch, block):
+    """Pairs, chains and one shared line, of 1 to 60 shingles: no link at 0.8 is lost."""
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    rng, texts = random.Random(14), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8)))
+    line = [word() for _ in range(8)]
+    for _ in range(300):
+        n = rng.randint(1, 40)
+        base = [word() for _ in range(n + 4)] + (line if n > 20 and rng.random() < 0.3 else [])
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([1, 1, 2])):
+            base = base + [word() for _ in range(max(1, n // 4))]  # 0.8 or a little below
+            texts.append(" ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    assert {r.doc_id for r in nearcopies.drop_copies(docs).collect()} == plain_near_copies(dict(enumerate(texts)))
+
+
+def test_few_pairs_at_the_threshold_are_missed():
+    assert nearcopies.missed_at(0.8) < 0.001
+
+
 def test_pipeline(spark, corpus):
     """run() against the stages in plain Python; the trained model is held against the labels elsewhere."""
     rows = corpus_pipeline.run(spark, SMALL).collect()
