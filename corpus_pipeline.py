@@ -14,9 +14,13 @@ LEAST_LANGUAGE_SCORE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; no text, no letter or no likeness to any of them: out."""
-    rows = langid.predict(wrapped(docs, "text"), langid.train(docs.select("doc_id", "text", "lang")))
-    known = (F.col("_language.lang_pred") != langid.UND) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)
+    """Documents in one of the learned languages; no text, no letter or no likeness to any of them: out.
+
+    A text of some dozen letters is too short for a likeness and stays if its score does; so do all with fewer than
+    ``langid.LEAST_ROWS`` labelled rows.
+    """
+    rows = langid.predict(wrapped(docs, "text"), langid.train(docs.select("doc_id", "text", "lang")), judge=True)
+    known = (F.col("_language.lang_pred") != langid.UND) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE) & F.col("_language.like")
     return rows.where(known).select("_row.*")
 
 

@@ -9,6 +9,9 @@ kernel folded into the weights), in place, without a shuffle.
 Bounds, all parameters of :func:`train`: ``sample`` labelled rows in all, dealt evenly over the languages and chosen by
 a hash of doc_id, ``landmarks`` of them, ``alphabet`` symbols.  Only text and lang of the training rows are learned.
 
+The score tells the languages apart, not other texts from them.  For that there is the likeness, the share of the 3-grams
+of letters that the landmarks have, with a cut from the likeness of training rows to landmarks that they are not.
+
 Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; a null lang or doc_id teaches
 nothing; without labelled rows every text is ``und``.  Repeated rows are scored alike.  Other columns pass.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,13 @@ class Model:
     size: int  # symbols with 0
     column: np.ndarray  # gram -> column of the weights, the last one for grams no landmark has
     weights: np.ndarray  # columns x languages
+    least: float = 0.0  # likeness that texts of the learned languages reach
+
+
+#: ``least`` is this share of the first percentile of the training rows' likeness, if there are so many rows.
+SHARE, LEAST_ROWS = 0.7, 50
+#: 3-grams that say nothing about a language: a name or a token of 12 letters.
+FORGIVEN = 10
 
 
 def symbol_table(characters: list[str]) -> np.ndarray:
@@ -48,6 +59,18 @@ def symbol_table(characters: list[str]) -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def alphabetic() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def three_letters(text: str, symbols: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the 3-grams of a text that are letters only, repeats included: no digits, marks and ends of words."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = alphabetic()[code]
+    return grams(text, symbols, size)[2 * len(code) - 1 :][letter[:-2] & letter[1:-1] & letter[2:]] if len(code) > 2 else np.empty(0, np.int32)
+
+
 def grams(text: str, symbols: np.ndarray, size: int) -> np.ndarray:
     """Numbers of all 1-, 2- and 3-grams of a text, repeats included."""
     s = symbols[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -95,9 +118,11 @@ def train(labelled: DataFrame, sample: int = 1200, landmarks: int = 240, alphabe
     def presence(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sets = [np.unique(grams(t or "", symbols, size)).tolist() for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "place": part["place"], "grams": sets})
+            three = [np.unique(three_letters(t or "", symbols, size), return_counts=True) for t in part["text"]]
+            made = {"grams": sets, "three": [g.tolist() for g, _ in three], "often": [n.tolist() for _, n in three]}
+            yield pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "place": part["place"], **made})
 
-    found = rows.mapInPandas(presence, "doc_id long, lang string, place int, grams array<int>").collect()
+    found = rows.mapInPandas(presence, "doc_id long, lang string, place int, grams array<int>, three array<int>, often array<int>").collect()
     found = sorted((r for r in found if r.grams), key=lambda r: (r.place, r.lang, r.doc_id))
     languages = sorted({r.lang for r in found})
     column = np.full(size + size**2 + size**3, -1, np.int32)
@@ -122,7 +147,31 @@ def train(labelled: DataFrame, sample: int = 1200, landmarks: int = 240, alphabe
     gram = features.T @ (weight * features) + ridge * len(found) * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, features.T @ (weight * target))
     weights = marks.T.astype(np.float64) @ (root @ solved)
-    return Model(languages, symbols, size, column, np.vstack((weights, np.zeros((1, len(languages))))).astype(np.float32))
+    weights = np.vstack((weights, np.zeros((1, len(languages))))).astype(np.float32)
+    return Model(languages, symbols, size, column, weights, least_likeness(found, landmarks, column, len(known)))
+
+
+def least_likeness(found: list, landmarks: int, column: np.ndarray, known: int) -> float:
+    """What the training rows say about the likeness of texts in their languages to landmarks that they are not.
+
+    A landmark itself counts only the 3-grams that another one has.
+    """
+    in_marks = np.bincount(np.concatenate([column[np.array(r.grams)] for r in found[:landmarks]]), minlength=known + 1)
+    shares = []
+    for i, r in enumerate(found):
+        if r.three:
+            at, often = column[np.array(r.three)], np.array(r.often)
+            there = (at < known) & (in_marks[at] > (1 if i < landmarks else 0))
+            shares.append(often[there].sum() / often.sum())
+    if len(shares) < LEAST_ROWS:
+        return 0.0
+    return float(SHARE * np.percentile(shares, 1))
+
+
+def likeness(text: str, model: Model) -> float:
+    """Share of the 3-grams of letters in a text that a landmark has, ``FORGIVEN`` more counted as known."""
+    at = model.column[three_letters(text, model.symbols, model.size)]
+    return float(((at < model.weights.shape[0] - 1).sum() + FORGIVEN) / (len(at) + FORGIVEN))
 
 
 def score(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
@@ -148,18 +197,22 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
     return names, scores
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_language``: lang_pred and score, from the text alone."""
+def predict(docs: DataFrame, model: Model, judge: bool = False) -> DataFrame:
+    """``docs`` with ``_language``: lang_pred and score, from the text alone.
+
+    With ``judge`` also ``like``: whether the text is like any of the languages (see :func:`likeness`).
+    """
     spark = docs.sparkSession
     python_tasks(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double" + ", like boolean" * judge)
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held = shared.value
         for texts in parts:
             names, scores = score(list(texts), held)
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
+            out = pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
+            yield out.assign(like=[likeness(t or "", held) >= held.least for t in texts]) if judge else out
 
     return docs.drop("_language").withColumn("_language", label("text"))
 

@@ -195,6 +195,28 @@ def test_folded_weights_are_the_kernel_machine(spark, corpus):
         assert name[0] == model.languages[int(plain.argmax())] and abs(min(1, max(0, plain.max())) - score[0]) < 1e-4
 
 
+OTHER_LANGUAGES = [
+    "La biblioteca comunale apre ogni mattina alle nove e i lettori possono prendere in prestito fino a cinque libri per volta, purché li restituiscano entro un mese dalla data del prestito.",
+    "De gemeente heeft vandaag besloten dat de oude brug over de rivier volgend jaar wordt vervangen, omdat zij niet langer veilig is voor het zware verkeer dat er dagelijks overheen rijdt.",
+    "Wczoraj wieczorem w naszym mieście odbyło się spotkanie mieszkańców, podczas którego omawiano przyszłość starego dworca kolejowego oraz nowe połączenia autobusowe.",
+    "Kaupungin kirjasto avaa ovensa joka aamu yhdeksältä ja asiakkaat voivat lainata enintään viisi kirjaa kerrallaan, kunhan palauttavat ne kuukauden kuluessa.",
+    "Вчера вечером в нашем городе состоялось собрание жителей, на котором обсуждали будущее старого вокзала.",
+    "图书馆每天早上九点开门，读者一次最多可以借五本书。",
+]
+
+
+def test_language_stage_keeps_no_other_languages(spark):
+    """Texts in unlearned languages, of random letters and in base64 go, every clean document stays."""
+    rng, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    odd = [*OTHER_LANGUAGES, " ".join(word() for _ in range(60)), "".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(400))]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    clean = sorted(r.doc_id for r in docs.select("doc_id").collect())
+    more = spark.createDataFrame([(-i - 1, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(more), "").collect()
+    assert sorted(r.doc_id for r in kept) == clean
+
+
 # --- simhash ---
 
 def groups(links, nodes):
