@@ -18,7 +18,8 @@ part or has an end in the rest, so the components are those of all pairs, and th
 grows with its size and not with the square.
 
 Nulls and odd input: a null text is empty, and texts without words are alike; documents with a null doc_id are kept as
-they are; rows repeated with the same id and text are one document; an empty table gives an empty result; other columns
+they are; rows repeated with the same id and text are one document, with other
+texts they are others; an empty table gives an empty result; other columns
 pass.
 """
 
@@ -265,10 +266,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(prints, roots): prints(doc_id, blob) of all documents, and roots(node, root) of texts that are near copies.
+    """(prints, groups): prints(doc_id, blob) of all documents, and groups(doc_id, blob, group) of the distinct texts.
 
-    A text's node is the smallest doc_id that has it; the root of a group its smallest node.  Texts that are their own
-    root are not listed.
+    The doc_id of a text is the smallest that has it; texts that are linked have one group.
     """
     spark = docs.sparkSession
     python_tasks(spark)
@@ -276,31 +276,36 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = F.pandas_udf(_fingerprints, ", ".join(f"{p} long" for p in PRINTS) + ", few array<long>")
     prints = known.select("doc_id", blob_of("text").alias("blob"), made("text").alias("f"))
     prints = materialise(prints.select("doc_id", "blob", "f.*"), "prints")
-    nodes = prints.groupBy("blob").agg(F.min("doc_id").alias("id"), *[F.min(p).alias(p) for p in (*PRINTS, "few")])
-    nodes = materialise(nodes, "nodes")
-    found = candidates(nodes)
+    nodes = prints.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), *[F.min(p).alias(p) for p in (*PRINTS, "few")])
+    # A doc_id may have several texts, so a node is a number of its own; stored, it stays the same.
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+    def groups(roots: DataFrame) -> DataFrame:
+        found = nodes.select("doc_id", "blob", F.col("id").alias("node")).join(roots, "node", "left")
+        return found.select("doc_id", "blob", F.coalesce("root", "node").alias("group"))
+
+    found = candidates(nodes.drop("blob", "doc_id"))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = materialise(members.join(sizes, "root").join(nodes.select(F.col("id").alias("node"), "blob"), "node"), "members")
+    members = materialise(members.join(sizes, "root").join(nodes.select(F.col("id").alias("node"), "doc_id", "blob"), "node"), "members")
     python_tasks(spark)
-    # Texts are dealt by doc_id at every size; the other side is a fraction of the ids.
-    texts = known.withColumnRenamed("doc_id", "node").join(members.hint("shuffle_hash"), "node").where(blob_of("text") == F.col("blob"))
+    # Texts are dealt by doc_id and blob at every size; the other side is a fraction of them.
+    texts = known.withColumn("blob", blob_of("text")).join(members.hint("shuffle_hash"), ["doc_id", "blob"])
     texts = texts.dropDuplicates(["node"])
     sets = texts.select("root", "blocks", F.col("node").alias("id"), F.pandas_udf(_shingle_set, "array<long>")("text").alias("shingles"))
     if members.where("blocks > 1").isEmpty():
-        return prints, components(sets.groupBy("root").applyInPandas(_confirm, "u long, v long"))
+        return prints, groups(components(sets.groupBy("root").applyInPandas(_confirm, "u long, v long")))
     sets = materialise(sets, "sets")  # read once by each round
     confirm = lambda rows: rows.groupBy("root", "pair").applyInPandas(_confirm, "u long, v long")
     roots = components(confirm(to_block_0(sets)))
     rest = confirm(to_the_rest(sets.where("blocks > 1"), roots, ["root"], BLOCK))
-    return prints, components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
+    return prints, groups(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest)))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of equal and near-equal texts: that of the smallest doc_id."""
-    prints, roots = near_copies(docs)
-    nodes = prints.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    kept = nodes.join(roots, nodes["doc_id"] == roots["node"], "left_anti")
+    prints, groups = near_copies(docs)
+    kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "blob")).alias("k")).select("k.doc_id", "k.blob")
     dropped = prints.select("doc_id", "blob").distinct().join(kept, ["doc_id", "blob"], "left_anti")
     dropped = materialise(dropped.select(F.col("doc_id").alias("_doc_id"), F.col("blob").alias("_blob")), "dropped")
     rows = wrapped(docs, "doc_id", "text")

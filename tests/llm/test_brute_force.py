@@ -473,6 +473,15 @@ def test_near_copies_of_short_texts(spark, monkeypatch, block):
     assert {r.doc_id for r in nearcopies.drop_copies(docs).collect()} == plain_near_copies(dict(enumerate(texts)))
 
 
+def test_near_copies_of_versions(spark):
+    """An id with two texts: each is held against the other documents for itself."""
+    rng = random.Random(15)
+    a, b = [[f"{rng.randrange(10**6)}" for _ in range(200)] for _ in range(2)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[:-1])), (2, " ".join(b)), (3, " ".join(b[1:])), (4, " ".join(a))]
+    kept = nearcopies.drop_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [rows[0], rows[2]]
+
+
 def test_few_pairs_at_the_threshold_are_missed():
     assert nearcopies.missed_at(0.8) < 0.001
 
