@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,15 @@ def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: st
     return rows.withColumn("_salt", salt).join(many, [key, "_salt"], "left").drop("_salt")
 
 
+def numbered(stream: list[bytes], mark: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Codes of a batch's words in the order of their first appearance, ``mark`` being 0, and the word of each code."""
+    book: dict[bytes, int] = defaultdict()
+    book.default_factory = book.__len__
+    book[mark]
+    codes = np.fromiter(map(book.__getitem__, stream), dtype=np.int64, count=len(stream))
+    return codes, list(book)
+
+
 def slices(rows: Iterable, size, limit: int) -> Iterator[list]:
     """Lists of consecutive rows whose sizes sum to at most ``limit`` (a larger row stands alone)."""
     held, total = [], 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, langid, licenses, packing, secrets, sharding, simhash, spotsigs, tokens, urls
+from inkveil.llm import collocations, decontam, langid, lexical, licenses, packing, secrets, sharding, simhash, spotsigs, tokens, urls
 from inkveil.llm.common import table
 
 URL_RULES = [
@@ -76,6 +76,15 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "verdict")
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = collocations.ranked(collocations.collocations(table(spark, sf_dir, "documents")))
+    return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_secret_scan": secret_scan,
     "op2_license_scan": license_scan,
@@ -87,6 +96,8 @@ QUERIES = {
     "op8_sharding": sharding_plan,
     "op9_decontamination": decontamination,
     "op10_url_filter": url_filter,
+    "op12_lexical_search": lexical_search,
+    "op13_phrase_collocations": phrase_collocations,
 }
 
 _ASSIGN = secrets.ASSIGN.replace("'", "''")
@@ -153,4 +164,39 @@ select page_id, host, path,
        case when ('.' || host) like '%.example.org' and (starts_with(path, '/en/1') or starts_with(path, '/es/')) then 'block'
             when ('.' || host) like '%.com' and starts_with(path, '/de/') then 'block' else 'allow' end as verdict
 from t""",
+    "op12_lexical_search": r"""
+with lowered as (select row_number() over () as r, doc_id,
+                        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+d as (select r, doc_id, w, len(w)::bigint as n from lowered where len(w) > 0),
+corpus as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from d),
+items as (select row_number() over () as i, item_id,
+                 list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from benchmark),
+asked as (select i, item_id, unnest(w) as term from items),
+tf as (select r, term, count(*)::bigint as tf from (select r, unnest(w) as term from d) where term in (select term from asked) group by r, term),
+weights as (select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from tf, corpus group by term, big_n),
+gains as (select r, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * big_n) // big_l)))) as gain
+          from tf join weights using (term) join d using (r), corpus),
+scores as (select i, item_id, r, sum(gain)::bigint as score from asked join gains using (term) group by i, item_id, r having sum(gain) > 0),
+ranked as (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls first, r)::int as rank from scores join d using (r))
+select item_id, rank, doc_id, score from ranked where rank <= 50""",
+    "op13_phrase_collocations": r"""
+with pieces as (select coalesce(lang, 'und') as lang,
+                       unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+runs as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+          from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from runs, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*)::bigint as n from grams group by lang, k, phrase),
+totals as (select lang, sum(n)::bigint as n from f where k = 1 group by lang),
+often as (select lang, k, phrase, n, string_split(phrase, ' ') as w from f where n >= 30),
+inside as (select lang, phrase, max(n) as longer from (
+             select lang, n, array_to_string(w[i : i + m - 1], ' ') as phrase
+             from (select lang, n, w, m, unnest(range(1, k - m + 2)) as i from often, (select unnest([2, 3]) as m) where k > m)) group by lang, phrase),
+candidates as (select o.* from often o left join inside using (lang, phrase) where k >= 2 and (longer is null or 100::hugeint * longer < 80::hugeint * n)),
+cuts as (select lang, phrase, n as a, cut, array_to_string(w[1 : cut], ' ') as p, array_to_string(w[cut + 1 :], ' ') as q
+         from (select *, unnest(range(1, k)) as cut from candidates)),
+scored as (select c.lang, c.phrase, a, cut, x.n as l, y.n as r, ((2000000::hugeint * a) // (x.n + y.n))::bigint as score
+           from cuts c join often x on x.lang = c.lang and x.phrase = p join often y on y.lang = c.lang and y.phrase = q),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, totals.n as n, score
+from best join totals using (lang) qualify rank <= 2000""",
 }
