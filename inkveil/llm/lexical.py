@@ -53,11 +53,11 @@ INDEX = "block long, term string, slots binary, tfs binary, ns binary, df long,
 ACCUMULATORS = "bundle long, block long, item long, slots binary, scores binary, steps array<int>, counts array<long>"
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+def index(docs: DataFrame, vocabulary: np.ndarray, block: int = BLOCK) -> DataFrame:
     """Blocks of ``docs(doc_id, text)``: a row for each term, and one without a term for the block's documents."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def block_rows(block: int, ids: list, texts: list[bytes]) -> pd.DataFrame:
+    def block_rows(number: int, ids: list, texts: list[bytes]) -> pd.DataFrame:
         codes, words = numbered((b" " + _END + b" ").join([b"", *texts]).translate(_TABLE).split(), _END)
         slot = np.cumsum(codes == 0) - 1
         is_term = codes > 0
@@ -68,10 +68,10 @@ def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         pair, tf = np.unique(codes[hit] * len(ids) + slot[hit], return_counts=True)
         code, slot = pair // len(ids), pair % len(ids)
         cuts = np.flatnonzero(np.diff(code)) + 1
-        rows = [(block, None, None, None, None, None, ids, int((lengths > 0).sum()), int(lengths.sum()))]
+        rows = [(number, None, None, None, None, None, ids, int((lengths > 0).sum()), int(lengths.sum()))]
         for part in np.split(np.arange(len(code)), cuts) if len(code) else []:
             here = slot[part]
-            rows.append((block, words[code[part[0]]].decode(), here.astype("<u4").tobytes(), tf[part].astype("<u4").tobytes(),
+            rows.append((number, words[code[part[0]]].decode(), here.astype("<u4").tobytes(), tf[part].astype("<u4").tobytes(),
                          lengths[here].astype("<u4").tobytes(), len(part), None, None, None))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")]).astype(
             {"df": "Int64", "n_docs": "Int64", "n_terms": "Int64", "ids": object})
@@ -83,7 +83,7 @@ def index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
                 texts.append((text or "").encode())
                 size += len(text or "")
-                if len(ids) >= BLOCK or size >= BLOCK_CHARS:
+                if len(ids) >= block or size >= BLOCK_CHARS:
                     yield block_rows(number, ids, texts)
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
@@ -138,7 +138,7 @@ def reached(carried: DataFrame, top: int) -> DataFrame:
     return total.where(F.col("so_far") >= top).groupBy("item").agg(edge.cast("long").alias("least"))
 
 
-def search(docs: DataFrame, items: DataFrame, top: int = 50, power: int = bitmaps.POWER) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, top: int = 50, power: int = bitmaps.POWER, block: int = BLOCK, bundle: int = BUNDLE) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` (at most 50) best documents of each row of ``items(item_id, text)``."""
     if not 1 <= top <= 50:
         raise ValueError("top is 1 to 50")
@@ -146,10 +146,10 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, power: int = bitmap
     python_tasks(spark)
     terms = F.array_distinct(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
     asked = materialise(items.select("item_id", F.monotonically_increasing_id().alias("item"), terms.alias("terms")), "items")
-    bundles = max(1, -(-asked.count() // BUNDLE))
+    bundles = max(1, -(-asked.count() // bundle))
     wanted = asked.select("item", F.pmod(F.xxhash64("item"), F.lit(bundles)).alias("bundle"), F.explode("terms").alias("term"))
     vocabulary = bitmaps.gather(wanted.select("term").distinct(), ["term"], lambda t: bitmaps.hashes(x.encode() for x in t), power)
-    rows = materialise(index(docs, vocabulary), "index")
+    rows = materialise(index(docs, vocabulary, block), "index")
     n_docs, n_terms = rows.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     if not n_docs:
         n_docs = n_terms = 1  # nothing will be found

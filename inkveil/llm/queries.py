@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import collocations, decontam, langid, lexical, licenses, packing, secrets, sharding, simhash, spotsigs, tokens, urls
+from inkveil.llm import collocations, decontam, langid, lexical, licenses, packing, personal, secrets, sharding, simhash, spotsigs, tokens, urls
 from inkveil.llm.common import table
 
 URL_RULES = [
@@ -76,6 +76,17 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "verdict")
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("_found.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = personal.listed(personal.ordered("_found.base"))
+    return rows.select(
+        "doc_id", *[count(k) for k in personal.KINDS], F.sha2(base, 256).alias("base_sha256"),
+        personal.listed(personal.ordered("_found.base", "_found.added")).alias("spans"),
+        F.size("_found.added").cast("long").alias("n_added"),
+    )
+
+
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -96,6 +107,7 @@ QUERIES = {
     "op8_sharding": sharding_plan,
     "op9_decontamination": decontamination,
     "op10_url_filter": url_filter,
+    "op11_personal_data": personal_data,
     "op12_lexical_search": lexical_search,
     "op13_phrase_collocations": phrase_collocations,
 }

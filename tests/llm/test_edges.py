@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from inkveil.llm import decontam, langid, licenses, nearcopies, packing, secrets, sharding, simhash, spotsigs, tokens, urls
+from inkveil.llm import decontam, langid, licenses, nearcopies, packing, personal, secrets, sharding, simhash, spotsigs, tokens, urls
 
 CLASHES = (
     "_found _fp _language _doc_id _blob _spans _hit _words _salt k r fp fp2 id blob root mask key size shard slot spans kinds score "
@@ -43,6 +43,7 @@ OPERATORS = {
     "langid": lambda s, d: langid.identify(d),
     "simhash": lambda s, d: simhash.near_groups(d),
     "tokens": lambda s, d: tokens.round_trip(d, path_of()),
+    "personal": lambda s, d: personal.scan(d.drop("_found")),
     "sharding": lambda s, d: sharding.shard(d),
     "decontam": lambda s, d: decontam.contamination(d, bench(s)),
 }
