@@ -5,15 +5,17 @@ candidates.  A phrase is frequent only if the phrases without its first and with
 
 1. a sample of documents (a hash share of them) is mined level by level with a lowered threshold: it proposes phrases;
 2. one pass over all documents counts the proposed phrases and their negative border (phrases that are not proposed while
-   both phrases one word shorter are) exactly;
+   both phrases one word shorter are).  Words are counted as they are, longer phrases by 64-bit hashes, which is a fraction of
+   the data; a hash that reaches ``least`` may stand for a frequent phrase, one that does not cannot;
 3. frequent phrases that were not proposed are border failures: their extensions have not been counted.  A further pass
-   counts exactly those; a phrase first counted there is extended in the same pass, whatever its count will be, so the
-   result is closed after it.  Without failures there is no such pass.
+   counts the phrases of the hashes that reached ``least`` exactly, as they are, and with them what the border pass left out.
+   A phrase first counted there is extended in the same pass, whatever its count will be, so the result is closed after it.
 
-Tasks know the proposed phrases as a filter of fixed size (:mod:`.bitmaps`).  What the filter lets through by chance is
-counted too and does no harm; all counts are sums of exact strings.  A batch of some million characters is counted with
-integer codes of its own words and sends one row for each distinct phrase; Spark sums these, combined map side, so a word
-that makes up a third of the corpus is one row a batch.  Parts of phrases are looked up by salted joins.
+Tasks know the proposed phrases and the hashes that reached ``least`` as filters of fixed size (:mod:`.bitmaps`).  What a
+filter lets through by chance is counted too and does no harm; the counts that are returned are sums of exact strings.  A batch
+of some million characters is counted with integer codes of its own words and sends one row for each distinct phrase; Spark
+sums these, combined map side, so a word that makes up a third of the corpus is one row a batch.  Parts of phrases are looked
+up by salted joins.
 
 Nulls and odd input: a null text is empty, a null language is ``und``; documents count as often as they stand in the table;
 null and repeated doc_ids are documents like any other; empty texts and an empty table give no phrases; a text of any length
@@ -35,9 +37,9 @@ from inkveil.sources.session import materialise
 
 UND = "und"
 #: One document in so many is in the sample; a phrase is proposed from so many occurrences there on.
-SHARE, SAMPLE_LEAST = 4, 3
+SHARE, SAMPLE_LEAST = 4, 6
 #: Characters counted at once.
-CHUNK = 4_000_000
+CHUNK = 8_000_000
 SALTS = 16
 
 _END = b"\xff"  # stands in no UTF-8 text
@@ -62,89 +64,91 @@ def _first(lang: str, words: np.ndarray) -> np.ndarray:
     return _extend(np.full(len(words), bitmaps.hashes([lang.encode()], 1)[0]), words)
 
 
-def _marks(lang: pd.Series, phrase: pd.Series) -> np.ndarray:
-    """Hashes of whole phrases, as :func:`count_chunk` makes them."""
-    out = []
-    for one, some in phrase.groupby(lang.to_numpy(), sort=False):
-        lists = [p.encode().split(b" ") for p in some]
-        for k in {len(x) for x in lists}:
-            flat = [w for x in lists if len(x) == k for w in x]
-            words = bitmaps.hashes(flat).reshape(-1, k)
-            marks = _first(one, words[:, 0])
-            for i in range(1, k):
-                marks = _extend(marks, words[:, i])
-            out.append(marks)
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+def _grown(lang: str, codes: np.ndarray, words: list[bytes], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For k = 1 to ``longest``: whether a phrase of k words begins at each place, and its hash."""
+    single = bitmaps.hashes(words)[codes]
+    whole, marks = codes > 0, _first(lang, single)
+    yield 1, whole, marks
+    for k in range(2, longest + 1):
+        whole, marks = whole[:-1] & (codes[k - 1 :] > 0), _extend(marks[:-1], single[k - 1 :])
+        yield k, whole, marks
 
 
-def count_chunk(lang: str, texts: list[bytes], longest: int, before: np.ndarray | None, now: np.ndarray, open_ended: bool) -> Iterator[tuple]:
-    """(k, phrases, counts) of all phrases whose two shorter ones pass ``now`` and that ``before`` has not counted.
+def _inside(places: np.ndarray, bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Those of ``places`` whose hash ``bits`` hold."""
+    out = np.zeros(len(places), dtype=bool)
+    at = np.flatnonzero(places)
+    out[at] = bitmaps.has(bits, marks[at])
+    return out
 
-    ``before`` None: no pass came before, and the number of words comes along as k = 0.  ``open_ended``: a phrase counted here
-    for the first time is extended in this pass.
-    """
+
+def _both(whole: np.ndarray, passes: np.ndarray | None) -> np.ndarray:
+    return whole if passes is None else whole & passes[:-1] & passes[1:]
+
+
+def border_chunk(lang: str, texts: list[bytes], longest: int, before: np.ndarray | None, now: np.ndarray, with_words: bool) -> Iterator[tuple]:
+    """(phrases or None, hashes, counts) of the phrases whose two shorter ones are in ``now``, but for those that ``before``
+    counted; ``with_words``: words come as they are, and their number as the phrase without a word."""
     codes, words = _codes(texts)
-    if before is None:
-        yield 0, [""], np.array([int((codes > 0).sum())])
-    single = bitmaps.hashes(words)[codes]
-    marks = _first(lang, single)
-    size = len(words)
-    whole = codes > 0  # a phrase of k words begins here
-    counted, passes = whole, None  # by this pass or an earlier one
-    counted_before = passes_before = None
-    label, names = codes, words
-    for k in range(1, longest + 1):
-        if k > 1:
-            whole = whole[:-1] & (codes[k - 1 :] > 0)
-            marks = _extend(marks[:-1], single[k - 1 :])
-            counted = whole & passes[:-1] & passes[1:]
-            label = label[:-1] * size + codes[k - 1 :]
+    if with_words:
+        yield [""], np.zeros(1, dtype=np.uint64), np.array([int((codes > 0).sum())])
+    passes = passes_before = None
+    for k, whole, marks in _grown(lang, codes, words, longest):
+        counted = _both(whole, passes)
+        fresh = counted
         if before is not None:
-            counted_before = whole if k == 1 else whole & passes_before[:-1] & passes_before[1:]
+            counted_before = _both(whole, passes_before)
             fresh = counted & ~counted_before
+        if k == 1 and with_words:
+            n = np.bincount(codes, minlength=len(words))[1:]
+            yield [w.decode() for w in words[1:]], _first(lang, bitmaps.hashes(words[1:])), n
         else:
-            fresh = counted
-        if not counted.any():
-            return
-        # Codes of the phrases of this length: exact, from the code of the phrase one word shorter and the last word.
-        kept = np.flatnonzero(counted)
-        known, first, inverse = np.unique(label[kept], return_index=True, return_inverse=True)
-        if k > 1:
-            names = [names[i // size] + b" " + words[i % size] for i in known.tolist()]
-        else:
-            names = [words[i] for i in known.tolist()]
-        label = np.zeros(len(marks), dtype=np.int64)
-        label[kept] = inverse
-        n = np.bincount(inverse[fresh[kept]], minlength=len(known)) if before is not None else np.bincount(inverse, minlength=len(known))
-        here = np.flatnonzero(n)
-        if len(here):
-            yield k, [names[i].decode() for i in here.tolist()], n[here]
-        if k == longest:
+            yield None, *np.unique(marks[fresh], return_counts=True)
+        if k == longest or not counted.any():
             return
-        hit = np.zeros(len(marks), dtype=bool)
-        hit[kept] = bitmaps.has(now, marks[kept[first]])[inverse]
-        passes = counted & ((hit | fresh) if open_ended else hit)
+        passes = _inside(counted, now, marks)
         if before is not None:
-            hit = np.zeros(len(marks), dtype=bool)
-            hit[kept] = bitmaps.has(before, marks[kept[first]])[inverse]
-            passes_before = counted_before & hit
+            passes_before = _inside(counted_before, before, marks)
 
 
-def count_pass(docs: DataFrame, longest: int, before: np.ndarray | None, now: np.ndarray, open_ended: bool = False) -> DataFrame:
-    """One pass over ``docs(lang, text)``: exact counts (lang, k, phrase, n) of what :func:`count_chunk` counts."""
-    context = docs.sparkSession.sparkContext
-    held = context.broadcast((before, now))
+def phrase_chunk(lang: str, texts: list[bytes], longest: int, before: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+    """(k, phrases, counts) of all phrases of two words and more that may be frequent.
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``before`` are the proposed phrases, so that it is known which phrases the border pass counted; of these the ones in ``hot``
+    are counted again, as they are.  A phrase that it did not count is counted here and extended, whatever its count will be.
+    """
+    codes, words = _codes(texts)
+    size, label, names = len(words), codes, words
+    passes = passes_before = None
+    for k, whole, marks in _grown(lang, codes, words, longest):
+        counted, counted_before = _both(whole, passes), _both(whole, passes_before)
+        passes = _inside(counted, hot, marks)
+        if k > 1:
+            passes |= counted & ~counted_before
+            at = np.flatnonzero(passes)
+            # Exact codes: that of the phrase one word shorter, and the last word.
+            known, inverse, n = np.unique(label[:-1][at] * size + codes[k - 1 :][at], return_inverse=True, return_counts=True)
+            names = [names[i // size] + b" " + words[i % size] for i in known.tolist()]
+            label = np.zeros(len(marks), dtype=np.int64)
+            label[at] = inverse
+            if not len(at):
+                return
+            yield k, [p.decode() for p in names], n
+        passes_before = _inside(counted_before, before, marks)
+
+
+def _by_language(held, chunk, frame):
+    """A function over batches: texts of a language are gathered to chunks; ``chunk`` and ``frame`` make their rows."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
         def flush(lang: str) -> Iterator[pd.DataFrame]:
-            before, now = held.value
             sizes.pop(lang)
-            for k, phrases, n in count_chunk(lang, waiting.pop(lang), longest, before, now, open_ended):
-                for i in range(0, len(phrases), 50_000):
-                    yield pd.DataFrame({"lang": lang, "k": k, "phrase": phrases[i : i + 50_000], "n": n[i : i + 50_000]})
+            for found in chunk(lang, waiting.pop(lang), *held.value):
+                n = len(found[-1])
+                for i in range(0, n, 100_000):
+                    yield frame(lang, found, slice(i, i + 100_000))
 
         for part in parts:
             for lang, text in zip(part["lang"], part["text"]):
@@ -155,12 +159,34 @@ def count_pass(docs: DataFrame, longest: int, before: np.ndarray | None, now: np
         for lang in list(waiting):
             yield from flush(lang)
 
-    rows = docs.select("lang", "text").mapInPandas(count, COUNTS)
+    return run
+
+
+def border_pass(docs: DataFrame, longest: int, before: np.ndarray | None, now: np.ndarray, with_words: bool) -> DataFrame:
+    """One pass over ``docs(lang, text)``: (lang, phrase, mark, n); only words have a language and a phrase."""
+    def frame(lang, found, part):
+        phrases, marks, n = found
+        marks = marks[part].view(np.int64)
+        return pd.DataFrame({"lang": None if phrases is None else lang, "phrase": [None] * len(marks) if phrases is None else phrases[part], "mark": marks, "n": n[part]})
+
+    held = docs.sparkSession.sparkContext.broadcast((longest, before, now, with_words))
+    rows = docs.select("lang", "text").mapInPandas(_by_language(held, border_chunk, frame), "lang string, phrase string, mark long, n long")
+    return rows.groupBy("lang", "phrase", "mark").agg(F.sum("n").alias("n"))
+
+
+def phrase_pass(docs: DataFrame, longest: int, before: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """One pass over ``docs(lang, text)``: exact counts (lang, k, phrase, n) of all that may be frequent."""
+    def frame(lang, found, part):
+        k, phrases, n = found
+        return pd.DataFrame({"lang": lang, "k": k, "phrase": phrases[part], "n": n[part]})
+
+    held = docs.sparkSession.sparkContext.broadcast((longest, before, hot))
+    rows = docs.select("lang", "text").mapInPandas(_by_language(held, phrase_chunk, frame), COUNTS)
     return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    return counts.where((F.col("k") == 0) | (F.col("n") >= least))
+def _bits(counts: DataFrame, power: int) -> np.ndarray:
+    return bitmaps.gather(counts, ["mark"], lambda m: m.to_numpy().view(np.uint64), power)
 
 
 def propose(sample: DataFrame, least: int, longest: int, power: int = bitmaps.POWER) -> np.ndarray:
@@ -170,8 +196,8 @@ def propose(sample: DataFrame, least: int, longest: int, power: int = bitmaps.PO
     """
     before, now = None, bitmaps.empty(power)
     for k in range(1, longest):
-        found = _frequent(count_pass(sample, k, before, now), least).where(F.col("k") == k)
-        before, now = now, now | bitmaps.gather(found, ["lang", "phrase"], _marks, power)
+        found = border_pass(sample, k, before, now, False).where(F.col("n") >= least)
+        before, now = now, now | _bits(found, power)
     return now
 
 
@@ -184,12 +210,11 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, share:
     texts = docs.select("doc_id", F.coalesce("lang", F.lit(UND)).alias("lang"), "text").where("text is not null")
     picked = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(share)) == 0
     proposed = propose(materialise(texts.where(picked), "sample"), sample_least, longest, power)
-    found = materialise(_frequent(count_pass(texts, longest, None, proposed), least), "counts")
-    known = proposed | bitmaps.gather(found.where((F.col("k") > 0) & (F.col("k") < longest)), ["lang", "phrase"], _marks, power)
-    if (known != proposed).any():  # border failures: count their extensions
-        more = _frequent(count_pass(texts, longest, proposed, known, open_ended=True), least)
-        found = found.unionByName(materialise(more, "counts"))
-    return found
+    hot = border_pass(texts, longest, None, proposed, True)
+    hot = materialise(hot.where((F.col("n") >= least) | (F.col("phrase") == "")), "border")
+    words = hot.where("phrase is not null").select("lang", F.when(F.col("phrase") == "", 0).otherwise(1).alias("k"), "phrase", "n")
+    more = phrase_pass(texts, longest, proposed, _bits(hot.where("phrase is null or phrase <> ''"), power))
+    return words.unionByName(materialise(more.where(F.col("n") >= least), "counts"))
 
 
 def _looked_up(rows: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
