@@ -184,10 +184,14 @@ def search(docs: DataFrame, items: DataFrame, top: int = 50, power: int = bitmap
 def _selected(carried: DataFrame, least: DataFrame, rows: DataFrame, asked: DataFrame, top: int) -> DataFrame:
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            rows = [np.zeros((0, 4), dtype=np.int64)]
             for item, block, slots, scores, least in zip(part["item"], part["block"], part["slots"], part["scores"], part["least"]):
                 score = np.frombuffer(scores, dtype="<i8")
                 kept = np.flatnonzero(score >= least)
-                yield pd.DataFrame({"item": item, "block": block, "slot": np.frombuffer(slots, dtype="<u4")[kept].astype(np.int64), "score": score[kept]})
+                if len(kept):
+                    slot = np.frombuffer(slots, dtype="<u4")[kept].astype(np.int64)
+                    rows.append(np.column_stack([np.full(len(kept), item), np.full(len(kept), block), slot, score[kept]]))
+            yield pd.DataFrame(np.concatenate(rows), columns=["item", "block", "slot", "score"])
 
     found = carried.join(least, "item", "left").select("item", "block", "slots", "scores", F.coalesce("least", F.lit(0)).alias("least"))
     found = found.mapInPandas(unpack, "item long, block long, slot long, score long")
