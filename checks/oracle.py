@@ -260,6 +260,7 @@ def build() -> dict[str, str]:
     # ---- masking
     o["redact_block"] = masked() + " SELECT doc_id, page, text FROM masked"
     o["redact_blur"] = masked("*", preserve=False) + " SELECT doc_id, page, text FROM masked"
+    o["redact_folded"] = corpus(REDACT, S.whole(S.CORPUS_DOCS)) + S.folded()
     for key, c in (("cc", "credit_card"), ("phone", "phone"), ("email", "email"), ("masked", "mask")):
         head, last = text_job(S.CORPUS_DOCS, text_steps([c]))
         o[f"redact_token_{key}"] = f"{head} SELECT doc_id, text FROM {last}"
@@ -273,6 +274,16 @@ def build() -> dict[str, str]:
     table = profile_patterns("text", ["phone", "credit_card"])
     rows = [Pattern(p.category, 0, i, p.regex, p.ignore_case) for i, p in enumerate(table, 1)]
     o["pages_x_patterns"] = corpus(rows) + " SELECT doc_id, page, ordinal AS pattern_id, match_no, value FROM found"
+    o["pattern_table_large"] = (
+        "WITH words AS MATERIALIZED (SELECT w, CAST(row_number() OVER (ORDER BY w) AS INTEGER) AS pattern_id FROM ("
+        "SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{7,}')) AS w FROM documents) QUALIFY pattern_id <= 5000), "
+        # A match ends a run of letters: it is a suffix of the run, and the word is that suffix without "s" or "es".
+        f"runs AS (SELECT doc_id, page, unnest(rs) AS r, generate_subscripts(rs, 1) AS no FROM (SELECT doc_id, page, regexp_extract_all(text, '[a-z]+[,.]') AS rs FROM ({S.DOC_PAGES}))), "
+        "ends AS (SELECT doc_id, page, no, substr(r, CAST(i AS INT)) AS value FROM (SELECT *, unnest(range(1, len(r) - 6)) AS i FROM runs)), "
+        "stems AS (SELECT *, left(value, -1) AS w FROM ends UNION ALL SELECT *, left(value, -2) FROM ends WHERE left(value, -1) LIKE '%s' "
+        "UNION ALL SELECT *, left(value, -3) FROM ends WHERE left(value, -1) LIKE '%es') "
+        "SELECT doc_id, page, pattern_id, CAST(row_number() OVER (PARTITION BY doc_id, page, pattern_id ORDER BY no) - 1 AS INTEGER) AS match_no, value FROM stems JOIN words USING (w)"
+    )
     o["doc_matches_to_pages"] = corpus(REDACT) + (
         f" SELECT DISTINCT s.doc_id, s.page, t.hide FROM src s JOIN ({S.targets()}) t ON s.doc_id = t.doc_id "
         f"WHERE contains(s.text, t.hide) AND NOT {S.heading('t.value', 's.lang')}"

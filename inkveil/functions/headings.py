@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.binding import bind
+from inkveil.functions.matching import extract, rlike
+from inkveil.functions.pyregex import to_java
 
 # --------------------------------------------------------------------------
 # Label prefixes, heading forms and heading words.
@@ -68,11 +70,10 @@ _STACK_SAFE = {
 
 # Languages with rules of their own; every other language follows English.
 RULE_LANGUAGES = ["en", "de", "fr", "es", "hi"]
-_FLAGS = "(?dU)"
 
 
 def strip_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, to_java(r"\A\s+|\s+\Z"), "")
 
 
 def has_sensitive_prefix(text: Column) -> Column:
@@ -86,15 +87,15 @@ def _sensitive(stripped: Column) -> Column:
 
 
 def _common(stripped: Column) -> Column:
-    return stripped.rlike(_FLAGS + "|".join(_STACK_SAFE.get(form, form) for form in COMMON_HEADINGS))
+    return rlike(stripped, "|".join(_STACK_SAFE.get(form, form) for form in COMMON_HEADINGS))
 
 
 def _by_language(stripped: Column, lang: str) -> Column:
     """Label forms and heading words of one rule language."""
     label = LABEL_HEADINGS.get(lang, LABEL_HEADINGS["en"])
     words = HEADING_WORDS.get(lang, HEADING_WORDS["en"])
-    first_word = F.regexp_extract(F.lower(stripped), r"(?U)^\S+", 0)
-    return stripped.rlike(_FLAGS + label) | first_word.isin(words)
+    first_word = extract(F.lower(stripped), r"^\S+", 0)
+    return rlike(stripped, label) | first_word.isin(words)
 
 
 def is_heading(text: Column, lang: Column | str = "en", preserve: bool = True) -> Column:
@@ -135,12 +136,12 @@ def rule_language(lang: Column) -> Column:
 
 def label_content(value: Column) -> Column:
     """Part of ``Label: content`` behind the label; the whole value without a label."""
-    content = F.regexp_extract(value, _FLAGS + LABEL_VALUE, 2)
+    content = extract(value, LABEL_VALUE, 2)
     return F.when(content != "", content).otherwise(value)
 
 
 def label_part(value: Column) -> Column:
-    return F.regexp_extract(value, _FLAGS + LABEL_VALUE, 1)
+    return extract(value, LABEL_VALUE, 1)
 
 
 def heading_form(text: Column, is_label: Column | None = None) -> Column:
@@ -153,7 +154,7 @@ def heading_form(text: Column, is_label: Column | None = None) -> Column:
         is_label = text.rlike(r"^[A-Z][a-z]+\s*[:\-–—]")
     form = F.when(is_label, "label")
     for name, regex in GENERAL_FORMS:
-        form = form.when(text.rlike(_FLAGS + regex), name)
+        form = form.when(rlike(text, regex), name)
     return form
 
 
@@ -166,7 +167,7 @@ def classify_headings(lines: DataFrame, label_words: DataFrame | None = None, te
     """
     if label_words is None:
         return lines.withColumn("form", heading_form(F.col(text)))
-    token = F.regexp_extract(F.col(text), rf"(?U)^([^{LABEL_SEPARATORS}]+)[{LABEL_SEPARATORS}]", 1)
+    token = extract(F.col(text), rf"^([^{LABEL_SEPARATORS}]+)[{LABEL_SEPARATORS}]", 1)
     words = label_words.select(F.col("word").alias("_word")).distinct()
     joined = lines.withColumn("_token", token).join(words, F.col("_token") == F.col("_word"), "left")
     form = heading_form(F.col(text), F.col("_word").isNotNull())

@@ -12,7 +12,9 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkveil.functions.matching import rlike
 from inkveil.functions.patterns import calling_code_regex
+from inkveil.functions.pyregex import to_java
 
 # Verhoeff multiplication (10x10) and permutation (8x10) tables,
 # row after row, and the holder letters allowed at position four of a PAN.
@@ -39,11 +41,11 @@ def ascii_digits(value: Column) -> Column:
 
 def strip_separators(value: Column) -> Column:
     """Remove hyphens and blanks."""
-    return F.regexp_replace(value, r"(?U)[-\s]", "")
+    return F.regexp_replace(value, to_java(r"[-\s]"), "")
 
 
 def strip_blanks(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)\s+", "")
+    return F.regexp_replace(value, to_java(r"\s+"), "")
 
 
 def normalise_value(category: Column, value: Column) -> Column:
@@ -56,7 +58,7 @@ def normalise_value(category: Column, value: Column) -> Column:
 
 
 def luhn_valid(value: Column) -> Column:
-    return F.call_function("luhn_check", strip_separators(value))
+    return F.call_function("luhn_check", ascii_digits(strip_separators(value)))
 
 
 def verhoeff_valid(value: Column) -> Column:
@@ -85,7 +87,7 @@ def iban_valid(value: Column) -> Column:
         return F.when(point < 58, (acc * 10 + point - 48) % 97).otherwise((acc * 100 + point - 55) % 97)
 
     rest = F.aggregate(F.sequence(F.lit(1), F.length(rotated)), F.lit(0), step)
-    return F.coalesce(F.when(code.rlike(r"(?U)^[A-Z]{2}\d{2}[A-Z0-9]{4,}$"), rest == 1), F.lit(False))
+    return F.coalesce(F.when(rlike(code, r"^[A-Z]{2}\d{2}[A-Z0-9]{4,}$"), rest == 1), F.lit(False))
 
 
 def bic_valid(value: Column) -> Column:
@@ -93,7 +95,7 @@ def bic_valid(value: Column) -> Column:
 
 
 def pan_valid(value: Column) -> Column:
-    return F.upper(strip_separators(value)).rlike(rf"(?U)^[A-Z]{{3}}[{PAN_HOLDER}][A-Z]\d{{4}}[A-Z]$")
+    return rlike(F.upper(strip_separators(value)), rf"^[A-Z]{{3}}[{PAN_HOLDER}][A-Z]\d{{4}}[A-Z]$")
 
 
 def calling_code_valid(value: Column) -> Column:

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections import Counter
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.headings import is_heading
-from inkveil.functions.patterns import Pattern, category_patterns, java_regex, profile_patterns
+from inkveil.functions.matching import is_plain, matches, rlike
+from inkveil.functions.patterns import Pattern, category_patterns, profile_patterns
+from inkveil.functions.pyregex import FOLDS, literal_tree, needed_literals, to_java
 from inkveil.functions.spans import context_window, match_spans
 from inkveil.functions.validators import VALIDATORS
 
@@ -21,39 +23,40 @@ KEYS = ["doc_id", "page"]
 
 # Necessary conditions of pattern families.  Each is far cheaper than the
 # patterns it guards and evaluated once per text.
-_GUARDS = {
-    "plus": lambda t: t.contains("+"),
-    "digit": lambda t: t.rlike(r"(?U)\d"),
-    "digits2": lambda t: t.rlike(r"(?U)\d\d"),
-    "slash": lambda t: t.contains("/"),
-    "card_label": lambda t: t.rlike(r"(?iU)c[vsi]|security|card") & t.rlike(r"(?U)\d\d\d"),
-    "digits3": lambda t: t.rlike(r"(?U)\d\d\d"),
+GUARDS = {
+    "plus": lambda t, plain: t.contains("+"),
+    "digit": lambda t, plain: rlike(t, r"\d", 0, plain),
+    "digits2": lambda t, plain: rlike(t, r"\d\d", 0, plain),
+    "slash": lambda t, plain: t.contains("/"),
+    "card_label": lambda t, plain: rlike(t, r"c[vsi]|security|card", re.IGNORECASE, plain) & rlike(t, r"\d\d\d", 0, plain),
+    "digits3": lambda t, plain: rlike(t, r"\d\d\d", 0, plain),
     # Seven digits with nothing but phone separators between them.
-    "digits7": lambda t: t.rlike(r"(?U)\d\d\d") & t.rlike(r"(?U)(?:\d[-.()\s]*+){7}"),
-    "digits12": lambda t: t.rlike(r"(?U)\d\d\d\d") & t.rlike(r"(?U)(?:\d[-\s]?){12}"),
-    "at_sign": lambda t: t.contains("@"),
-    "at_any": lambda t: t.contains("@") | t.contains("[at]"),
-    "bracket": lambda t: t.rlike(r"(?i)\[at\]"),
-    "dot_word": lambda t: t.rlike(r"(?i)dot"),
+    "digits7": lambda t, plain: rlike(t, r"\d\d\d", 0, plain) & rlike(t, r"(?:\d[-.()\s]*+){7}", 0, plain),
+    "digits12": lambda t, plain: rlike(t, r"\d\d\d\d", 0, plain) & rlike(t, r"(?:\d[-\s]?){12}", 0, plain),
+    "at_sign": lambda t, plain: t.contains("@"),
+    "at_any": lambda t, plain: t.contains("@") | t.contains("[at]"),
+    "bracket": lambda t, plain: rlike(t, r"\[at\]", re.IGNORECASE, plain),
+    "dot_word": lambda t, plain: rlike(t, "dot", re.IGNORECASE, plain),
 }
 
 
-def all_matches(text: Column, java: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java), F.lit(0))
+def all_matches(text: Column, p: Pattern, plain: Column | None = None) -> Column:
+    return matches(text, p.regex, p.flags, plain)
 
 
 def guarded_matches(text: Column, p: Pattern) -> Column:
     """Matches of one pattern, or null when its guard already excludes any."""
     name = p.guard
-    found = all_matches(text, p.java)
-    return F.when(_GUARDS[name](text), found) if name else found
+    found = all_matches(text, p)
+    return F.when(GUARDS[name](text, None), found) if name else found
 
 
 def guarded(texts: DataFrame, patterns: list[Pattern]) -> tuple[DataFrame, list[Column | None]]:
-    """``texts`` with guard columns, and the guard of each pattern (or ``None``)."""
+    """``texts`` with ``_plain`` and guard columns, and the guard of each pattern (or ``None``)."""
     names = [p.guard for p in patterns]
     used = sorted({n for n in names if n})
-    flagged = texts.select("*", *[_GUARDS[n](F.col("text")).alias(f"_{n}") for n in used])
+    plain = F.coalesce(is_plain(F.col("text")), F.lit(True))
+    flagged = texts.select("*", plain.alias("_plain")).select("*", *[GUARDS[n](F.col("text"), F.col("_plain")).alias(f"_{n}") for n in used])
     return flagged, [F.col(f"_{n}") if n else None for n in names]
 
 
@@ -64,7 +67,7 @@ def _guarded(
     flagged, checks = guarded(pages, patterns)
     arrays = []
     for i, (p, check) in enumerate(zip(patterns, checks)):
-        found = all_matches(F.col("text"), p.java)
+        found = all_matches(F.col("text"), p, F.col("_plain"))
         if conditions is not None:
             check = conditions[i] if check is None else conditions[i] & check
         arrays.append(found if check is None else F.when(check, found))
@@ -97,10 +100,11 @@ def find(
     keys = [*KEYS, *keep]
     flagged, arrays = _guarded(pages, patterns, conditions)
     lists = F.array(*[F.struct(F.lit(i).alias("pat"), a.alias("ms")) for i, a in enumerate(arrays)])
-    hits = flagged.select(*keys, "text", F.inline(F.filter(lists, lambda s: F.size(s["ms"]) > 0)))
+    hits = flagged.select(*keys, "text", "_plain", F.inline(F.filter(lists, lambda s: F.size(s["ms"]) > 0)))
     pat = F.col("pat")
     if spans or context is not None:
-        located = match_spans(F.col("text"), _lookup([p.java for p in patterns], pat), F.col("ms"))
+        regex = F.when(F.col("_plain"), _lookup([p.plain for p in patterns], pat)).otherwise(_lookup([p.java for p in patterns], pat))
+        located = match_spans(F.col("text"), regex, F.col("ms"))
         if context is not None:
             located = F.transform(
                 located,
@@ -199,7 +203,7 @@ def count_per_page(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
 
 def match_pattern(pages: DataFrame, regex: str, ignore_case: bool = True) -> DataFrame:
     """Generic matcher: ``(doc_id, page, n, values)``, zero rows included."""
-    values = all_matches(F.col("text"), java_regex(regex, ignore_case))
+    values = matches(F.col("text"), regex, re.IGNORECASE if ignore_case else 0)
     return pages.select(*KEYS, values.alias("values")).select(*KEYS, F.size("values").alias("n"), "values")
 
 
@@ -227,6 +231,60 @@ def match_pattern_table(pages: DataFrame, table: DataFrame, at_once: int = 200)
     return out
 
 
+def match_large_pattern_table(pages: DataFrame, table: DataFrame, at_once: int = 20_000, salts: int = 16) -> DataFrame:
+    """As :func:`match_pattern_table` for tables of thousands of patterns: a page meets only patterns that it can match.
+
+    A pattern is filed under a literal that each of its matches holds, the one that the fewest patterns share; one search finds
+    all literals of a page, and an equi join brings the patterns filed under them (salted, as a literal may stand on a third of
+    the pages).  Each ``at_once`` patterns read the corpus once.  Patterns without a literal of three characters are scanned
+    for as before.
+    """
+    plain, out, rows = [], [], []
+
+    def flush() -> None:
+        if rows:
+            out.append(_filed(pages, rows, salts))
+            rows.clear()
+
+    for r in table.orderBy("pattern_id").toLocalIterator():
+        flags = re.IGNORECASE if r["ignore_case"] else 0
+        literals = [x[:24] for x in needed_literals(r["regex"], flags) if len(x) >= 3]
+        if literals:
+            rows.append((r["pattern_id"], to_java(r["regex"], flags, True), to_java(r["regex"], flags), literals))
+        else:
+            plain.append((r["pattern_id"], r["regex"], r["ignore_case"]))
+        if len(rows) == at_once:
+            flush()
+    flush()
+    if plain or not out:
+        out.append(match_pattern_table(pages, pages.sparkSession.createDataFrame(plain, "pattern_id int, regex string, ignore_case boolean")))
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _filed(pages: DataFrame, rows: list[tuple], salts: int) -> DataFrame:
+    shared = Counter(x for *_, literals in rows for x in set(literals))
+    homes = [min(set(literals), key=lambda x: (shared[x], -len(x), x)) for *_, literals in rows]
+    known = set(homes)
+    # A search shows the longest literal at a place; those that begin it stand there too.
+    begun = {x: [x[:n] for n in range(3, len(x) + 1) if x[:n] in known] for x in known}
+    spark = pages.sparkSession
+    filed = spark.createDataFrame([(h, i, p, j) for h, (i, p, j, _) in zip(homes, rows)], "home string, pattern_id int, plain string, java string")
+    shown = spark.createDataFrame([(x, h) for x, hs in begun.items() for h in hs], "literal string, home string")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    patterns = shown.join(filed, "home").select("literal", "pattern_id", "plain", "java", salt.alias("salt"))
+    text = F.lower(F.translate("text", *FOLDS))
+    met = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({literal_tree(known)}))"), F.lit(1)))
+    hits = pages.select(*KEYS, F.explode(met).alias("literal"), F.pmod(F.xxhash64(*KEYS), F.lit(salts)).cast("int").alias("salt"))
+    lists = hits.join(patterns, ["literal", "salt"]).groupBy(*KEYS).agg(
+        F.collect_set(F.struct("pattern_id", "plain", "java")).alias("patterns"))  # at most the patterns of one slice
+    pairs = pages.join(lists, KEYS).withColumn("_plain", is_plain(F.col("text"))).select(*KEYS, "text", "_plain", F.explode("patterns").alias("p"))
+    regex = F.when(F.col("_plain"), F.col("p.plain")).otherwise(F.col("p.java"))
+    return pairs.select(*KEYS, "p.pattern_id", F.posexplode(F.regexp_extract_all("text", regex, F.lit(0))).alias("match_no", "value"))
+
+
 def regex_mask(
     pages: DataFrame,
     regex: str,
@@ -241,10 +299,8 @@ def regex_mask(
     each page from its ``lang`` column.
     """
     spark = pages.sparkSession
-    regex = java_groups(regex)
-    java = java_regex(regex, True)
     schema = "doc_id bigint, page int, type string, match string, start int, end int, mask string"
-    if not is_valid_regex(spark, java):
+    if not is_valid_regex(regex):
         warnings.warn(f"not a valid regular expression, nothing is searched for it: {regex}", stacklevel=2)
         return spark.createDataFrame([], schema)
     patterns = [Pattern("custom", 0, 1, regex, True)]
@@ -261,19 +317,12 @@ def regex_mask(
     )
 
 
-def java_groups(regex: str) -> str:
-    """Python's named groups ``(?P<n>`` and ``(?P=n)`` in Java's form, whose names hold letters and digits only."""
-    name = lambda n: "g" + n.replace("_", "0x5f")
-    regex = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{name(m[1])}>", regex)
-    return re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{name(m[1])}>", regex)
-
-
-def is_valid_regex(spark, java: str) -> bool:
-    """Whether ``java`` compiles; any other failure is raised."""
+def is_valid_regex(regex: str) -> bool:
+    """Whether Python takes ``regex`` and Java has all that it uses."""
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
+        to_java(regex, re.IGNORECASE)
         return True
-    except IllegalArgumentException:  # PatternSyntaxException is one
+    except (re.error, ValueError, RecursionError, OverflowError):
         return False
 
 
@@ -281,7 +330,7 @@ def scan_secondary(pages: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """Distinct values per group in secondary text; only rows with something found."""
     entries = []
     for name, regexes in groups.items():
-        found = F.concat(*[all_matches(F.col("text"), java_regex(r, True)) for r in regexes])
+        found = F.concat(*[matches(F.col("text"), r, re.IGNORECASE) for r in regexes])
         entries.append(F.struct(F.lit(name).alias("group"), F.array_distinct(found).alias("values")))
     return (
         pages.select(*KEYS, F.inline(F.array(*entries)))
@@ -292,7 +341,7 @@ def scan_secondary(pages: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 
 def first_sensitive(text: Column, patterns: dict[str, str]) -> Column:
     """Name of the first kind found, in the given order; null when none."""
-    return F.coalesce(*[F.when(text.rlike(java_regex(r)), F.lit(k)) for k, r in patterns.items()])
+    return F.coalesce(*[F.when(rlike(text, r), F.lit(k)) for k, r in patterns.items()])
 
 
 def cell(pages: DataFrame, profile: str, category: str, mask: str | None = None, spans: bool = False) -> DataFrame:

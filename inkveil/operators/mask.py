@@ -7,24 +7,25 @@ text pattern by pattern, each pattern seeing what the former ones left.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.binding import bind
-from inkveil.functions.headings import RULE_LANGUAGES, heading_languages, label_content, rule_language
+from inkveil.functions.headings import RULE_LANGUAGES, heading_languages, is_heading, label_content, rule_language
+from inkveil.functions.matching import is_plain, rlike
 from inkveil.functions.patterns import TEXT_ORDER, TEXT_TOKEN, Pattern, category_patterns, profile_patterns
+from inkveil.functions.replacing import FEW, cover, folded, one_of, replace_in_order, squeezed
 from inkveil.functions.validators import VALIDATORS
-from inkveil.operators import dense
 from inkveil.operators.collate import ORDER
-from inkveil.operators.detect import all_matches, guarded
-from inkveil.sources.session import materialise, workers_find_package
+from inkveil.operators.detect import GUARDS, all_matches
+from inkveil.sources.session import materialise
 
 BLOCK_CHAR = "█"
 BLUR_CHAR = "*"
 # Documents with up to this many targets carry them as one array per document.
 LIST_LIMIT = 1000
-# Long documents in one row with more targets than this are masked by :mod:`.dense`, to the same text.
-DENSE_TARGETS = 200
 GRAM = 8
 SALTS = 16
 
@@ -49,9 +50,14 @@ def targets(findings: DataFrame, preserve_headings: bool = True) -> DataFrame:
 def _apply(text: Column, hits: Column, lang: Column, char: str) -> Column:
     """Hide, one after the other, the hits that stand on the original ``text``."""
     visible = F.filter(hits, lambda t: ~F.array_contains(t["kept_in"], lang) & text.contains(t["hide"]))
-    return F.aggregate(
-        visible, text, lambda acc, t: F.replace(acc, t["hide"], F.repeat(F.lit(char), F.length(t["hide"])))
-    )
+    hides = F.array_distinct(F.transform(visible, lambda t: t["hide"]))
+    return bind(hides, lambda values: hide_in_order(text, values, char))
+
+
+def hide_in_order(text: Column, values: Column, char: str) -> Column:
+    """``values`` hidden one after the other, each wherever the former ones left it; the length is kept."""
+    odd = F.exists(values, lambda v: v.contains(char) | (v == ""))  # masks may make new occurrences of these
+    return replace_in_order(text, values, lambda v: F.repeat(F.lit(char), F.length(v)), odd)
 
 
 def mask_pages(
@@ -69,6 +75,26 @@ def mask_pages(
     return out.select("doc_id", "page", masked.alias("text"), "lang")
 
 
+def mask_pages_folded(pages: DataFrame, wanted: DataFrame, blur: bool = False, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """Hide ``targets`` on all pages of their documents however they are written there.
+
+    An occurrence is found in any case, with any blanks for a blank, and with a line break, blanks around it and a hyphen
+    before it between two characters.  The occurrences of all targets together are hidden, also where they overlap; one search
+    over a page finds those of any number of targets.  Line ends stay.
+    """
+    out = _with_hits(pages, wanted, list_limit, squeezed)
+
+    def folds(small: Column) -> Column:
+        here = F.filter("hits", lambda t: ~F.array_contains(t["kept_in"], F.col("_rule")) & small.contains(squeezed(t["hide"])))
+        return F.filter(F.array_distinct(F.transform(here, lambda t: folded(t["hide"]))), lambda v: v != "")
+
+    char = BLUR_CHAR if blur else BLOCK_CHAR
+    hides = F.when(F.size("hits") > 0, bind(squeezed(F.col("text")), folds)).otherwise(_no_values())
+    listed = out.withColumn("_hides", hides)
+    masked = F.when(F.size("_hides") == 0, F.col("text")).otherwise(bind(one_of(F.col("_hides"), broken=True), lambda r: cover(F.col("text"), r, char)))
+    return listed.select("doc_id", "page", masked.alias("text"), "lang")
+
+
 def targets_on_pages(pages: DataFrame, wanted: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     """``(doc_id, page, hide)``: the targets that occur on each page of their document."""
     here = F.filter(
@@ -78,15 +104,15 @@ def targets_on_pages(pages: DataFrame, wanted: DataFrame, list_limit: int = LIST
     return _with_hits(pages, wanted, list_limit).select("doc_id", "page", F.explode(hides).alias("hide"))
 
 
-def _with_hits(pages: DataFrame, wanted: DataFrame, list_limit: int) -> DataFrame:
+def _with_hits(pages: DataFrame, wanted: DataFrame, list_limit: int, form: Callable[[Column], Column] = lambda text: text) -> DataFrame:
     """Pages with the targets that may occur on them, in order.
 
     Documents with few targets take them as one bounded array in an equi join on
     ``doc_id``.  For a document with more, a page only meets the targets that
     share a character gram with it: see :func:`_page_hits`.  Both ways hide the
-    targets that stand on the original page, so they mask the same text.  The targets are stored first: they are read several times, and
-    with the sizes of a stored table Spark can broadcast them while they are
-    small.
+    targets that stand on the original page, so they mask the same text.  ``form`` is what texts and targets are compared in.
+    The targets are stored first: they are read several times, and with the sizes of a stored table Spark can broadcast them
+    while they are small.
     """
     if "lang" not in pages.columns:
         pages = pages.withColumn("lang", F.lit("en"))
@@ -101,7 +127,7 @@ def _with_hits(pages: DataFrame, wanted: DataFrame, list_limit: int) -> DataFram
     none = F.array().cast(lists.schema["hits"].dataType)
     if any_heavy:
         heavy_pages = pages.join(heavy, "doc_id", "left_semi")
-        heavy_hits = _page_hits(heavy_pages, wanted.join(heavy, "doc_id", "left_semi"), item)
+        heavy_hits = _page_hits(heavy_pages, wanted.join(heavy, "doc_id", "left_semi"), item, form)
         out = (
             pages.join(heavy, "doc_id", "left_anti").join(lists, "doc_id", "left")
             .unionByName(heavy_pages.join(heavy_hits, ["doc_id", "page"], "left"))
@@ -113,7 +139,7 @@ def _with_hits(pages: DataFrame, wanted: DataFrame, list_limit: int) -> DataFram
     )
 
 
-def _page_hits(pages: DataFrame, wanted: DataFrame, item: Column) -> DataFrame:
+def _page_hits(pages: DataFrame, wanted: DataFrame, item: Column, form: Callable[[Column], Column]) -> DataFrame:
     """Targets that can occur on each page, ``(doc_id, page, hits)``.
 
     Each target is filed under that one of its ``GRAM``-character substrings that
@@ -122,8 +148,8 @@ def _page_hits(pages: DataFrame, wanted: DataFrame, item: Column) -> DataFrame:
     grams of the page misses nothing; pages and targets are expanded by their own
     length only, never by one another.
     """
-    length = F.least(F.length("hide"), F.lit(GRAM))
-    grams = wanted.select("doc_id", "hide", length.alias("k"), F.explode(_grams(F.col("hide"), length)).alias("gram"))
+    length = F.least(F.length(form(F.col("hide"))), F.lit(GRAM))
+    grams = wanted.select("doc_id", "hide", length.alias("k"), F.explode(_grams(form(F.col("hide")), length)).alias("gram"))
     grams = grams.distinct()
     shared = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
     anchors = (
@@ -142,7 +168,7 @@ def _page_hits(pages: DataFrame, wanted: DataFrame, item: Column) -> DataFrame:
     page_grams = (
         pages.join(lengths, "doc_id")
         .select("doc_id", "page", "text", F.explode("ks").alias("k"))
-        .select("doc_id", "page", F.explode(F.array_distinct(_grams(F.col("text"), F.col("k")))).alias("gram"))
+        .select("doc_id", "page", F.explode(F.array_distinct(_grams(form(F.col("text")), F.col("k")))).alias("gram"))
         .withColumn("salt", F.pmod(F.hash("page"), F.lit(SALTS)))
     )
     return (
@@ -170,84 +196,76 @@ def mask_documents(
     """The page job on ``documents(doc_id, text[, lang])``, without any shuffle.
 
     All pages of a document lie in its row, so its targets are gathered and
-    hidden inside the row.  The work per row is targets times length: documents
-    of millions of pages belong in a page table.  As in the page job, a page hides the targets that stand on it
-    before anything is hidden.  ``separator`` is plain text.
+    hidden inside the row.  Patterns run on the pages that meet their guards; no value holds a ``separator`` (plain text),
+    so values are hidden in the whole text at once.  Only values with the mask character in them are hidden page by page:
+    as in the page job, a page hides the targets that stand on it before anything is hidden.
     """
-    workers_find_package(documents.sparkSession)
     patterns = profile_patterns("redact", categories, mask)
     text = F.col("text")
     lang = rule_language(F.col("lang")) if "lang" in documents.columns else F.lit("en")
-    flagged, checks = guarded(documents, patterns)
+    plain = F.col("_plain")
     pages = F.split(text, "\\Q" + separator + "\\E", -1)
+    guards = sorted({p.guard for p in patterns if p.guard})
 
-    def matches(all_pages: Column, p: Pattern, check: Column | None) -> Column:
-        found = F.flatten(F.transform(all_pages, lambda page: all_matches(page, p.java)))
-        if p.validator:
-            found = F.filter(found, VALIDATORS[p.validator])
-        return found if check is None else F.when(check, found).otherwise(_no_values())
+    def matches(some_pages: Column, p: Pattern) -> Column:
+        found = F.flatten(F.transform(some_pages, lambda page: all_matches(page, p, plain)))
+        return F.filter(found, VALIDATORS[p.validator]) if p.validator else found
 
     def values(all_pages: Column) -> Column:
         """Strings to hide, in the order in which they were found."""
-        lists = [matches(all_pages, p, check) for p, check in zip(patterns, checks)]
-        found = F.array_distinct(F.flatten(F.array(*lists)))
-        if preserve_headings:
-            found = F.transform(
-                F.filter(found, lambda v: ~F.array_contains(heading_languages(v), lang)), label_content
-            )
-        return found
+        def by_guard(kept: Column) -> Column:
+            found = F.array_distinct(F.flatten(F.array(*[matches(kept[p.guard or "all"], p) for p in patterns])))
+            if preserve_headings:
+                found = F.array_distinct(F.transform(F.filter(found, lambda v: ~is_heading(v, lang)), label_content))
+            return found
+
+        kept = [F.filter(all_pages, _meets(g, plain)).alias(g) for g in guards]
+        return bind(F.struct(all_pages.alias("all"), *kept), by_guard)
 
     char = BLUR_CHAR if blur else BLOCK_CHAR
 
     def hide_all(found: Column) -> Column:
-
         def on_page(page: Column) -> Column:
             here = F.filter(found, lambda h: page.contains(h))
             return F.aggregate(here, page, lambda acc, h: F.replace(acc, h, F.repeat(F.lit(char), F.length(h))))
 
-        return F.transform(pages, on_page)
+        odd = F.exists(found, lambda v: v.contains(char) | (v == ""))
+        return F.when(odd, F.array_join(F.transform(pages, on_page), separator)).otherwise(
+            replace_in_order(text, found, lambda v: F.repeat(F.lit(char), F.length(v))))
 
+    flagged = documents.withColumn("_plain", F.coalesce(is_plain(text), F.lit(True)))
     listed = flagged.select(*documents.columns, bind(pages, values).alias("_hide"))
-    many = (F.size("_hide") > DENSE_TARGETS) & (F.length("text") > dense.DENSE_LENGTH)
-    sent = dense.hide(char)(F.when(many, pages), F.when(many, F.col("_hide")))
-    done = listed.withColumn("_pages", sent)
-    masked = F.array_join(F.when(F.col("_pages").isNotNull(), F.col("_pages")).otherwise(bind(F.col("_hide"), hide_all)), separator)
-    return done.select(*[masked.alias("text") if c == "text" else c for c in documents.columns])
-
+    masked = F.when(F.size("_hide") == 0, text).otherwise(bind(F.col("_hide"), hide_all))
+    return listed.select(*[masked.alias("text") if c == "text" else c for c in documents.columns])
 
-# ------------------------------------------------------------- text job ----
 
-def consume(text: Column, found: Column, token: str, repeats: bool = False) -> Column:
-    """Replace every literal occurrence of each found value by ``token``.
+def _meets(guard: str, plain: Column):
+    return lambda page: GUARDS[guard](page, plain)
 
-    Replacing a value twice changes nothing unless the token contains it, so
-    values are taken once (``repeats`` keeps them all).
-    """
-    values = found if repeats else F.array_distinct(found)
-    return F.aggregate(values, text, lambda acc, m: F.replace(acc, m, F.lit(token)))
 
+# ------------------------------------------------------------- text job ----
 
 def mask_text(documents: DataFrame, categories=None, mask: str | None = None, items: bool = False) -> DataFrame:
-    """Plain-text masking of ``text``: one row-wise expression, no shuffle; dense texts take :mod:`.dense`.
+    """Plain-text masking of ``text``: one row-wise expression, no shuffle.
 
     Categories run in the order card, phone, e-mail, mask; each pattern sees the
-    text its predecessors left.  With ``items`` the found values come along as
-    ``items_<category>`` arrays in order.
+    text its predecessors left, and every literal occurrence of each value that it finds becomes the category's token.
+    With ``items`` the found values come along as ``items_<category>`` arrays in order.
+
+    Texts in which no pattern finds more than a few values take one expression for each pattern, with the pattern compiled
+    once; all others take :func:`_busy_job`, which replaces many values at once.  The text is the same.
     """
-    workers_find_package(documents.sparkSession)
     wanted = [c for c in TEXT_ORDER if categories is None or c in categories]
     patterns = [p for c in wanted for p in category_patterns("text", c, mask)]
     others = [c for c in documents.columns if c != "text"]
-    many = dense.is_dense(F.col("text"))
-    parted = documents.select(
-        *others, F.when(~many, F.col("text")).alias("_light"), F.when(many, F.col("text")).alias("_dense")
-    )
-    light = F.col("_light")
-    state = F.struct(light.alias("text"), *[_no_values().alias(c) for c in wanted])
-    job = bind(F.struct(*[check(light).alias(name) for name, check in _TEXT_GUARDS.items()]),
-               lambda guards: _text_steps(state, guards, patterns, wanted, mask))
-    done = parted.withColumn("_many", dense.text_job(patterns, wanted, mask)("_dense"))
-    out = done.select(*others, F.when(F.col("_dense").isNotNull(), F.col("_many")).otherwise(job).alias("_job"))
+    text = F.col("text")
+    # Tokens are ASCII: a plain text stays plain.
+    tests = bind(F.coalesce(is_plain(text), F.lit(True)), lambda plain: F.struct(
+        plain.alias("plain"), *[check(text, plain).alias(name) for name, check in _TEXT_GUARDS.items()]))
+    guarded = documents.withColumn("_tests", tests)
+    done = guarded.withColumn("_job", _text_steps(text, F.col("_tests"), patterns, wanted, mask))
+    job = F.when(F.col("_job.busy"), _busy_job(text, F.col("_tests"), patterns, wanted, mask)).otherwise(F.col("_job").dropFields("busy"))
+    out = done.select(*others, job.alias("_job"))
     lists = [F.col(f"_job.{c}").alias(f"items_{c}") for c in wanted] if items else []
     return out.select(*[F.col("_job.text").alias("text") if c == "text" else c for c in documents.columns], *lists)
 
@@ -255,11 +273,11 @@ def mask_text(documents: DataFrame, categories=None, mask: str | None = None, it
 # Necessary conditions, checked on the original text: tokens hold no digit, no
 # "@" and no "dot", so no later text can meet a condition the original fails.
 _TEXT_GUARDS = {
-    "digit": lambda t: t.rlike(r"(?U)\d"),
-    "digits3": lambda t: t.rlike(r"(?U)\d\d\d"),
-    "at_sign": lambda t: t.contains("@"),
-    "dot_word": lambda t: t.contains("dot"),
-    "bracket": lambda t: t.contains("[at]"),
+    "digit": lambda t, plain: rlike(t, r"\d", 0, plain),
+    "digits3": lambda t, plain: rlike(t, r"\d\d\d", 0, plain),
+    "at_sign": lambda t, plain: t.contains("@"),
+    "dot_word": lambda t, plain: t.contains("dot"),
+    "bracket": lambda t, plain: t.contains("[at]"),
 }
 
 
@@ -271,32 +289,67 @@ def _text_guard(category: str, ordinal: int) -> str | None:
     return "digits3" if category in ("phone", "credit_card") else None
 
 
-def _text_steps(state: Column, guards: Column, patterns, wanted, mask: str | None) -> Column:
+def _repeats(p: Pattern, mask: str | None) -> bool:
+    """Replacing a value twice changes nothing unless the token contains it."""
+    return p.category == "mask" and mask in TEXT_TOKEN["mask"]
+
+
+def _text_steps(text: Column, tests: Column, patterns: list[Pattern], wanted: list[str], mask: str | None) -> Column:
+    """Struct of the masked text and the values of each category; ``busy`` if a pattern found more than a few values."""
+    state = F.struct(text.alias("text"), F.lit(False).alias("busy"), *[_no_values().alias(c) for c in wanted])
     for p in patterns:
-        state = bind(state, _one_step(p, guards, wanted, mask))
+        state = bind(state, _one_step(p, tests, wanted, mask))
     return state
 
 
-def _one_step(p, guards: Column, wanted, mask: str | None):
-    token = TEXT_TOKEN[p.category]
-    repeats = p.category == "mask" and mask in token
-    guard = _text_guard(p.category, p.ordinal)
+def _one_step(p: Pattern, tests: Column, wanted: list[str], mask: str | None):
+    token, guard = F.lit(TEXT_TOKEN[p.category]), _text_guard(p.category, p.ordinal)
 
     def step(s: Column) -> Column:
-        found = all_matches(s["text"], p.java)
-        if guard:
-            found = F.when(guards[guard], found).otherwise(_no_values())
-        return bind(
-            found,
-            lambda m: F.struct(
-                consume(s["text"], m, token, repeats).alias("text"),
-                *[(F.concat(s[c], m) if c == p.category else s[c]).alias(c) for c in wanted],
-            ),
-        )
+        found = all_matches(s["text"], p, tests["plain"])
+        wait = s["busy"] if guard is None else s["busy"] | ~tests[guard]
+
+        def replaced(m: Column) -> Column:
+            values = m if _repeats(p, mask) else F.array_distinct(m)
+            return F.struct(
+                F.aggregate(values, s["text"], lambda acc, v: F.replace(acc, v, token)).alias("text"), s["busy"].alias("busy"),
+                *[(F.concat(s[c], m) if c == p.category else s[c]).alias(c) for c in wanted])
+
+        def taken(m: Column) -> Column:
+            many = F.size(m) > FEW
+            return F.when(F.size(m) == 0, s).when(many & F.lit(not _repeats(p, mask)), s.withField("busy", F.lit(True))).otherwise(replaced(m))
+
+        return bind(F.when(wait, _no_values()).otherwise(found), taken)
 
     return step
 
 
+def _busy_job(text: Column, tests: Column, patterns: list[Pattern], wanted: list[str], mask: str | None) -> Column:
+    """The same steps as a fold over the patterns, each of which replaces its values at once."""
+    names = ["plain", *_TEXT_GUARDS]
+    rows = F.array(*[
+        F.struct(F.lit(p.plain).alias("plain"), F.lit(p.java).alias("java"), F.lit(p.category).alias("category"), F.lit(TEXT_TOKEN[p.category]).alias("token"),
+                 F.lit(names.index(_text_guard(p.category, p.ordinal)) if _text_guard(p.category, p.ordinal) else -1).alias("guard"),
+                 F.lit(_repeats(p, mask)).alias("repeats"))
+        for p in patterns])
+    flags = F.array(*[tests[n] for n in names])
+
+    def step(s: Column, p: Column) -> Column:
+        found = F.regexp_extract_all(s["text"], F.when(tests["plain"], p["plain"]).otherwise(p["java"]), F.lit(0))
+        found = F.when((p["guard"] < 0) | F.get(flags, F.greatest(p["guard"], F.lit(0))), found).otherwise(_no_values())
+
+        def taken(m: Column) -> Column:
+            again = F.aggregate(m, s["text"], lambda acc, v: F.replace(acc, v, p["token"]))
+            once = bind(F.array_distinct(m), lambda values: replace_in_order(s["text"], values, lambda v: p["token"]))
+            return F.struct(
+                F.when(p["repeats"], again).otherwise(once).alias("text"),
+                *[F.when(p["category"] == c, F.concat(s[c], m)).otherwise(s[c]).alias(c) for c in wanted])
+
+        return bind(found, taken)
+
+    return F.aggregate(rows, F.struct(text.alias("text"), *[_no_values().alias(c) for c in wanted]), step)
+
+
 def _no_values() -> Column:
     return F.array().cast("array<string>")
 

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.matching import matches, rlike
 from inkveil.functions.patterns import TEXT_ORDER, Pattern, category_patterns
 from inkveil.operators.detect import KEYS, find, guarded, guarded_matches
 
@@ -41,12 +42,12 @@ def leftover_words(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
     flagged, holds = guarded(pages, checks)  # a word meets no condition that its page fails
     flags = [c for c in flagged.columns if c not in pages.columns]
     words = flagged.select(
-        *KEYS, *flags, F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).alias("word_no", "word")
+        *KEYS, *flags, F.posexplode(matches(F.col("text"), r"\S+", 0, F.col("_plain"))).alias("word_no", "word")
     )
     hits = F.array_compact(
         F.array(*[
             F.when(
-                F.col("word").rlike(p.java) if hold is None else hold & F.col("word").rlike(p.java),
+                _holds(p, hold),
                 F.struct(F.lit(p.category).alias("category"), F.lit(p.ordinal).alias("ordinal")),
             )
             for p, hold in zip(checks, holds)
@@ -57,13 +58,18 @@ def leftover_words(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
     )
 
 
+def _holds(p: Pattern, hold: Column | None) -> Column:
+    found = rlike(F.col("word"), p.regex, p.flags, F.col("_plain"))
+    return found if hold is None else hold & found
+
+
 def leftover_secondary(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """``unredacted_image_text`` issues: one per item and pattern, without context."""
     checks = strict_again(patterns)
     hits = F.array_compact(
         F.array(*[
             F.when(
-                F.col("text").rlike(p.java),
+                rlike(F.col("text"), p.regex, p.flags),
                 F.struct(F.lit(p.category).alias("category"), F.lit(p.ordinal).alias("ordinal")),
             )
             for p in checks

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import headings, validators
@@ -382,6 +382,14 @@ def redact_blur(spark, sf):
     return redact_pages(pages, options).select("doc_id", "page", "text")
 
 
+@query("redact_folded")
+def redact_folded(spark, sf):
+    """What is found on the first page of a document is hidden on its other pages, where case and line ends differ."""
+    pages = corpus.written_otherwise(corpus.corpus_documents(spark, sf))
+    found = detect.findings(pages.where("page = 1"), "redact")
+    return mask.mask_pages_folded(pages, mask.targets(found)).select("doc_id", "page", "text")
+
+
 def _token(category):
     def run(spark, sf):
         docs = corpus.corpus_documents(spark, sf).select("doc_id", "text")
@@ -425,6 +433,16 @@ def pages_x_patterns(spark, sf):
     return detect.match_pattern_table(corpus.corpus_pages(spark, sf), table)
 
 
+@query("pattern_table_large")
+def pattern_table_large(spark, sf):
+    """Every page against a table of up to 5,000 patterns, one for each of the first long words of the documents."""
+    docs = corpus.table(spark, sf, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{7,}"), F.lit(0))).alias("w")).distinct().orderBy("w").limit(5000)
+    table = words.select(
+        F.row_number().over(Window.orderBy("w")).alias("pattern_id"), F.concat("w", F.lit("(?:s|es)?[,.]")).alias("regex"), F.lit(False).alias("ignore_case"))
+    return detect.match_large_pattern_table(corpus.document_pages(spark, sf), table)
+
+
 @query("doc_matches_to_pages")
 def doc_matches_to_pages(spark, sf):
     return mask.targets_on_pages(corpus.corpus_pages(spark, sf), mask.targets(_redact(spark, sf)))

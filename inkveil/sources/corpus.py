@@ -85,6 +85,13 @@ def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_otherwise(documents: DataFrame) -> DataFrame:
+    """Three pages of each document: its text, the text in lower case with a line end for each blank, and broken after each 5."""
+    forms = ["text", "lower(replace(text, ' ', chr(10)))", "replace(text, '5', concat('5-', chr(10), ' '))"]
+    pages = F.array(*[F.struct(F.lit(i).alias("page"), F.expr(form).alias("text")) for i, form in enumerate(forms, 1)])
+    return documents.select("doc_id", "lang", F.inline(pages))
+
+
 # Text of one note; the same expression runs in Spark SQL and in DuckDB.
 def _letter(factor: int) -> str:
     return f"chr(cast(65+(o_orderkey*{factor})%26 as int))"
