@@ -127,7 +127,30 @@ def build() -> dict[str, str]:
     o: dict[str, str] = {}
     # ---- sources and sinks
     o["page_scan"] = f"SELECT doc_id, page, text FROM ({S.DOC_PAGES})"
-    o["text_decode"] = "SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents"
+    # The same bytes as lists of numbers.  No letter of the texts makes valid UTF-8 by chance: leading bytes are never followed up.
+    pairs = "list_transform(range(1, len({0}), 2), lambda i: {1})"
+    le, be = "{0}[i] + 256 * {0}[i + 1]", "256 * {0}[i] + {0}[i + 1]"
+    unit = lambda form, b: pairs.format(b, form.format(b))
+    paired = (
+        "len(list_filter(range(1, len({0}) + 1), lambda i: ({0}[i] BETWEEN 55296 AND 56319 AND coalesce({0}[i + 1], 0) NOT BETWEEN 56320 AND 57343) "
+        "OR ({0}[i] BETWEEN 56320 AND 57343 AND (i = 1 OR {0}[i - 1] NOT BETWEEN 55296 AND 56319)))) = 0"
+    )
+    drawn = (
+        "array_to_string(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN {0}[i] BETWEEN 55296 AND 56319 "
+        "THEN chr((65536 + ({0}[i] - 55296) * 1024 + {0}[i + 1] - 56320)::INT) WHEN {0}[i] BETWEEN 56320 AND 57343 THEN '' ELSE chr({0}[i]::INT) END), '')"
+    )
+    o["text_decode"] = (
+        "WITH f AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '^[\\x{00}-\\x{FF}]*$') THEN doc_id % 8 ELSE 0 END AS form, "
+        "list_transform(string_split(text, ''), lambda c: unicode(c)::INT) AS u FROM documents), "
+        "b AS (SELECT *, CASE form WHEN 1 THEN [254, 255] || flatten(list_transform(u, lambda x: [0, x])) WHEN 2 THEN flatten(list_transform(u, lambda x: [x, 0])) "
+        "WHEN 3 THEN flatten(list_transform(u, lambda x: [0, x])) WHEN 4 THEN u WHEN 6 THEN [255, 254] || flatten(list_transform(u, lambda x: [x, 0])) "
+        "WHEN 7 THEN flatten(list_transform(u, lambda x: [x, 0])) || [33] END AS b FROM f), "
+        f"w AS (SELECT *, {unit(le, 'b')} AS le, {unit(be, 'b')} AS be, len(b) % 2 = 0 AS even, list_max(b) < 128 AS plain FROM b), "
+        "c AS (SELECT *, CASE WHEN form IN (0, 5) OR plain THEN 'utf-8' WHEN form IN (1, 6) THEN 'utf-16' "
+        f"WHEN even AND {paired.format('le')} THEN 'utf-16' WHEN even AND {paired.format('be')} THEN 'utf-16be' ELSE 'iso-8859-1' END AS codec FROM w) "
+        "SELECT doc_id, codec, regexp_replace(CASE WHEN form IN (0, 1, 5, 6) THEN text WHEN codec IN ('utf-8', 'iso-8859-1') THEN array_to_string(list_transform(b, lambda x: chr(x)), '') "
+        f"WHEN codec = 'utf-16' THEN {drawn.format('le')} ELSE {drawn.format('be')} END, '\\r\\n?', chr(10), 'g') AS text FROM c"
+    )
     o["route_by_suffix"] = f"SELECT doc_id, path, CASE WHEN lower(path) LIKE '%.txt' THEN 'text' ELSE 'page' END AS route FROM ({FILES})"
     o["admission_filter"] = (
         "SELECT doc_id, name, size, CASE WHEN name IS NULL THEN 'no_file' WHEN name = '' THEN 'empty_name' "

@@ -45,15 +45,17 @@ def page_scan(spark, sf):
 
 @query("text_decode")
 def text_decode(spark, sf):
+    """Documents in eight forms of bytes: with and without a byte-order mark, in both byte orders, cut, and with other line ends."""
     docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
-    lines = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
-    latin = F.col("text").rlike(r"^[\x00-\xFF]*$")
+    text, form = F.col("text"), F.when(F.col("text").rlike(r"^[\x00-\xFF]*$"), F.col("doc_id") % 8).otherwise(0)
+    mark = lambda code: F.unhex(F.lit(code))
     content = (
-        F.when(F.col("doc_id") % 3 == 0, F.encode(lines, "UTF-16"))
-        .when((F.col("doc_id") % 3 == 1) & latin, F.encode(lines, "ISO-8859-1"))
-        .otherwise(F.encode(lines, "UTF-8"))
+        F.when(form == 1, F.concat(mark("FEFF"), F.encode(text, "UTF-16BE"))).when(form == 2, F.encode(text, "UTF-16LE")).when(form == 3, F.encode(text, "UTF-16BE"))
+        .when(form == 4, F.encode(text, "ISO-8859-1")).when(form == 5, F.encode(F.replace(text, F.lit("\n"), F.lit("\r\n")), "UTF-8"))
+        .when(form == 6, F.concat(mark("FFFE"), F.encode(text, "UTF-16LE"))).when(form == 7, F.concat(F.encode(text, "UTF-16LE"), mark("21")))
+        .otherwise(F.encode(text, "UTF-8"))
     )
-    return docs.select("doc_id", corpus.decode_content(content).alias("text"))
+    return docs.select("doc_id", corpus.decoded(content).alias("d")).select("doc_id", "d.codec", "d.text")
 
 
 def _files(spark, sf):

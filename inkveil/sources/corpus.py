@@ -115,24 +115,90 @@ NOTES_TEXT = "concat(" + ",chr(10),".join([
 
 # ---------------------------------------------------------------- files ----
 
-def decode_content(content: Column) -> Column:
-    """Bytes of a text file as a string with ``\\n`` line ends.
-
-    UTF-8 when valid, UTF-16 behind a byte-order mark, ISO-8859-1 otherwise.
+#: Encodings in the order in which they are tried.
+CODECS = ("utf-8", "utf-16", "utf-16le", "utf-16be", "ascii", "iso-8859-1", "cp1252")
+# Two bytes in hexadecimal that are a character by themselves, and pairs that are one together, by byte order.
+_UNITS = {
+    "LE": r"\G(?:..(?:[0-9A-CEF].|D[0-7])|..D[89AB]..D[C-F])",
+    "BE": r"\G(?:(?:[0-9A-CEF].|D[0-7])..|D[89AB]..D[C-F]..)",
+}
+# Code page 1252 is ISO-8859-1 but for these bytes, of which five have no character.
+_CP1252 = {b: bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+_CP1252_HOLES = "^(?:..)*?(?:" + "|".join(f"{b:02X}" for b, c in _CP1252.items() if not c) + ")"
+
+
+def _valid_utf16(content: Column, order: str) -> Column:
+    """Whole characters only: an even number of bytes, and surrogates in pairs."""
+    rest = F.regexp_replace(F.hex(content), F.lit(_UNITS[order]), F.lit(""))
+    return (F.octet_length(content) % 2 == 0) & (rest == "")
+
+
+def _codec(content: Column, name: str) -> tuple[Column, Column]:
+    """Whether ``content`` is valid in an encoding, and its text."""
+    if name == "utf-8":
+        return F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")
+    if name in ("utf-16le", "utf-16be"):
+        order = name[-2:].upper()
+        return _valid_utf16(content, order), F.decode(content, f"UTF-16{order}")
+    if name == "utf-16":  # little-endian without a byte-order mark
+        mark, body = F.hex(F.substring(content, 1, 2)), F.substring(content, 3, 2**31 - 1)
+        valid = F.when(mark == "FFFE", _valid_utf16(body, "LE")).when(mark == "FEFF", _valid_utf16(body, "BE")).otherwise(_valid_utf16(content, "LE"))
+        text = F.when(mark == "FFFE", F.decode(body, "UTF-16LE")).when(mark == "FEFF", F.decode(body, "UTF-16BE")).otherwise(F.decode(content, "UTF-16LE"))
+        return valid, text
+    if name == "ascii":
+        return ~F.hex(content).rlike("^(?:..)*?[89A-F]"), F.decode(content, "US-ASCII")
+    if name == "iso-8859-1":
+        return F.lit(True), F.decode(content, "ISO-8859-1")
+    if name == "cp1252":
+        other = {chr(b): c for b, c in _CP1252.items() if c}
+        return ~F.hex(content).rlike(_CP1252_HOLES), F.translate(F.decode(content, "ISO-8859-1"), "".join(other), "".join(other.values()))
+    raise ValueError(f"unknown encoding {name}")
+
+
+def decoded(content: Column, codecs: tuple[str, ...] = CODECS) -> Column:
+    """``struct<codec, text>`` by the first of ``codecs`` in which ``content`` is valid; null if it is in none.
+
+    Line ends of the text are ``\\n``.
     """
-    bom = F.hex(F.substring(content, 1, 2))
-    text = (
-        F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8"))
-        .when(bom.isin("FEFF", "FFFE"), F.decode(content, "UTF-16"))
-        .otherwise(F.decode(content, "ISO-8859-1"))
-    )
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    found = None
+    for name in codecs:
+        valid, text = _codec(content, name)
+        one = F.struct(F.lit(name).alias("codec"), F.regexp_replace(text, r"\r\n?", "\n").alias("text"))
+        found = F.when(valid, one) if found is None else found.when(valid, one)
+    return found
+
 
+def decode_content(content: Column, codecs: tuple[str, ...] = CODECS) -> Column:
+    """Bytes of a text file as a string."""
+    return decoded(content, codecs)["text"]
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """Text files below ``path`` as ``(path, length, page, text)``; a file is one page."""
+
+def read_text_files(spark: SparkSession, path: str, codecs: tuple[str, ...] = CODECS) -> DataFrame:
+    """Text files below ``path`` as ``(path, length, page, codec, text)``; a file is one page, of null text if no codec fits."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]").load(path)
-    return files.select("path", "length", F.lit(1).alias("page"), decode_content(F.col("content")).alias("text"))
+    return files.select("path", "length", F.lit(1).alias("page"), decoded(F.col("content"), codecs).alias("d")).select("path", "length", "page", "d.*")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files below ``path`` as ``(path, name, length, route, reject_reason)``; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length")
+    return listed.select("*", route(F.col("path")).alias("route"), reject_reason(F.col("name"), F.col("length")).alias("reject_reason"))
+
+
+def admitted_files(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """``(path, name, length, content)`` of the files of one route (``text`` or ``page``).
+
+    The rules hold on the path and the length that the listing gives: a file that is refused or goes the other way is listed
+    and never opened, whatever its size.  Page files must be admitted; text files have no such rule.
+    """
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if wanted == "text":
+        files = files.option("pathGlobFilter", "*.[tT][xX][tT]").load(path)
+    else:
+        files = files.option("pathGlobFilter", "*.[pP][dD][fF]").load(path).where(F.col("length") <= MAX_UPLOAD_BYTES)
+    return files.select("path", name.alias("name"), "length", "content")
 
 
 def suffix(path: Column) -> Column:

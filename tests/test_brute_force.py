@@ -193,12 +193,53 @@ def test_regex_mask(spark):
 
 
 def test_decode(spark):
-    text = "Zeile eins\né ü"
+    text = "Zeile eins\né ü."  # an odd number of bytes in ISO-8859-1: an even one would pass for UTF-16
     raw = [text.encode("utf-8"), text.encode("utf-16"), text.encode("latin-1"), text.replace("\n", "\r\n").encode(), b"\xfe\xff\x00a"]
     df = spark.createDataFrame([(bytearray(b),) for b in raw], "c binary").select(corpus.decode_content(F.col("c")))
     assert [r[0] for r in df.collect()] == [text, text, text, text, "a"]
 
 
+def python_decode(raw, codecs):
+    for name in codecs:
+        try:
+            return name, raw.decode(name).replace("\r\n", "\n").replace("\r", "\n")
+        except UnicodeDecodeError:
+            pass
+    return None
+
+
+@pytest.mark.parametrize("codecs", [corpus.CODECS, ("utf-8", "utf-16", "utf-16be", "ascii", "cp1252"), ("ascii",), ("utf-16le", "utf-16be")])
+def test_decoding_ladder(spark, codecs):
+    """Random bytes, cut texts, lone and swapped surrogates: the first codec that Python takes, or none."""
+    rng, raw = random.Random(8), [b"", b"\xff", b"\xff\xfe", b"\xfe\xff", b"\x00\xd8", b"\xd8\x00\xdc\x00", b"\x00\xd8\x00\xdc", b"\x00\xdc\x00\xd8"]
+    for _ in range(1500):
+        text = "".join(rng.choice("ab é\n\rß€\U0001f600Ã©ऄ") for _ in range(rng.randint(0, 9)))
+        made = rng.choice([b"", b"\xff\xfe", b"\xfe\xff"]) + text.encode(rng.choice(["utf-8", "utf-16le", "utf-16be", "utf-16"]))
+        raw.append(made[: len(made) - rng.choice([0, 0, 0, 1, 2])] + rng.choice([b"", b"", b"\x81", b"\xd8\xdc"]))
+        raw.append(bytes(rng.choice([0, 10, 65, 0x81, 0xC3, 0xA9, 0xD8, 0xDC, 0xFF, 0xFE]) for _ in range(rng.randint(0, 7))))
+    raw.append("é".encode("utf-16le") * 200_000)
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "i int, c binary").select("i", corpus.decoded(F.col("c"), codecs).alias("d")).collect()
+    for r in rows:
+        assert (r.d and (r.d.codec, r.d.text)) == python_decode(raw[r.i], codecs), raw[r.i][:40]
+
+
+def test_files_that_are_not_wanted_stay_closed(spark, tmp_path):
+    """Routes and sizes are judged on the listing: a pipe that would block a reader is listed and never opened."""
+    (tmp_path / "a.txt").write_bytes(b"text")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.PDF").write_bytes(b"page")
+    with (tmp_path / "big.pdf").open("wb") as f:
+        f.truncate(corpus.MAX_UPLOAD_BYTES + 1)
+    (tmp_path / "c.doc").write_bytes(b"other")
+    listed = {r.name: (r.length, r.route, r.reject_reason) for r in corpus.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {"a.txt": (4, "text", "not_pdf"), "b.PDF": (4, "page", None), "big.pdf": (corpus.MAX_UPLOAD_BYTES + 1, "page", "too_large"), "c.doc": (5, "page", "not_pdf")}
+    assert [(r.name, bytes(r.content)) for r in corpus.admitted_files(spark, str(tmp_path), "text").collect()] == [("a.txt", b"text")]
+    pages = corpus.admitted_files(spark, str(tmp_path), "page")
+    assert [(r.name, bytes(r.content)) for r in pages.collect()] == [("b.PDF", b"page")]
+    assert "LessThanOrEqual(length" in pages._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in corpus.list_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("a\r\nb".encode())
     (tmp_path / "b.TXT").write_bytes("é".encode("latin-1"))
