@@ -163,6 +163,22 @@ def build() -> dict[str, str]:
         f"{head} SELECT f.doc_id, regexp_replace(f.path, '(\\.[^.]+)$', '_redacted\\1') AS out_path, "
         f"'redacted_' || string_split(f.path, '/')[-1] AS upload_name, s.text FROM {last} s JOIN ({FILES}) f ON s.doc_id = f.doc_id"
     )
+    out = "regexp_replace(string_split(path, '/')[-1], '(\\.[^.]+)$', '_redacted\\1')"
+    o["redacted_files"] = corpus(REDACT, S.DOC_PAGES) + (
+        f", masked AS MATERIALIZED ({S.masked('█')}) SELECT {out} AS name, CAST(strlen(t) AS BIGINT) AS length, t AS text FROM ("
+        f"SELECT doc_id, string_agg(text, chr(10) ORDER BY page) AS t FROM masked GROUP BY doc_id) JOIN (SELECT doc_id, path FROM ({FILES})) USING (doc_id)"
+    )
+    label = "coalesce(" + ", ".join(f"CASE category WHEN {q(k)} THEN {q(v)} END" for k, v in S.CATEGORY_LABEL.items()) + ")"
+    o["report_files"] = corpus(REDACT, S.DOC_PAGES) + (
+        f", items AS ({S.ITEMS}), lists AS (SELECT doc_id, category, {label} AS label, string_agg(value, '|' ORDER BY cat_no, ordinal, page, match_no) AS items "
+        "FROM items GROUP BY doc_id, category), totals AS (SELECT doc_id, count(*) AS total FROM items GROUP BY doc_id) "
+        "SELECT regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') || '_redaction_report.json' AS name, string_split(path, '/')[-1] AS input_file, "
+        f"{out} AS output_file, coalesce(total, 0) AS total_items_redacted, label AS category, items "
+        f"FROM ({FILES}) f LEFT JOIN lists USING (doc_id) LEFT JOIN totals USING (doc_id)"
+    )
+    o["output_files_check"] = (
+        "SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'missing' ELSE 'empty' END AS problem FROM documents WHERE doc_id % 10 IN (3, 4)"
+    )
     o["redaction_report"] = corpus(REDACT) + (
         f", items AS ({S.ITEMS}), totals AS (SELECT doc_id, count(*) AS total FROM items GROUP BY doc_id) "
         "SELECT i.doc_id, CAST(0 AS INTEGER) AS part, category, count(*) AS n_items, any_value(total) AS total_items_redacted, "

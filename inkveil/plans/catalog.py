@@ -14,7 +14,7 @@ from inkveil.functions.patterns import (
 from inkveil.operators import collate, detect, international, language, lookup, mask, report, verify
 from inkveil.plans.options import RedactOptions, accepted_language
 from inkveil.plans.pipelines import redact_documents, redact_pages, run_page_job
-from inkveil.sources import corpus
+from inkveil.sources import corpus, document_files
 from inkveil.sources.session import shared_dir
 from inkveil.streaming import redact_stream
 
@@ -25,6 +25,9 @@ WORD_REGEX = r"\b[a-z]+tion\b"
 QUERIES: dict[str, Query] = {}
 
 
+ALL = RedactOptions(all_categories=True)
+
+
 def query(name: str):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -92,6 +95,37 @@ def redacted_sink(spark, sf):
     return stored.join(named, "doc_id").select("doc_id", "out_path", "upload_name", "text")
 
 
+@query("redacted_files")
+def redacted_files(spark, sf):
+    """Masked documents written as one file each, and read back."""
+    path = shared_dir(spark, "redacted-files")
+    pages = corpus.document_pages(spark, sf)
+    document_files.write_masked_files(redact_pages(pages, ALL), _files(spark, sf).select("doc_id", "path"), path)
+    return document_files.read_files(spark, path)
+
+
+@query("report_files")
+def report_files(spark, sf):
+    """One JSON report a document, read back; a document without findings has a report without categories."""
+    path = shared_dir(spark, "report-files")
+    found = detect.findings(corpus.document_pages(spark, sf), "redact")
+    document_files.write_report_files(found, _files(spark, sf).select("doc_id", "path"), path)
+    schema = "input_file string, output_file string, total_items_redacted bigint, redacted_items map<string,array<string>>"
+    rows = document_files.read_files(spark, path).select("name", F.from_json("text", schema).alias("r")).select("name", "r.*")
+    rows = rows.select("*", F.explode_outer("redacted_items").alias("category", "found"))
+    return rows.select("name", "input_file", "output_file", "total_items_redacted", "category", F.array_join("found", "|").alias("items"))
+
+
+@query("output_files_check")
+def output_files_check(spark, sf):
+    """Problems of files that were written for nine of ten documents, some of them empty."""
+    path, names = shared_dir(spark, "checked-files"), _files(spark, sf).select("doc_id", "path")
+    text = F.when(F.col("doc_id") % 10 == 4, "").otherwise(F.col("text"))
+    pages = corpus.whole_documents(spark, sf).where("doc_id % 10 <> 3").select("doc_id", F.lit(1).alias("page"), text.alias("text"))
+    document_files.write_masked_files(pages, names, path)
+    return document_files.check_files(names, path)
+
+
 def _listed(name: str):
     return F.array_join(name, "|").alias("items")
 
@@ -368,9 +402,6 @@ def mask_chars(spark, sf):
 
 
 # --------------------------------------------------------- masking ---------
-ALL = RedactOptions(all_categories=True)
-
-
 @query("redact_block")
 def redact_block(spark, sf):
     pages = corpus.corpus_pages(spark, sf)
