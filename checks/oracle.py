@@ -435,7 +435,8 @@ def build() -> dict[str, str]:
         f"SELECT doc_id, 'found' AS kind, CAST(2 AS INTEGER) AS ordinal, unnest(regexp_extract_all(text, {q('(?i)' + labelled)})) AS value FROM t UNION ALL "
         f"SELECT doc_id, 'left', CAST(2 AS INTEGER), unnest(regexp_extract_all(text, {q(labelled)})) FROM t"
     )
-    o["stream_counts"] = o["count_per_category"]
+    o["stream_counts"] = o["stream_counts_compacted"] = o["count_per_category"]
+    o["stream_pages"] = o["redact_block"]
     o["page_job"] = (
         f"SELECT d.doc_id, coalesce(n_findings, 0) AS n_findings, coalesce(n_items, 0) AS n_items, coalesce(n_hidden, 0) AS n_hidden, "
         f"coalesce(a, 0) + coalesce(b, 0) AS n_issues, coalesce(a, 0) + coalesce(b, 0) = 0 AS success FROM ({S.CORPUS_DOCS}) d "

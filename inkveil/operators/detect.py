@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,7 @@ def find(
     keep: tuple = (),
     validate: bool = True,
     conditions: list[Column] | None = None,
+    unless: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Findings of ``patterns`` in ``pages(doc_id, page, text)``.
 
@@ -95,7 +97,8 @@ def find(
     dropped before the array is expanded, so only real matches become rows and
     the text itself leaves the plan.  (Expanding first makes Spark compile all
     patterns into one method too large for the JIT: three times slower.)
-    ``context`` adds the text around each match.
+    ``context`` adds the text around each match that passes its check, and ``unless`` drops those whose context it holds for;
+    both inside the row, so the context is cut for few and dropped matches never become rows.
     """
     keys = [*KEYS, *keep]
     flagged, arrays = _guarded(pages, patterns, conditions)
@@ -104,22 +107,20 @@ def find(
     pat = F.col("pat")
     if spans or context is not None:
         regex = F.when(F.col("_plain"), _lookup([p.plain for p in patterns], pat)).otherwise(_lookup([p.java for p in patterns], pat))
-        located = match_spans(F.col("text"), regex, F.col("ms"))
+        located = F.transform(match_spans(F.col("text"), regex, F.col("ms")), lambda s, i: F.struct(
+            i.alias("match_no"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end")))
+        passes = _passes(patterns) if validate else None
+        if passes is not None:
+            located = F.filter(located, lambda s: passes(s["value"]))
         if context is not None:
-            located = F.transform(
-                located,
-                lambda s: F.struct(
-                    s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"),
-                    context_window(F.col("text"), s["start"], s["end"], context).alias("context"),
-                ),
-            )
-        rows = hits.select(*keys, "pat", F.posexplode(located).alias("match_no", "m")).select(
-            *keys, "pat", "match_no", "m.*"
-        )
+            located = F.transform(located, lambda s: s.withField("context", context_window(F.col("text"), s["start"], s["end"], context)))
+        if unless is not None:
+            located = F.filter(located, lambda s: ~unless(s["context"]))
+        rows = hits.select(*keys, "pat", F.inline(located))
     else:
         rows = hits.select(*keys, "pat", F.posexplode("ms").alias("match_no", "value"))
-    if validate:
-        rows = _validated(rows, patterns)
+        passes = _passes(patterns) if validate else None
+        rows = rows if passes is None else rows.filter(passes(F.col("value")))
     extra = [c for c in ("start", "end", "context") if c in rows.columns]
     return rows.select(
         *keys,
@@ -132,15 +133,20 @@ def find(
     )
 
 
-def _validated(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    names = {p.validator for p in patterns if p.validator}
+def _passes(patterns: list[Pattern]):
+    """The validator of the pattern ``pat`` as a test of a value; ``None`` if no pattern has one."""
+    names = sorted({p.validator for p in patterns if p.validator})
     if not names:
-        return rows
-    passes = F.when(F.lit(False), F.lit(True))
-    for name in sorted(names):
-        ids = [i for i, p in enumerate(patterns) if p.validator == name]
-        passes = passes.when(F.col("pat").isin(ids), VALIDATORS[name](F.col("value")))
-    return rows.filter(passes.otherwise(F.lit(True)))
+        return None
+
+    def test(value: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(True))
+        for name in names:
+            ids = [i for i, p in enumerate(patterns) if p.validator == name]
+            out = out.when(F.col("pat").isin(ids), VALIDATORS[name](value))
+        return out.otherwise(F.lit(True))
+
+    return test
 
 
 def findings(
@@ -159,8 +165,8 @@ def findings(
     page.
     """
     if profile == "strict":
-        found = find(pages, profile_patterns("strict", categories), spans=True, context=50, keep=keep)
-        found = found.filter(~is_heading(F.col("context"), "en", preserve_headings)).drop("context")
+        found = find(pages, profile_patterns("strict", categories), spans=True, context=50, keep=keep,
+                     unless=lambda context: is_heading(context, "en", preserve_headings)).drop("context")
         return found if spans else found.drop("start", "end")
     if profile == "lang":
         return _lang_findings(pages, categories, spans, keep)

@@ -47,7 +47,7 @@ def targets(findings: DataFrame, preserve_headings: bool = True) -> DataFrame:
     )
 
 
-def _apply(text: Column, hits: Column, lang: Column, char: str) -> Column:
+def hide_visible(text: Column, hits: Column, lang: Column, char: str) -> Column:
     """Hide, one after the other, the hits that stand on the original ``text``."""
     visible = F.filter(hits, lambda t: ~F.array_contains(t["kept_in"], lang) & text.contains(t["hide"]))
     hides = F.array_distinct(F.transform(visible, lambda t: t["hide"]))
@@ -71,7 +71,7 @@ def mask_pages(
     Pages need ``lang``; without that column English rules apply.
     """
     out = _with_hits(pages, wanted, list_limit)
-    masked = _apply(F.col("text"), F.col("hits"), F.col("_rule"), BLUR_CHAR if blur else BLOCK_CHAR)
+    masked = hide_visible(F.col("text"), F.col("hits"), F.col("_rule"), BLUR_CHAR if blur else BLOCK_CHAR)
     return out.select("doc_id", "page", masked.alias("text"), "lang")
 
 

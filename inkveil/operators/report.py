@@ -23,7 +23,8 @@ def _listed(items: DataFrame, part_pages: int | None) -> DataFrame:
     """
     part = F.floor((F.col("page") - 1) / part_pages).cast("int") if part_pages else F.lit(0)
     items = materialise(items.withColumn("part", part), "report-items")
-    lists = items.groupBy("doc_id", "part", "category").agg(
+    # Dealt by document part, the lists stay where they are for the join.
+    lists = items.repartition("doc_id", "part").groupBy("doc_id", "part", "category").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*ORDER, "value"))).alias("rows")
     )
     per_document = (

@@ -16,7 +16,7 @@ from inkveil.plans.options import RedactOptions, accepted_language
 from inkveil.plans.pipelines import redact_documents, redact_pages, run_page_job
 from inkveil.sources import corpus, document_files
 from inkveil.sources.session import shared_dir
-from inkveil.streaming import redact_stream
+from inkveil.streaming import generations, page_stream, redact_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 MASK = "the"
@@ -711,3 +711,26 @@ def stream_counts(spark, sf):
     run = redact_stream.start_counts(source, RedactOptions(all_categories=True), out, shared_dir(spark, "stream-state"))
     run.awaitTermination()
     return redact_stream.read_counts(spark, out)
+
+
+@query("stream_counts_compacted")
+def stream_counts_compacted(spark, sf):
+    """As ``stream_counts``, read from a generation of the closed batches and the newest batch."""
+    parts, out = shared_dir(spark, "stream-pages"), shared_dir(spark, "stream-counts")
+    pages = corpus.corpus_pages(spark, sf).select("doc_id", "page", "text")
+    pages.repartition(4, F.col("page") % 4).write.parquet(parts)
+    source = spark.readStream.schema("doc_id bigint, page int, text string").option("maxFilesPerTrigger", 1).parquet(parts)
+    redact_stream.start_counts(source, RedactOptions(all_categories=True), out, shared_dir(spark, "stream-state")).awaitTermination()
+    generations.compact(spark, out)
+    return redact_stream.read_counts(spark, out)
+
+
+@query("stream_pages")
+def stream_pages(spark, sf):
+    """The page job on a stream whose micro-batches split the documents between their pages."""
+    parts, out = shared_dir(spark, "stream-pages"), shared_dir(spark, "stream-masked")
+    pages = corpus.corpus_pages(spark, sf).select("doc_id", "page", "text", "lang")
+    pages.repartition(4, F.col("page") % 4).write.parquet(parts)
+    source = spark.readStream.schema("doc_id bigint, page int, text string, lang string").option("maxFilesPerTrigger", 2).parquet(parts)
+    page_stream.start_pages(source, ALL, out, shared_dir(spark, "stream-state")).awaitTermination()
+    return page_stream.read_pages(spark, out)

@@ -61,6 +61,11 @@ def start_counts(pages: DataFrame, options: RedactOptions, out: str, checkpoint:
 
 
 def read_counts(spark: SparkSession, out: str) -> DataFrame:
-    """``(doc_id, category, n_items)`` of all batches so far, as the batch job counts them."""
-    stored = spark.read.schema("doc_id bigint, category string, value string, n bigint, batch bigint").parquet(out)
-    return merged_counts(stored)
+    """``(doc_id, category, n_items)`` of all batches so far, as the batch job counts them.
+
+    Documents that stand in one generation only are read from its counts; values are summed again for documents that stand in
+    several, or in batches that are not compacted yet.
+    """
+    from inkveil.streaming import generations
+
+    return generations.read(spark, out)
