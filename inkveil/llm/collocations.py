@@ -5,11 +5,12 @@ candidates.  A phrase is frequent only if the phrases without its first and with
 
 1. a sample of documents (a hash share of them) is mined level by level with a lowered threshold: it proposes phrases;
 2. one pass over all documents counts the proposed phrases and their negative border (phrases that are not proposed while
-   both phrases one word shorter are).  Words are counted as they are, longer phrases by 64-bit hashes, which is a fraction of
-   the data; a hash that reaches ``least`` may stand for a frequent phrase, one that does not cannot;
-3. frequent phrases that were not proposed are border failures: their extensions have not been counted.  A further pass
-   counts the phrases of the hashes that reached ``least`` exactly, as they are, and with them what the border pass left out.
-   A phrase first counted there is extended in the same pass, whatever its count will be, so the result is closed after it.
+   both phrases one word shorter are).  Words and proposed phrases are counted as they are, the border, which is by far larger
+   and nearly all rare, by 64-bit hashes: one that does not reach ``least`` stands for no frequent phrase;
+3. what reaches it without having been proposed are border failures: their extensions have not been counted.  A further pass
+   counts the phrases of these hashes exactly, as they are, and with them what the pass before left out.  A phrase first
+   counted there is extended in the same pass, whatever its count will be, so the result is closed after it.  Without failures
+   there is no such pass.
 
 Tasks know the proposed phrases and the hashes that reached ``least`` as filters of fixed size (:mod:`.bitmaps`).  What a
 filter lets through by chance is counted too and does no harm; the counts that are returned are sums of exact strings.  A batch
@@ -86,55 +87,76 @@ def _both(whole: np.ndarray, passes: np.ndarray | None) -> np.ndarray:
     return whole if passes is None else whole & passes[:-1] & passes[1:]
 
 
-def border_chunk(lang: str, texts: list[bytes], longest: int, before: np.ndarray | None, now: np.ndarray, with_words: bool) -> Iterator[tuple]:
-    """(phrases or None, hashes, counts) of the phrases whose two shorter ones are in ``now``, but for those that ``before``
-    counted; ``with_words``: words come as they are, and their number as the phrase without a word."""
+def _told(codes: np.ndarray, words: list[bytes], label: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of k words at the places ``at``: a code for each place, a place of each phrase, its count, and the new labels.
+
+    ``label`` has codes of the phrases one word shorter; with the last word they give exact codes.
+    """
+    known, first, inverse, n = np.unique(label[:-1][at] * len(words) + codes[k - 1 :][at], return_index=True, return_inverse=True, return_counts=True)
+    out = np.zeros(len(codes) - k + 1, dtype=np.int64)
+    out[at] = inverse
+    return inverse, at[first], n, out
+
+
+def _phrases(codes: np.ndarray, words: list[bytes], places: np.ndarray, k: int) -> list[str]:
+    return [b" ".join([words[c] for c in row]).decode() for row in np.column_stack([codes[places + i] for i in range(k)]).tolist()] if len(places) else []
+
+
+def border_chunk(lang: str, texts: list[bytes], longest: int, before: np.ndarray | None, now: np.ndarray, whole_pass: bool) -> Iterator[tuple]:
+    """(phrases or None, hashes, counts) of the phrases whose two shorter ones are in ``now``, but for those that ``before`` counted.
+
+    ``whole_pass``: words, and longer phrases that are in ``now`` themselves, come as they are, with the number of words as the
+    phrase without a word; all others as hashes.
+    """
     codes, words = _codes(texts)
-    if with_words:
+    if whole_pass:
         yield [""], np.zeros(1, dtype=np.uint64), np.array([int((codes > 0).sum())])
     passes = passes_before = None
+    label = codes
     for k, whole, marks in _grown(lang, codes, words, longest):
         counted = _both(whole, passes)
         fresh = counted
         if before is not None:
             counted_before = _both(whole, passes_before)
             fresh = counted & ~counted_before
-        if k == 1 and with_words:
+        if not counted.any():
+            return
+        passes = _inside(counted, now, marks)
+        if not whole_pass:
+            yield None, *np.unique(marks[fresh], return_counts=True)
+        elif k == 1:
             n = np.bincount(codes, minlength=len(words))[1:]
             yield [w.decode() for w in words[1:]], _first(lang, bitmaps.hashes(words[1:])), n
         else:
-            yield None, *np.unique(marks[fresh], return_counts=True)
-        if k == longest or not counted.any():
-            return
-        passes = _inside(counted, now, marks)
+            yield None, *np.unique(marks[counted & ~passes], return_counts=True)
+            _, places, n, label = _told(codes, words, label, np.flatnonzero(passes), k)
+            yield _phrases(codes, words, places, k), marks[places], n
         if before is not None:
             passes_before = _inside(counted_before, before, marks)
 
 
-def phrase_chunk(lang: str, texts: list[bytes], longest: int, before: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
-    """(k, phrases, counts) of all phrases of two words and more that may be frequent.
+def failure_chunk(lang: str, texts: list[bytes], longest: int, before: np.ndarray, known: np.ndarray) -> Iterator[tuple]:
+    """(k, phrases, counts) of all phrases that may be frequent and that the whole pass did not count as they are.
 
-    ``before`` are the proposed phrases, so that it is known which phrases the border pass counted; of these the ones in ``hot``
-    are counted again, as they are.  A phrase that it did not count is counted here and extended, whatever its count will be.
+    ``before`` are the proposed phrases, so that it is known what that pass counted; ``known`` holds the frequent ones of these
+    and the hashes that reached the threshold.  A phrase that it did not count is counted here and extended, whatever its count
+    will be.
     """
     codes, words = _codes(texts)
-    size, label, names = len(words), codes, words
+    label = codes
     passes = passes_before = None
     for k, whole, marks in _grown(lang, codes, words, longest):
         counted, counted_before = _both(whole, passes), _both(whole, passes_before)
-        passes = _inside(counted, hot, marks)
+        passes, proposed = _inside(counted, known, marks), _inside(counted_before, before, marks)
         if k > 1:
             passes |= counted & ~counted_before
             at = np.flatnonzero(passes)
-            # Exact codes: that of the phrase one word shorter, and the last word.
-            known, inverse, n = np.unique(label[:-1][at] * size + codes[k - 1 :][at], return_inverse=True, return_counts=True)
-            names = [names[i // size] + b" " + words[i % size] for i in known.tolist()]
-            label = np.zeros(len(marks), dtype=np.int64)
-            label[at] = inverse
             if not len(at):
                 return
-            yield k, [p.decode() for p in names], n
-        passes_before = _inside(counted_before, before, marks)
+            inverse, places, n, label = _told(codes, words, label, at, k)
+            told = ~proposed[places]
+            yield k, _phrases(codes, words, places[told], k), n[told]
+        passes_before = proposed
 
 
 def _by_language(held, chunk, frame):
@@ -162,26 +184,26 @@ def _by_language(held, chunk, frame):
     return run
 
 
-def border_pass(docs: DataFrame, longest: int, before: np.ndarray | None, now: np.ndarray, with_words: bool) -> DataFrame:
-    """One pass over ``docs(lang, text)``: (lang, phrase, mark, n); only words have a language and a phrase."""
+def border_pass(docs: DataFrame, longest: int, before: np.ndarray | None, now: np.ndarray, whole_pass: bool) -> DataFrame:
+    """One pass over ``docs(lang, text)``: (lang, phrase, mark, n), language and phrase of what is counted as it is."""
     def frame(lang, found, part):
         phrases, marks, n = found
         marks = marks[part].view(np.int64)
         return pd.DataFrame({"lang": None if phrases is None else lang, "phrase": [None] * len(marks) if phrases is None else phrases[part], "mark": marks, "n": n[part]})
 
-    held = docs.sparkSession.sparkContext.broadcast((longest, before, now, with_words))
+    held = docs.sparkSession.sparkContext.broadcast((longest, before, now, whole_pass))
     rows = docs.select("lang", "text").mapInPandas(_by_language(held, border_chunk, frame), "lang string, phrase string, mark long, n long")
     return rows.groupBy("lang", "phrase", "mark").agg(F.sum("n").alias("n"))
 
 
-def phrase_pass(docs: DataFrame, longest: int, before: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """One pass over ``docs(lang, text)``: exact counts (lang, k, phrase, n) of all that may be frequent."""
+def failure_pass(docs: DataFrame, longest: int, before: np.ndarray, known: np.ndarray) -> DataFrame:
+    """One pass over ``docs(lang, text)``: exact counts (lang, k, phrase, n) of what :func:`failure_chunk` counts."""
     def frame(lang, found, part):
         k, phrases, n = found
         return pd.DataFrame({"lang": lang, "k": k, "phrase": phrases[part], "n": n[part]})
 
-    held = docs.sparkSession.sparkContext.broadcast((longest, before, hot))
-    rows = docs.select("lang", "text").mapInPandas(_by_language(held, phrase_chunk, frame), COUNTS)
+    held = docs.sparkSession.sparkContext.broadcast((longest, before, known))
+    rows = docs.select("lang", "text").mapInPandas(_by_language(held, failure_chunk, frame), COUNTS)
     return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
@@ -210,11 +232,15 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, share:
     texts = docs.select("doc_id", F.coalesce("lang", F.lit(UND)).alias("lang"), "text").where("text is not null")
     picked = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(share)) == 0
     proposed = propose(materialise(texts.where(picked), "sample"), sample_least, longest, power)
-    hot = border_pass(texts, longest, None, proposed, True)
-    hot = materialise(hot.where((F.col("n") >= least) | (F.col("phrase") == "")), "border")
-    words = hot.where("phrase is not null").select("lang", F.when(F.col("phrase") == "", 0).otherwise(1).alias("k"), "phrase", "n")
-    more = phrase_pass(texts, longest, proposed, _bits(hot.where("phrase is null or phrase <> ''"), power))
-    return words.unionByName(materialise(more.where(F.col("n") >= least), "counts"))
+    often = border_pass(texts, longest, None, proposed, True)
+    often = materialise(often.where((F.col("n") >= least) | (F.col("phrase") == "")), "border")
+    k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    told = often.where("phrase is not null").select("lang", k.alias("k"), "phrase", "n")
+    known = _bits(often.where("phrase is null or phrase <> ''"), power)
+    if not (known & ~proposed).any():
+        return told  # no border failures
+    more = failure_pass(texts, longest, proposed, known)
+    return told.unionByName(materialise(more.where(F.col("n") >= least), "counts"))
 
 
 def _looked_up(rows: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
