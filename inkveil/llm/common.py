@@ -56,6 +56,21 @@ def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: st
     return rows.withColumn("_salt", salt).join(many, [key, "_salt"], "left").drop("_salt")
 
 
+def spread_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, sizes: DataFrame, hot: int = 20_000) -> DataFrame:
+    """``rows`` left join ``lookup`` (unique ``key``), given ``sizes(key, n)``, the rows of each key.
+
+    A key with more than one ``hot``-th of all rows is dealt to several tasks, by the hash of ``spread_by``; there are at most
+    ``hot`` of these, and they (not their lookup rows) are broadcast.  Nothing is repeated for other keys.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    each = max(1000, total // hot)
+    ways = F.broadcast(sizes.where(F.col("n") > each).select(key, F.ceil(F.col("n") / each).cast("int").alias("_ways")))
+    ways_of = lambda some: some.join(ways, key, "left").withColumn("_ways", F.coalesce("_ways", F.lit(1)))
+    dealt = ways_of(rows).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_ways")).cast("int")).drop("_ways")
+    many = ways_of(lookup).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))).drop("_ways")
+    return dealt.join(many, [key, "_salt"], "left").drop("_salt")
+
+
 def numbered(stream: list[bytes], mark: bytes) -> tuple[np.ndarray, list[bytes]]:
     """Codes of a batch's words in the order of their first appearance, ``mark`` being 0, and the word of each code."""
     book: dict[bytes, int] = defaultdict()

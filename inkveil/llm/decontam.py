@@ -4,7 +4,8 @@ Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters.  A
 benchmark item (a shorter item is one window).  A window is a set of three-word shingles, and to contain it whole a
 document must contain every one, so the necessary prefix is one shingle: the rarest in the corpus, by counts over all
 documents.  Documents meet windows on that shingle only; the window must then fit between the ends of the document
-(length and positional bounds), and is compared word by word.
+(length and positional bounds), and is compared word by word.  A window that many items share is met and compared once; its
+items are listed only for the documents that hold it.
 
 The benchmark is held in blocks of bounded size.  One block is the usual case and costs no shuffle of any text; more
 blocks are joined one after another, and the hits of the documents are merged.
@@ -43,10 +44,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Block:
-    """Windows of some benchmark items, as word numbers (from 1; 0 is any other word)."""
+    """Windows of some benchmark items, as word numbers (from 1; 0 is any other word).
+
+    A window that many items share stands once, with the number of the list of its items; equal lists are one.
+    """
 
     vocabulary: dict[bytes, int]
-    windows: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (windows x length, item numbers)
+    windows: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> (windows x length, list numbers)
+    lists: list[np.ndarray]  # item numbers
     items: list[str]
 
     @property
@@ -55,23 +60,32 @@ class Block:
 
 
 def build_block(items: list[tuple], window: int = WINDOW) -> Block:
-    vocabulary: dict[bytes, int] = {}
-    found: dict[int, set] = {}
-    names = []
-    for number, (item_id, text) in enumerate(items):
-        names.append("null" if item_id is None else str(item_id))
-        words = words_of(text)
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-        size = min(window, len(ids))
-        for i in range(len(ids) - size + 1) if size else ():
-            found.setdefault(size, set()).add((tuple(ids[i : i + size]), number))
+    names = ["null" if item_id is None else str(item_id) for item_id, _ in items]
+    texts = [words_of(text) for _, text in items]
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in texts for w in words), 1)}
     if (len(vocabulary) + 1) ** SHINGLE >= 2**63:
         raise ValueError("a block holds too many words; lower BLOCK_CHARS")
-    windows = {}
-    for size, rows in found.items():
-        rows = sorted(rows)
-        windows[size] = (np.array([r[0] for r in rows], np.int64).reshape(-1, size), np.array([r[1] for r in rows], np.int64))
-    return Block(vocabulary, windows, names)
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for number, words in enumerate(texts):
+        if words:
+            ids = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
+            by_size.setdefault(min(window, len(words)), []).append((number, ids))
+    windows, lists, known = {}, [], {}
+    for size, some in sorted(by_size.items()):
+        views = [np.lib.stride_tricks.sliding_window_view(ids, size) for _, ids in some]
+        owner = np.repeat([number for number, _ in some], [len(v) for v in views])
+        rows, place = np.unique(np.concatenate(views), axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack((place.reshape(-1), owner)), axis=0)
+        cuts = np.flatnonzero(np.diff(pairs[:, 0])) + 1
+        numbers = []
+        for part in np.split(pairs[:, 1], cuts):
+            key = part.tobytes()
+            if key not in known:
+                known[key] = len(lists)
+                lists.append(part)
+            numbers.append(known[key])
+        windows[size] = (rows, np.array(numbers, np.int64))
+    return Block(vocabulary, windows, lists, names)
 
 
 def codes(ids: np.ndarray, base: int, size: int) -> np.ndarray:
@@ -92,10 +106,19 @@ def shingles_of(block: Block) -> dict[int, np.ndarray]:
     out: dict[int, list] = {}
     for size, (rows, _) in block.windows.items():
         k = min(SHINGLE, size)
-        out.setdefault(k, []).extend(codes(row, block.base, k) for row in rows)
+        out.setdefault(k, []).append(np.unique(row_codes(rows, block.base, k)))
     return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
 
 
+def row_codes(rows: np.ndarray, base: int, size: int) -> np.ndarray:
+    """Shingle numbers of windows (windows x length), all of whose words are the benchmark's."""
+    n = rows.shape[1] - size + 1
+    code = np.zeros((len(rows), n), np.int64)
+    for k in range(size):
+        code = code * base + rows[:, k : k + n]
+    return code
+
+
 def read_batch(texts: pd.Series, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of a batch, a zero after each text, and where each text begins and ends."""
     get, parts, sizes, gap = vocabulary.get, [], [], np.zeros(1, np.int64)
@@ -107,8 +130,8 @@ def read_batch(texts: pd.Series, vocabulary: dict[bytes, int]) -> tuple[np.ndarr
     return np.concatenate(parts) if parts else gap, ends - sizes, ends
 
 
-def corpus_counts(docs: DataFrame, block, listed: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """How often each benchmark shingle stands in all documents; one small table per task is summed."""
+def corpus_counts(docs: DataFrame, block, listed: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How often each benchmark shingle (of ``listed``) stands in all documents; one small table per task is summed."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = block.value
@@ -126,32 +149,35 @@ def corpus_counts(docs: DataFrame, block, listed: dict[int, np.ndarray]) -> dict
             yield pd.DataFrame({"k": np.int32(k), "code": known[seen], "n": totals[k][seen]})
 
     rows = docs.select("text").mapInPandas(count, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
-    return {(r.k, r.code): r.n for r in rows.toLocalIterator()}  # as many rows as the block has shingles at most
+    out = {k: np.zeros(len(v), np.int64) for k, v in listed.items()}
+    for r in rows.toLocalIterator():  # as many rows as the block has shingles at most
+        out[r.k][np.searchsorted(listed[r.k], r.code)] = r.n
+    return out
 
 
-def prefix_index(block: Block, counts: dict) -> dict[int, tuple]:
-    """Per window length: shingle size, sorted prefix shingles, and for each its windows and offsets."""
+def prefix_index(block: Block, listed: dict[int, np.ndarray], counts: dict[int, np.ndarray]) -> dict[int, tuple]:
+    """Per window length: shingle size, sorted prefix shingles, and for each its windows and offsets.
+
+    The prefix of a window is its rarest shingle, of equally rare ones the one of the smallest number.
+    """
     index = {}
-    for size, (rows, items) in block.windows.items():
+    for size, (rows, lists) in block.windows.items():
         k = min(SHINGLE, size)
-        chosen, offsets = [], []
-        for row in rows:
-            code = codes(row, block.base, k)
-            at = min(range(len(code)), key=lambda i: (counts.get((k, int(code[i])), 0), int(code[i])))
-            chosen.append(int(code[at]))
-            offsets.append(at)
-        chosen, offsets = np.array(chosen, np.int64), np.array(offsets, np.int64)
+        code = row_codes(rows, block.base, k)
+        n = counts[k][np.searchsorted(listed[k], code)]
+        offsets = np.where(n == n.min(axis=1, keepdims=True), code, np.iinfo(np.int64).max).argmin(axis=1)
+        chosen = code[np.arange(len(code)), offsets]
         order = np.argsort(chosen, kind="stable")
         keys, first, number = np.unique(chosen[order], return_index=True, return_counts=True)
-        index[size] = (k, keys, first, number, rows[order], items[order], offsets[order])
+        index[size] = (k, keys, first, number, rows[order], lists[order], offsets[order])
     return index
 
 
 def find_hits(ids, begins, ends, base, index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, length and item of every window that stands in a text of the batch."""
+    """Begin, length and list of items of every window that stands in a text of the batch."""
     found = [(np.empty(0, np.int64),) * 3]
     by_size: dict[int, np.ndarray] = {}
-    for size, (k, keys, first, number, rows, items, offsets) in index.items():
+    for size, (k, keys, first, number, rows, lists, offsets) in index.items():
         code = by_size.setdefault(k, codes(ids, base, k)) if k not in by_size else by_size[k]
         where = np.flatnonzero(code >= 0)
         key = np.searchsorted(keys, code[where])
@@ -170,7 +196,7 @@ def find_hits(ids, begins, ends, base, index) -> tuple[np.ndarray, np.ndarray, n
         for j in range(0, len(begin), 100_000):
             b, w = begin[j : j + 100_000], window[j : j + 100_000]
             same = (ids[b[:, None] + np.arange(size)] == rows[w]).all(1)
-            found.append((b[same], np.full(int(same.sum()), size), items[w[same]]))
+            found.append((b[same], np.full(int(same.sum()), size), lists[w[same]]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -185,7 +211,7 @@ def _searcher(block, index):
         held, prefixes = block.value, index.value
         for texts in parts:
             ids, begins, ends = read_batch(texts, held.vocabulary)
-            begin, size, item = find_hits(ids, begins, ends, held.base, prefixes)
+            begin, size, number = find_hits(ids, begins, ends, held.base, prefixes)
             depth = np.zeros(len(ids) + 1, np.int64)
             np.add.at(depth, begin, 1)
             np.add.at(depth, begin + size, -1)
@@ -193,13 +219,14 @@ def _searcher(block, index):
             edge = np.diff(np.concatenate(([0], hit, [0])))
             runs = np.column_stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
             run_doc = np.searchsorted(begins, runs[:, 0], side="right") - 1
-            pairs = np.unique(np.column_stack((np.searchsorted(begins, begin, side="right") - 1, item)), axis=0)
+            pairs = np.unique(np.column_stack((np.searchsorted(begins, begin, side="right") - 1, number)), axis=0)
             spans = [[] for _ in begins]
             names = [[] for _ in begins]
             for d, (b, e) in zip(run_doc.tolist(), runs.tolist()):
                 spans[d].append({"begin": b - int(begins[d]), "end": e - int(begins[d])})
-            for d, i in pairs.tolist():
-                names[d].append(held.items[i])
+            for part in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else ():
+                lists = [held.lists[n] for n in part[:, 1].tolist()]
+                names[int(part[0, 0])] = [held.items[i] for i in np.unique(np.concatenate(lists)).tolist()]
             yield pd.DataFrame({"n_words": ends - begins, "hits": spans, "items": names})
 
     return search
@@ -217,7 +244,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in slices(listed, lambda r: len(r[1] or ""), BLOCK_CHARS):
         block = build_block(items)
         shared = spark.sparkContext.broadcast(block)
-        index = spark.sparkContext.broadcast(prefix_index(block, corpus_counts(docs, shared, shingles_of(block))))
+        shingles = shingles_of(block)
+        index = spark.sparkContext.broadcast(prefix_index(block, shingles, corpus_counts(docs, shared, shingles)))
         found = _searcher(shared, index)("text")
         if out is None:
             out = base.withColumn("_found", found)

@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import LOWER, UPPER, salted_left_join, python_tasks
+from inkveil.llm.common import LOWER, UPPER, python_tasks, salted_left_join, wrapped
 from inkveil.llm.components import components
+from inkveil.llm.secrets import blob_of
 from inkveil.sources.session import materialise
 
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -262,3 +263,29 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     )
     rows = salted_left_join(prints, grouped, "fp", "doc_id")
     return rows.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def drop_near(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one document of each group of fingerprints linked within ``radius`` bits: that of the smallest doc_id.
+
+    A document is a doc_id with a text: rows that repeat both are one, texts under one doc_id are judged apart.  Documents with
+    a null doc_id are kept as they are; all columns pass.
+    """
+    known = fingerprints(docs.where("doc_id is not null").select("doc_id", "text"), size)
+    prints = materialise(known.select("doc_id", blob_of("text").alias("blob"), F.col("_fp").alias("fp")), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "blob")).alias("first"))
+    # A doc_id may have several texts, so a node is a number of its own; stored, it stays the same.
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    roots = components(links(files(nodes.select("fp", "id"), radius), radius))
+    grouped = nodes.join(roots, nodes["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("group"))
+    kept = grouped.agg(F.min("first").alias("k")).select("k.doc_id", "k.blob")
+    dropped = prints.select("doc_id", "blob").distinct().join(kept, ["doc_id", "blob"], "left_anti")
+    dropped = materialise(dropped.select(F.col("doc_id").alias("_doc_id"), F.col("blob").alias("_blob")), "dropped")
+    rows = wrapped(docs, "doc_id", "text")
+    out = rows.join(dropped.hint("shuffle_hash"), (rows["doc_id"] == dropped["_doc_id"]) & (blob_of(rows["text"]) == dropped["_blob"]), "left_anti")
+    twice = materialise(prints.groupBy("doc_id", "blob").count().where("count > 1").select(F.col("doc_id").alias("_doc_id")).distinct(), "twice")
+    if twice.isEmpty():
+        return out.select("_row.*")
+    same = F.col("doc_id") == F.col("_doc_id")
+    once = out.join(twice, same, "left_semi").withColumn("_blob", blob_of("text")).dropDuplicates(["doc_id", "_blob"])
+    return out.join(twice, same, "left_anti").select("_row.*").unionByName(once.select("_row.*"))

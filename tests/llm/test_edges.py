@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from inkveil.llm import decontam, langid, licenses, nearcopies, packing, personal, secrets, sharding, simhash, spotsigs, tokens, urls
+from inkveil.llm import decontam, langid, licenses, packing, personal, secrets, sharding, simhash, spotsigs, tokens, urls
 
 CLASHES = (
     "_found _fp _language _doc_id _blob _spans _hit _words _salt k r fp fp2 id blob root mask key size shard slot spans kinds score "
