@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, langid, nearcopies, packing, secrets
+from inkveil.llm import decontam, langid, packing, secrets, simhash
 from inkveil.llm.common import table, wrapped
 from inkveil.sources.session import shared_dir
 
@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts and near copies stays."""
-    return nearcopies.drop_copies(docs)
+    """One document of each group stays: fingerprints of three-word shingles, linked at two or fewer differing bits."""
+    return simhash.drop_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
