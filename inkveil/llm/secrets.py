@@ -145,10 +145,13 @@ def findings(blobs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
     place = rank[F.concat_ws(":", F.col("f.kind"), F.col("f.version").cast("string"))]
     rows = entries_of(blobs, ledger).select("blob", F.explode(F.filter("found", lambda f: F.size(f["spans"]) > 0)).alias("f"))
     spans = F.transform("f.spans", lambda s: F.struct(s["begin"].alias("begin"), F.col("rank"), F.col("f.kind").alias("kind"), s["end"].alias("end")))
-    return (
+    rows = (
         rows.withColumn("rank", place).where("rank is not null").select("blob", spans.alias("spans"))
-        .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("all"))
     )  # all spans of one text: bounded by its length
+    # A blob that stands in the ledger twice has each span twice; equal ones are neighbours.
+    once = F.filter("all", lambda s, i: (i == 0) | (s != F.get("all", i - 1)))
+    return rows.select("blob", once.alias("spans"))
 
 
 def scan_documents(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
