@@ -40,9 +40,12 @@ _ASCII = "".join(map(chr, range(128)))
 
 
 def _char(point: int) -> str:
-    """Characters beyond 16 bits stand for themselves: only then does Java look back by whole characters."""
+    """A character in or out of a class.  Non-ASCII ones stand for themselves: beyond 16 bits Java looks back by whole
+    characters only if one is written so."""
     c = chr(point)
-    return c if point > 0xFFFF or point < 128 and (c.isalnum() or c in "_@%") else rf"\x{{{point:x}}}"
+    if point > 127 or c.isalnum() or c in "_@%":
+        return c
+    return rf"\x{point:02x}" if point < 33 or point == 127 else "\\" + c
 
 
 def _ranges(ranges) -> str:

@@ -16,7 +16,7 @@ from inkveil.functions.binding import bind
 from inkveil.functions.headings import RULE_LANGUAGES, heading_languages, is_heading, label_content, rule_language
 from inkveil.functions.matching import is_plain, rlike
 from inkveil.functions.patterns import TEXT_ORDER, TEXT_TOKEN, Pattern, category_patterns, profile_patterns
-from inkveil.functions.replacing import FEW, cover, folded, one_of, replace_in_order, squeezed
+from inkveil.functions.replacing import cover, folded, one_of, replace_in_order, squeezed
 from inkveil.functions.validators import VALIDATORS
 from inkveil.operators.collate import ORDER
 from inkveil.operators.detect import GUARDS, all_matches
@@ -252,20 +252,16 @@ def mask_text(documents: DataFrame, categories=None, mask: str | None = None, it
     text its predecessors left, and every literal occurrence of each value that it finds becomes the category's token.
     With ``items`` the found values come along as ``items_<category>`` arrays in order.
 
-    Texts in which no pattern finds more than a few values take one expression for each pattern, with the pattern compiled
-    once; all others take :func:`_busy_job`, which replaces many values at once.  The text is the same.
+    The steps are a fold over the patterns, so the plan holds one step however many there are.
     """
     wanted = [c for c in TEXT_ORDER if categories is None or c in categories]
     patterns = [p for c in wanted for p in category_patterns("text", c, mask)]
     others = [c for c in documents.columns if c != "text"]
     text = F.col("text")
     # Tokens are ASCII: a plain text stays plain.
-    tests = bind(F.coalesce(is_plain(text), F.lit(True)), lambda plain: F.struct(
-        plain.alias("plain"), *[check(text, plain).alias(name) for name, check in _TEXT_GUARDS.items()]))
-    guarded = documents.withColumn("_tests", tests)
-    done = guarded.withColumn("_job", _text_steps(text, F.col("_tests"), patterns, wanted, mask))
-    job = F.when(F.col("_job.busy"), _busy_job(text, F.col("_tests"), patterns, wanted, mask)).otherwise(F.col("_job").dropFields("busy"))
-    out = done.select(*others, job.alias("_job"))
+    job = bind(F.coalesce(is_plain(text), F.lit(True)), lambda plain: bind(
+        F.array(plain, *[check(text, plain) for check in _TEXT_GUARDS.values()]), lambda tests: _text_job(text, tests, patterns, wanted, mask)))
+    out = documents.select(*others, job.alias("_job"))
     lists = [F.col(f"_job.{c}").alias(f"items_{c}") for c in wanted] if items else []
     return out.select(*[F.col("_job.text").alias("text") if c == "text" else c for c in documents.columns], *lists)
 
@@ -289,65 +285,30 @@ def _text_guard(category: str, ordinal: int) -> str | None:
     return "digits3" if category in ("phone", "credit_card") else None
 
 
-def _repeats(p: Pattern, mask: str | None) -> bool:
-    """Replacing a value twice changes nothing unless the token contains it."""
-    return p.category == "mask" and mask in TEXT_TOKEN["mask"]
-
-
-def _text_steps(text: Column, tests: Column, patterns: list[Pattern], wanted: list[str], mask: str | None) -> Column:
-    """Struct of the masked text and the values of each category; ``busy`` if a pattern found more than a few values."""
-    state = F.struct(text.alias("text"), F.lit(False).alias("busy"), *[_no_values().alias(c) for c in wanted])
-    for p in patterns:
-        state = bind(state, _one_step(p, tests, wanted, mask))
-    return state
-
-
-def _one_step(p: Pattern, tests: Column, wanted: list[str], mask: str | None):
-    token, guard = F.lit(TEXT_TOKEN[p.category]), _text_guard(p.category, p.ordinal)
-
-    def step(s: Column) -> Column:
-        found = all_matches(s["text"], p, tests["plain"])
-        wait = s["busy"] if guard is None else s["busy"] | ~tests[guard]
-
-        def replaced(m: Column) -> Column:
-            values = m if _repeats(p, mask) else F.array_distinct(m)
-            return F.struct(
-                F.aggregate(values, s["text"], lambda acc, v: F.replace(acc, v, token)).alias("text"), s["busy"].alias("busy"),
-                *[(F.concat(s[c], m) if c == p.category else s[c]).alias(c) for c in wanted])
-
-        def taken(m: Column) -> Column:
-            many = F.size(m) > FEW
-            return F.when(F.size(m) == 0, s).when(many & F.lit(not _repeats(p, mask)), s.withField("busy", F.lit(True))).otherwise(replaced(m))
-
-        return bind(F.when(wait, _no_values()).otherwise(found), taken)
-
-    return step
-
-
-def _busy_job(text: Column, tests: Column, patterns: list[Pattern], wanted: list[str], mask: str | None) -> Column:
-    """The same steps as a fold over the patterns, each of which replaces its values at once."""
+def _text_job(text: Column, tests: Column, patterns: list[Pattern], wanted: list[str], mask: str | None) -> Column:
+    """Struct of the masked text and the values of each category; ``tests``: whether the text is plain, and its guards."""
     names = ["plain", *_TEXT_GUARDS]
+    none = F.struct(text.alias("text"), *[_no_values().alias(c) for c in wanted])
+    if not patterns:
+        return none
     rows = F.array(*[
         F.struct(F.lit(p.plain).alias("plain"), F.lit(p.java).alias("java"), F.lit(p.category).alias("category"), F.lit(TEXT_TOKEN[p.category]).alias("token"),
-                 F.lit(names.index(_text_guard(p.category, p.ordinal)) if _text_guard(p.category, p.ordinal) else -1).alias("guard"),
-                 F.lit(_repeats(p, mask)).alias("repeats"))
+                 F.lit(names.index(_text_guard(p.category, p.ordinal) or "plain")).alias("guard"))
         for p in patterns])
-    flags = F.array(*[tests[n] for n in names])
 
     def step(s: Column, p: Column) -> Column:
-        found = F.regexp_extract_all(s["text"], F.when(tests["plain"], p["plain"]).otherwise(p["java"]), F.lit(0))
-        found = F.when((p["guard"] < 0) | F.get(flags, F.greatest(p["guard"], F.lit(0))), found).otherwise(_no_values())
+        found = F.regexp_extract_all(s["text"], F.when(F.get(tests, F.lit(0)), p["plain"]).otherwise(p["java"]), F.lit(0))
 
         def taken(m: Column) -> Column:
-            again = F.aggregate(m, s["text"], lambda acc, v: F.replace(acc, v, p["token"]))
-            once = bind(F.array_distinct(m), lambda values: replace_in_order(s["text"], values, lambda v: p["token"]))
-            return F.struct(
-                F.when(p["repeats"], again).otherwise(once).alias("text"),
-                *[F.when(p["category"] == c, F.concat(s[c], m)).otherwise(s[c]).alias(c) for c in wanted])
+            done = bind(F.array_distinct(m), lambda values: replace_in_order(s["text"], values, lambda v: p["token"]))
+            if mask is not None and mask in TEXT_TOKEN["mask"]:  # a token with the mask in it: each replacement counts
+                done = F.when(p["category"] == "mask", F.aggregate(m, s["text"], lambda acc, v: F.replace(acc, v, p["token"]))).otherwise(done)
+            kept = [F.when(p["category"] == c, F.concat(s[c], m)).otherwise(s[c]).alias(c) for c in wanted]
+            return F.when(F.size(m) > 0, F.struct(done.alias("text"), *kept)).otherwise(s)
 
-        return bind(found, taken)
+        return bind(F.when((p["guard"] == 0) | F.get(tests, p["guard"]), found).otherwise(_no_values()), taken)
 
-    return F.aggregate(rows, F.struct(text.alias("text"), *[_no_values().alias(c) for c in wanted]), step)
+    return F.aggregate(rows, none, step)
 
 
 def _no_values() -> Column:
