@@ -1,5 +1,7 @@
 """Steps that many queries share: how the work is dealt out, and what a row costs."""
 
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from inkveil.functions import validators
 from inkveil.functions.patterns import Pattern, profile_patterns
 from inkveil.operators import detect
 from inkveil.plans import catalog
-from inkveil.sources import corpus
+from inkveil.sources import corpus, document_files
 
 
 def test_notes_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
@@ -57,3 +59,12 @@ def test_parts_of_a_stream_are_many_files(spark):
     assert files > 8 and stored.count() == corpus.corpus_pages(spark, "/root/testdata/sf0.001").count()
     mixed = stored.groupBy(F.input_file_name()).agg(F.countDistinct(F.col("page") % 4).alias("n")).where("n > 1")
     assert mixed.isEmpty()
+
+
+def test_written_files_are_listed_by_folder(spark, tmp_path):
+    pages = spark.createDataFrame([(i, 1, f"text {i}") for i in range(40)], "doc_id long, page int, text string")
+    names = spark.createDataFrame([(i, f"a/d{i}.txt") for i in range(40)], "doc_id long, path string")
+    document_files.write_masked_files(pages, names, str(tmp_path / "out"))
+    stored = document_files.read_files(spark, str(tmp_path / "out"))
+    paths = re.search(r"InMemoryFileIndex\((\d+) paths\)", stored._jdf.queryExecution().executedPlan().toString())
+    assert stored.count() == 40 and int(paths.group(1)) <= 8
