@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import validators
 from inkveil.functions.patterns import Pattern, profile_patterns
-from inkveil.operators import detect
+from inkveil.operators import detect, report
 from inkveil.plans import catalog
-from inkveil.sources import corpus, document_files
+from inkveil.sources import corpus, document_files, session
 
 
 def test_notes_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
@@ -61,6 +61,32 @@ def test_parts_of_a_stream_are_many_files(spark):
     assert mixed.isEmpty()
 
 
+def test_groups_by_document_need_no_second_shuffle(spark):
+    small = "/root/testdata/sf0.001"
+    for name in ("first_category", "count_per_category", "redaction_report"):
+        plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, name
+
+
+def test_conditions_of_long_numbers_lose_no_match(spark):
+    texts = ["4532015100020026 x", "3400 000000 00009", "a 1234567890123.", "123456789012345", "0123 4567890", "0123-456 789", "ABCDE1234F,", "abcde1234f", "DEUTDEFF500", "DEUTDE"]
+    pages = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)] + [(99, 1, None)], "doc_id long, page int, text string")
+    patterns = profile_patterns("redact")
+    assert {"_run6", "_run13", "_capitals", "_tax_number"} <= set(detect._match_lists(pages, patterns, None)[0].columns)
+    got = {(r["doc_id"], r["category"], r["ordinal"], r["match_no"], r["value"]) for r in detect.find(pages, patterns, validate=False).collect()}
+    want = {(i, p.category, p.ordinal, n, m.group()) for i, t in enumerate(texts) for p in patterns for n, m in enumerate(re.compile(p.regex, p.flags).finditer(t))}
+    assert got == want and len(want) > 8
+
+
+def test_uncut_reports_store_nothing(spark):
+    found = spark.createDataFrame([(1, "phone", 1, 1, 1, 0, "a"), (1, "pan", 10, 1, 1, 0, "b"), (1, "phone", 1, 1, 2, 0, "a"), (None, "pan", 10, 1, 1, 0, "b")],
+                                  "doc_id long, category string, cat_no int, ordinal int, page int, match_no int, value string")
+    before = len(session.WORK_FOLDERS)
+    rows = {(r["doc_id"], r["part"], r["category"], r["n_items"], r["total_items_redacted"], tuple(r["items"])) for r in report.redaction_report(found).collect()}
+    assert rows == {(1, 0, "phone", 1, 2, ("a",)), (1, 0, "pan", 1, 2, ("b",)), (None, 0, "pan", 1, 1, ("b",))}
+    assert len(session.WORK_FOLDERS) == before
+
+
 def test_written_files_are_listed_by_folder(spark, tmp_path):
     pages = spark.createDataFrame([(i, 1, f"text {i}") for i in range(40)], "doc_id long, page int, text string")
     names = spark.createDataFrame([(i, f"a/d{i}.txt") for i in range(40)], "doc_id long, path string")
