@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import validators
 from inkveil.functions.patterns import Pattern, profile_patterns
-from inkveil.operators import detect, report
+from inkveil.operators import collate, detect, report
 from inkveil.plans import catalog
 from inkveil.sources import corpus, document_files, session
 
@@ -94,3 +94,26 @@ def test_written_files_are_listed_by_folder(spark, tmp_path):
     stored = document_files.read_files(spark, str(tmp_path / "out"))
     paths = re.search(r"InMemoryFileIndex\((\d+) paths\)", stored._jdf.queryExecution().executedPlan().toString())
     assert stored.count() == 40 and int(paths.group(1)) <= 8
+
+
+LINED = [
+    "PAN: ABCFE1234F\nPhone: 555-123-4567", "4532 0151\n1234 5678", "CVV\n: 123", "CVV: 123\x01\nx", "a\x01b@c.de", "", "no value", "\n\nBIC: DEUTDEFF500",
+    "2345\x016789 0123", "٢٣٤٥ 6789 0124\n+49 30 1234567", "IBAN: DE44500105175407324931", "Expiry: 03/25\nä CVV: 123", "0123 456789", "5551234567\n1", "a@b.de\nc@d.ef\na@b.de",
+]
+
+
+def _lined(spark):
+    rows = [(i, t, "en") for i, t in enumerate(LINED)] + [(90, None, "en"), (None, "CVV: 123", "en"), (None, "Phone: 555-123-4567", "en"), (1, "Phone: 555-123-4567", "en"),
+                                                        (3, "CVV: 123\nCVV: 124", "en")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_first_category_is_that_of_all_findings(spark):
+    docs = _lined(spark)
+    for profile in ("redact", "scan"):
+        got = collate.first_category(detect.first_categories(docs, profile)).where("category IS NOT NULL")
+        want = collate.first_category(detect.findings(corpus.split_pages(docs), profile))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and want.count() > 8
+    plan = catalog.QUERIES["first_category"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # neither pages nor findings become rows
