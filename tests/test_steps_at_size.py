@@ -117,3 +117,15 @@ def test_first_category_is_that_of_all_findings(spark):
         assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and want.count() > 8
     plan = catalog.QUERIES["first_category"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan  # neither pages nor findings become rows
+
+
+def test_conditions_of_dates_and_bank_codes_lose_no_match(spark):
+    texts = ["03/25", "x 12-2031.", "13/25", "Expiry 03-25", "May 2024", "may,, 2024", "Auguſt 2024", "Dec\n٢٠٢٤", "June2024", "DEUTDEFF", "SWIFT: DEUTDEFF500",
+             "BIC DEUTD", "GB29NWBK60161331926819", "IBAN: DE44500105175407324931", "AB12ABCD123456", "555-123-4567", "10-1 2", "0٣/25"]
+    pages = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)] + [(99, 1, None)], "doc_id long, page int, text string")
+    patterns = profile_patterns("lang") + profile_patterns("strict")
+    assert {"_month_number", "_month_name", "_capitals", "_run6"} <= set(detect._match_lists(pages, patterns, None)[0].columns)
+    assert {p.guard for p in profile_patterns("lang") if p.category == "bic"} == {"capitals"}
+    got = sorted((r["doc_id"], r["category"], r["ordinal"], r["match_no"], r["value"]) for r in detect.find(pages, patterns, validate=False).collect())
+    want = sorted((i, p.category, p.ordinal, n, m.group()) for i, t in enumerate(texts) for p in patterns for n, m in enumerate(re.compile(p.regex, p.flags).finditer(t)))
+    assert got == want and len(want) > 20
