@@ -10,9 +10,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.binding import bind
 from inkveil.functions.matching import matches, rlike
 from inkveil.functions.patterns import TEXT_ORDER, Pattern, category_patterns
-from inkveil.operators.detect import KEYS, find, guarded, guarded_matches
+from inkveil.functions.pyregex import looks_no_further
+from inkveil.operators.detect import KEYS, conditioned, find, guarded_matches
 
 CONTEXT = 20
 
@@ -36,31 +38,43 @@ def leftover_matches(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
 def leftover_words(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """``unredacted_word`` issues: blank-separated words that contain a match.
 
-    One generator row per word, then one per pattern that matches it.
+    A word meets no condition that its page fails, so a pattern is looked for in the words of those pages only on which it
+    can stand.  Words are compared inside the row; only those with a match become rows.
     """
     checks = strict_again(patterns)
-    flagged, holds = guarded(pages, checks)  # a word meets no condition that its page fails
-    flags = [c for c in flagged.columns if c not in pages.columns]
-    words = flagged.select(
-        *KEYS, *flags, F.posexplode(matches(F.col("text"), r"\S+", 0, F.col("_plain"))).alias("word_no", "word")
-    )
-    hits = F.array_compact(
-        F.array(*[
-            F.when(
-                _holds(p, hold),
-                F.struct(F.lit(p.category).alias("category"), F.lit(p.ordinal).alias("ordinal")),
-            )
-            for p, hold in zip(checks, holds)
-        ])
-    )
-    return words.select(*KEYS, "word_no", "word", F.inline(hits)).select(
+    flagged, conditions, literals = conditioned(pages, checks)
+    groups: dict[str, list[int]] = {}
+    for i, hold in enumerate(conditions):
+        groups.setdefault(str(hold), []).append(i)
+    order = [i for some in groups.values() for i in some]
+
+    def on_page(i: int) -> Column:
+        p, literal = checks[i], literals[i]
+        seen = _seen(F.col("text"), p) if looks_no_further(p.regex, p.flags) else F.lit(True)
+        return seen if literal is None else literal & seen
+
+    def tested(some: list[int]) -> Column:
+        hold, tests = conditions[some[0]], F.array(*[F.coalesce(on_page(i), F.lit(False)) for i in some])
+        return tests if hold is None else F.when(hold, tests).otherwise(F.array(*[F.lit(False)] * len(some)))
+
+    def by_pattern(tests: Column, words: Column) -> Column:
+        def hits(p: Pattern) -> Column:
+            met = F.filter(words, lambda w: _seen(w["word"], p))
+            return F.transform(met, lambda w: F.struct(F.lit(p.category).alias("category"), F.lit(p.ordinal).alias("ordinal"), w["word_no"].alias("word_no"), w["word"].alias("word")))
+
+        lists = [F.when(F.get(tests, F.lit(at)), hits(checks[i])) for at, i in enumerate(order)]
+        return F.flatten(F.filter(F.array(*lists), lambda found: found.isNotNull()))
+
+    words = F.transform(matches(F.col("text"), r"\S+", 0, F.col("_plain")), lambda w, i: F.struct(i.alias("word_no"), w.alias("word")))
+    found = bind(F.flatten(F.array(*[tested(some) for some in groups.values()])), lambda tests: F.when(
+        F.exists(tests, lambda t: t), bind(words, lambda some: by_pattern(tests, some))))
+    return flagged.select(*KEYS, F.inline(found)).select(
         *KEYS, F.lit("unredacted_word").alias("type"), "category", "ordinal", "word_no", F.col("word").alias("text")
     )
 
 
-def _holds(p: Pattern, hold: Column | None) -> Column:
-    found = rlike(F.col("word"), p.regex, p.flags, F.col("_plain"))
-    return found if hold is None else hold & found
+def _seen(text: Column, p: Pattern) -> Column:
+    return rlike(text, p.regex, p.flags, F.col("_plain"))
 
 
 def leftover_secondary(pages: DataFrame, patterns: list[Pattern]) -> DataFrame:

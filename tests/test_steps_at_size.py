@@ -6,9 +6,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from inkveil.functions import validators
+from inkveil.functions import pyregex, validators
 from inkveil.functions.patterns import Pattern, profile_patterns
-from inkveil.operators import collate, detect, report
+from inkveil.operators import collate, detect, report, verify
 from inkveil.plans import catalog
 from inkveil.sources import corpus, document_files, session
 
@@ -129,3 +129,23 @@ def test_conditions_of_dates_and_bank_codes_lose_no_match(spark):
     got = sorted((r["doc_id"], r["category"], r["ordinal"], r["match_no"], r["value"]) for r in detect.find(pages, patterns, validate=False).collect())
     want = sorted((i, p.category, p.ordinal, n, m.group()) for i, t in enumerate(texts) for p in patterns for n, m in enumerate(re.compile(p.regex, p.flags).finditer(t)))
     assert got == want and len(want) > 20
+
+
+def test_left_words_are_those_of_a_search_word_by_word(spark):
+    texts = ["CVV: 123 x\tCVV:123", "a@b.de, c@d.ef", "GB29 6016 1331 9268 1912 3456", "DE44500105175407324931 123", "IBAN:DE44500105175407324931", "555-123-4567\x1c555.246.8135", "(555) 123-4567",
+             "4532015112830366;", "٤٥٣٢٠١٥١١٢٨٣٠٣٦٦ 05/26", "Expiry:05/26 Exp:05/26", "ABCFE1234F,DEUTDEFF500", "nothing here", "", "  ", "the end of the", "ä the", "DE44 5001 0517 5407 3249 1"]
+    pages = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)] + [(99, 1, None), (None, 2, "DEUTDEFF500"), (0, 1, "CVV:123")], "doc_id long, page int, text string")
+    patterns = profile_patterns("redact", mask="the") + [Pattern("custom", 0, 1, r"end$"), Pattern("custom", 0, 2, r"^the(?! end)"), Pattern("custom", 0, 3, r"(?>a*)a|x++")]
+    rows = verify.leftover_words(pages, patterns)
+    got = sorted((tuple(r) for r in rows.collect()), key=str)
+    want = sorted((
+        (r["doc_id"], r["page"], "unredacted_word", p.category, p.ordinal, n, w) for r in pages.collect() for n, w in enumerate(re.findall(r"\S+", r["text"] or ""))
+        for p in verify.strict_again(patterns) if re.search(p.regex, w, p.flags)), key=str)
+    assert got == want and len(want) > 25
+    # Words without a match never become rows, and no page is expanded that has none.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_patterns_that_look_beyond_a_word():
+    assert all(pyregex.looks_no_further(r) for r in (r"\ba+(?:b|c)?\d{2,}?", r"[^a]x.", r"(a)\s*b"))
+    assert not any(pyregex.looks_no_further(r) for r in (r"^a", r"a$", r"a(?!b)", r"(?<=a)b", r"a\B", r"(?:a(?=b))?", r"a++b", r"(?>a|ab)c", r"(a)\1", r"\Aa"))
