@@ -91,3 +91,25 @@ def test_texts_full_of_values_take_about_linear_time(spark, way):
         took.append(time.time() - started)
         assert not re.search(r"\d{3}", out)
     assert took[2] < 8 * took[1] + 5, took
+
+
+def test_folded_values_listed_or_as_a_trie_hide_the_same(spark):
+    """Few values are written short, for the breaks that a text can hold; the text is that of the trie with all breaks."""
+    rng, rows = random.Random(7), []
+    for i in range(1500):
+        alphabet = rng.choice(["ab5- \n", "ab|[]\\E.+ \n", "aB\t\r\n5 -", "5-|\n ", "éÉßſıİK  \n", "ab5\x02\x03 \n", "Ab5 (x)", "a\U0001f600 \nQE\\", "a\x01b \n"])
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 50)))
+        values = [text[a : a + rng.choice([1, 2, 3, 5, 14])] for a in rng.choices(range(len(text)), k=rng.randint(1, 40 if i % 20 == 0 else 6))]
+        rows.append((text, values))
+    rows += [("CVV: 1\n23 x", ["CVV: 123"]), ("a\tb 5-\r\n 5", ["a b", "55"]), (None, ["a"])]
+    pages = spark.createDataFrame(rows, "text string, given array<string>")
+    pages = pages.select("text", F.filter(F.array_distinct(F.transform("given", replacing.folded)), lambda v: v != "").alias("vs")).where("size(vs) > 0")
+    short = replacing.one_of_folded(F.col("text"), F.col("vs"))
+    got = pages.select("text", "vs", replacing.cover(F.col("text"), short, "*").alias("a"), replacing.cover(F.col("text"), replacing.one_of(F.col("vs"), broken=True), "*").alias("b"),
+                       F.length(short).alias("n")).collect()
+    assert len(got) > 1400 and sum(r.a != r.text for r in got if r.text) > 1200
+    for r in got:
+        assert r.a == r.b, r
+    assert [r.a for r in got if r.vs in (["cvv: 123"], ["a b", "55"])] == ["******\n** x", "*** **\r\n**"]
+    one = spark.createDataFrame([("x 5551234567", ["5551234567"]), ("x\n5551234567", ["5551234567"])], "text string, vs array<string>")
+    assert [r.n for r in one.select(F.length(replacing.one_of_folded(F.col("text"), F.col("vs"))).alias("n")).collect()] == [19, 208]
